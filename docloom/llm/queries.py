@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, quality_rules, sharding
+from . import exact_dedup, line_dedup, near_dedup, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,5 +67,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_sharding": op3_sharding, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sharding": op3_sharding, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules}
 SQL = {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
