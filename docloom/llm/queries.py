@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_dedup, quality_rules, sharding
+from . import bpe, exact_dedup, line_dedup, near_dedup, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+             max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM d
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -67,5 +83,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_sharding": op3_sharding, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules}
-SQL = {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op6_exact_dedup, op8_quality_rules, op10_bpe)}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL}
