@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, quality_rules, sharding, warc
+from . import bpe, exact_dedup, line_dedup, lm_scoring, near_dedup, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,18 @@ FROM n
 """
 
 
+def _remainder(of: int):
+    """crc32 of the id as text, modulo `of`; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm_scoring.fit(docs, _remainder(7) != 2)
+    rows = lm_scoring.score(docs, model)
+    return rows.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_report(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
@@ -91,5 +103,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op6_exact_dedup, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op6_exact_dedup, op7_lm_scoring, op8_quality_rules, op10_bpe)}
 SQL = {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL}
