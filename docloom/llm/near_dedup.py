@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, in_arrow, mix, prepare, stored, word_hashes
+from ._common import buffers, fresh, in_arrow, mix, prepare, stored, word_hashes
 from .components import components
 
 BANDS, ROWS = 40, 6
@@ -267,3 +267,21 @@ def _sets_of(size: int):
         return out.filter(pa.array(mine, pa.bool_()))
 
     return step
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one with the smallest
+    id; rows that share an id count as one document, of which the row with the
+    greatest text stays. Rows without an id stay."""
+    found = near_components(docs, id_col, text_col, shingle, percent)
+    dropped, repeated = fresh(docs.columns, "dropped"), fresh(docs.columns, "repeated")
+    doc = F.col(id_col).cast("long")
+    gone = found.where("not kept").select(F.col("doc_id").alias(dropped)).distinct()
+    left = docs.join(gone, doc == gone[dropped], "left_anti")
+    many = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(repeated)).count().where("count > 1").select(repeated)
+    if not many.limit(1).count():
+        return left
+    once = left.join(many, doc == many[repeated], "left_anti")
+    again = left.join(many, doc == many[repeated], "left_semi")
+    best = again.groupBy(doc.alias(repeated)).agg(F.max_by(F.struct(*again.columns), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row_"))
+    return once.unionByName(best.select("row_.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, lm_scoring, near_dedup, quality_rules, sharding, warc
+from . import bpe, exact_dedup, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,13 @@ FROM d
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs.where(_remainder(4) != 2), _table(spark, sf_dir, "labels"))
+    rows = quality_classifier.score(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.KEEP_SCORE).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -95,6 +102,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", packing.n_words("text").alias("n_tokens")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
@@ -103,5 +115,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op6_exact_dedup, op7_lm_scoring, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op5_quality_classifier, op6_exact_dedup, op7_lm_scoring, op8_quality_rules, op9_packing, op10_bpe)}
 SQL = {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL}
