@@ -169,5 +169,6 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
     prefix = fresh([c[:2] for c in docs.columns], "q_")
-    rows = measured(docs, text_col, lang_col, prefix)
+    # written once with their counts: the counts cost more than the text's disk
+    rows = stored(measured(docs, text_col, lang_col, prefix), "quality-rows")
     return judged(rows, references(rows, prefix), prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
