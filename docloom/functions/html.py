@@ -78,7 +78,7 @@ class _Page(HTMLParser):
         elif tag in ("ul", "ol"):
             self.lists.append(0)
         elif tag == "li" and self.lists:
-            self.toc.append([[*self.lists], [], None])
+            self.toc.append([[*(i - 1 for i in self.lists[:-1]), self.lists[-1]], [], None])
             self.lists[-1] += 1
         if tag in self.found:
             self.caught.append((tag, []))

@@ -78,9 +78,9 @@ def s20(spark, d):
     return C.checksums(rows(spark, SUMS))
 
 
-@query("s21_last_record", "SELECT l_partkey, l_suppkey, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS last FROM lineitem GROUP BY 1, 2")
+@query("s21_last_record", "SELECT l_partkey, l_suppkey, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS last FROM lineitem GROUP BY 1, 2")
 def s21(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max_by("l_quantity", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("last"))
+    return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max_by("l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity")).alias("last"))
 
 
 @query("c2_tree_digest", "SELECT left(url, 12) AS root, sha256(string_agg(url || chr(9) || sha256(html), chr(10) ORDER BY url, sha256(html))) AS digest FROM pages GROUP BY 1")
