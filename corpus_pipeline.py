@@ -20,9 +20,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay that the classifier, fitted on the labels of documents
-    still here, scores at least KEEP_SCORE."""
-    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents stay that the classifier scores at least KEEP_SCORE. It is
+    fitted on all labelled documents of the corpus: those that earlier stages
+    have dropped are the examples of the poor class."""
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_classifier.fit(corpus, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.drop_poor(docs, model)
 
 
