@@ -206,6 +206,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def drop_poor(docs: DataFrame, model: Model, text_col: str = "text", least: float = KEEP_SCORE) -> DataFrame:
-    """The rows of docs that score at least `least`, with their own columns."""
+    """The rows of docs that score at least `least`, with their own columns;
+    all of them where the model has learned nothing."""
+    if model.means is None:
+        return docs
     name = fresh(docs.columns, "score")
     return score(docs, model, text_col, name).where(F.col(name) >= least).select(*docs.columns)
