@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import SEGMENT, buffers, fresh, in_arrow, mix, prepare, word_hashes
 
 #: Shrinkage: share of the pooled covariance, then of the diagonal.
-POOLED, DIAGONAL = 0.05, 0.05
+POOLED, DIAGONAL = 0.02, 0.02
 KEEP_SCORE = 0.7
 
 #: Byte classes of UTF-8: later lines overrule earlier ones.
@@ -178,18 +178,34 @@ def _curve(rows: DataFrame, model: Model, counts: list[float], bins: int = 256,
 
     got = _sums(rows, F.col("label"), step, bins)
     x = (np.arange(bins) + 0.5) / bins * 2 * reach - reach
-    slope, intercept = 1.0, 0.0
-    for _ in range(50):  # Newton steps, lightly regularised
-        p = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
-        w = (got[0] + got[1]) * p * (1 - p)
-        residual = got[1] - (got[0] + got[1]) * p
-        grad = np.array([(residual * x).sum() - 1e-3 * slope, residual.sum() - 1e-3 * intercept])
-        hess = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        move = np.clip(np.linalg.solve(hess, grad), -2, 2)
-        slope, intercept = slope + move[0], intercept + move[1]
-        if np.abs(move).max() < 1e-9:
+    return logistic(x, got[0], got[1])
+
+
+def logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """(slope, intercept) of the logistic curve through counts of both classes
+    at x: Newton steps, each halved until the penalised likelihood grows, as
+    the classes may be all but separable."""
+    middle = ((x * n0).sum() / n0.sum() + (x * n1).sum() / n1.sum()) / 2
+    z = x - middle
+
+    def gain(s: float, b: float) -> float:
+        t = s * z + b
+        return -(n1 * np.logaddexp(0, -t) + n0 * np.logaddexp(0, t)).sum() - ridge * (s * s + b * b) / 2
+
+    s, b = 1.0, 0.0
+    for _ in range(100):
+        p = 0.5 * (1 + np.tanh(0.5 * (s * z + b)))
+        w, residual = (n0 + n1) * p * (1 - p), n1 - (n0 + n1) * p
+        grad = np.array([(residual * z).sum() - ridge * s, residual.sum() - ridge * b])
+        hess = np.array([[(w * z * z).sum() + ridge, (w * z).sum()], [(w * z).sum(), w.sum() + ridge]])
+        move, before = np.linalg.solve(hess, grad), gain(s, b)
+        while gain(s + move[0], b + move[1]) < before and np.abs(move).max() > 1e-9:
+            move = move / 2
+        s, b = s + move[0], b + move[1]
+        if np.abs(move).max() < 1e-8:
             break
-    return float(max(slope, 0.0)), float(intercept)
+    s = max(float(s), 0.0)
+    return s, float(b - s * middle)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
