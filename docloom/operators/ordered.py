@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trees import kept
+
 
 def ordered_distinct(rows: DataFrame, value: str, order: str, limit: int | None = None) -> DataFrame:
     """Values in order of first occurrence, blanks dropped; optionally capped
@@ -72,10 +74,10 @@ def children(outline: DataFrame, by: list[str]) -> DataFrame:
 def boundary_repeats(lines: DataFrame, longest: int = 3) -> DataFrame:
     """Pages whose last k lines are the first k of the next page, k as large
     as possible up to `longest`: page, k, text."""
-    tail = F.slice(F.reverse("texts"), 1, longest)
     pages = lines.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
-    w = Window.orderBy("page")
-    pairs = pages.select("page", F.reverse(tail).alias("last"), F.slice("texts", 1, longest).alias("first")).withColumn("then", F.lead("first").over(w)).withColumn("at", F.lead("page").over(w)).where(F.col("at") == F.col("page") + 1)
+    last = pages.select("page", F.reverse(F.slice(F.reverse("texts"), 1, longest)).alias("last"))
+    then = pages.select((F.col("page") - 1).alias("page"), F.slice("texts", 1, longest).alias("then"))
+    pairs = last.join(then, "page")
     k = F.lit(0)
     for n in range(1, longest + 1):
         k = F.when((F.size("last") >= n) & (F.size("then") >= n) & (F.slice("last", F.greatest(F.size("last") - (n - 1), F.lit(1)), n) == F.slice("then", 1, n)), n).otherwise(k)
@@ -86,6 +88,17 @@ def in_reading_order(lines: DataFrame) -> list[Column]:
     return [F.col("y0"), F.col("x0"), F.col("block"), F.col("ord")]
 
 
+def numbered(rows: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
+    """rows numbered from 1 in the order of the keys, without one task that
+    sees them all: ranges of the keys are sorted each, and the ranges' counts
+    (one row per range) give the offsets."""
+    ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranges = kept(ranges.select("*", F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row_")))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
+    return ranges.join(offsets, "part_").withColumn(name, F.col("row_") + F.col("offset_") + 1).drop("part_", "row_", "offset_")
+
+
 def capped_total(rows: DataFrame, size: str, limit: int) -> DataFrame:
     """Total size and whether it exceeds the limit."""
     return rows.agg(F.sum(size).alias("total")).withColumn("over", F.col("total") > limit)

@@ -45,7 +45,7 @@ def release_search(index: DataFrame, query: str, limit: int = 50, ascii_only: bo
     rows = rows if terms else rows.limit(0)
     total = rows.agg(F.count("*").alias("n_matches"))
     at = F.greatest(F.locate(terms[0] if terms else "", normalised(F.col("text"), ascii_only)) - 1 - 70, F.lit(0))
-    return rows.withColumn("snippet", F.substring(F.col("text"), at + 1, F.lit(240))).drop("hay_").orderBy("ord").limit(limit).crossJoin(F.broadcast(total))
+    return rows.withColumn("snippet", F.substring(F.col("text"), at + 1, F.lit(240))).drop("hay_").orderBy("ord").limit(limit).select("*", total.scalar().alias("n_matches"))
 
 
 def guide_search(index: DataFrame, query: str, limit: int = 100) -> DataFrame:

@@ -5,9 +5,10 @@ relation, and a level is a join, never a loop over nodes at the driver."""
 
 from __future__ import annotations
 
+import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Deepest tree or chain that is accepted.
@@ -37,23 +38,21 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFra
     """Nodes that the roots reach, with the least number of steps. Level by
     level: each is the new neighbours of the last, so a cycle ends it; levels
     are checkpointed when the lineage grows."""
-    spark = edges.sparkSession
     seen = roots.select("node").distinct().withColumn("steps", F.lit(0))
     frontier = seen
     for step in range(1, depth + 1):
         found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step))
-        frontier = _kept(frontier, spark)
+        frontier = kept(frontier)
         if not frontier.limit(1).count():
             return seen
-        seen = _kept(seen.unionByName(frontier), spark)
+        seen = kept(seen.unionByName(frontier))
     raise ValueError(f"closure deeper than {depth}")
 
 
-def _kept(df: DataFrame, spark: SparkSession) -> DataFrame:
-    import os
-
-    context = spark.sparkContext
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, its lineage cut."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "shared"))
     return df.checkpoint()

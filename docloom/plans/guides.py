@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import guides as G
 from ..operators import joins as J
+from ..operators.ordered import numbered
 from .registry import query, rows, table, values
 
 SHEETS = """VALUES (1, '@import "a.css"; p{background:url(b.png)} /* url(no) */', 2), (2, '@font-face{src:url("f.woff2")} q{content:"url(x)"}', 1), (3, 'a{b:c}', 0) AS t(id, css, n)"""
@@ -209,9 +210,7 @@ def o9(spark, d):
 
 @query("o5_byte_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS pos FROM part")
 def o5(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("long").alias("pos"))
+    return numbered(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], "pos").select("p_partkey", "pos")
 
 
 @query("e7_equal_records", "SELECT a.o_orderkey, a.o_orderstatus = b.o_orderstatus AND a.o_custkey = b.o_custkey AS same FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")

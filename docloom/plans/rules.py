@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -10,6 +9,7 @@ from ..functions import rules as R
 from ..functions import urls as U
 from ..operators import joins as J
 from ..operators import trees as G
+from ..operators.ordered import numbered
 from .registry import query, rows, table, values
 
 TOPICS = """VALUES (1, 'text/html; charset=utf-8', '<p>x', NULL), (2, 'application/pdf', 'x', 'media type'), (3, '', '%PDF-1.4', 'pdf'), (4, 'text/html', ' {"a":1}', 'json placeholder') AS t(id, kind, body, want)"""
@@ -177,7 +177,7 @@ def w9(spark, d):
 
 @query("o4_destinations", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos FROM supplier")
 def o4(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("pos"))
+    return numbered(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), "s_suppkey"], "pos").select("s_suppkey", "pos")
 
 
 @query("o7_first_hundred", "SELECT doc_id FROM documents WHERE contains(lower(text), 'of') ORDER BY doc_id LIMIT 100")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import releases as R
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.ordered import numbered
 from .registry import query, rows, table, values
 
 RE2_WORDS = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g'))"
@@ -222,10 +223,8 @@ def v1(spark, d):
 
 @query("v1_release_order", "WITH e AS (SELECT DISTINCT '10.' || l_linenumber || '.' || l_quantity::INT AS label, l_linenumber AS a, l_quantity::INT AS b FROM lineitem) SELECT label, row_number() OVER (ORDER BY a, b) AS pos FROM e")
 def v1_order(spark, d):
-    from pyspark.sql import Window
-
     labels = table(spark, d, "lineitem").select(F.concat_ws(".", F.lit("10"), "l_linenumber", F.col("l_quantity").cast("int")).alias("label")).distinct()
-    return labels.select("label", F.row_number().over(Window.orderBy(R.release_key(F.col("label")))).cast("long").alias("pos"))
+    return numbered(labels.withColumn("key", R.release_key(F.col("label"))), ["key"], "pos").select("label", "pos")
 
 
 ROUTES = "VALUES (1, '10.17', 'cli', 'CLI Guide', 'static', 'https://d.example/AOS/10.17.xxxx/HTML/CLI%20Guide/index.html'), (2, '10.13', 'cli', 'cli_x', 'pdf', 'https://d.example/AOS/10.13/PDF/cli_x.pdf'), (3, '10.13', 'vsx', 'vsx', 'flare', 'https://d.example/AOS/10.13/HTML/vsx/Content/home.htm'), (4, '10.12', 'vsx', 'vsx', 'pdf', 'https://d.example/Archived/AOS/10.12/PDF/vsx.pdf'), (5, '10.17', 'vsx', '../x', NULL, NULL), (6, 'latest', 'vsx', 'x', NULL, NULL) AS t(id, release, guide, target, kind, url)"
