@@ -224,12 +224,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(real.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "near-classes")
     bands = in_arrow(classes.select("doc", "bands"), _explode_bands, "band long, doc long")
     heads = bands.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("band", "head")
+    heads = stored(heads, "near-heads")  # so that the join can split a hot band
     edges = bands.join(heads, "band").where("doc != head").select(F.col("doc").alias("u"), F.col("head").alias("v")).distinct()
-    groups = components(stored(edges, "near-edges"))
+    groups = components(edges)
     links = _confirmed(rows, classes, groups, shingle, percent, chunk_bytes)
     # an id that stands for several sets, or is in several classes, joins them
     members = real.select("doc", "digest").join(classes.select("digest", F.col("doc").alias("head")), "digest").where("doc != head").select(F.col("doc").alias("u"), F.col("head").alias("v"))
-    found = components(stored(links.unionByName(members).distinct(), "near-links"))
+    found = components(links.unionByName(members))
     out = drawn.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
