@@ -7,9 +7,11 @@ Cholesky factors are computed once with the model. A text's score comes from
 the difference of the two Mahalanobis log densities, made a probability by a
 logistic curve fitted on the training rows' differences.
 
-Scale: a text's statistics come from one pass over its bytes; labelled rows
-add to a fixed number of sums in each task (no training row is collected; all
-labelled rows count). Scoring is a map over rows with a model of a few KB.
+Scale: a text's statistics come from one pass over its bytes and are written
+as narrow rows (id and 17 numbers), which meet the labels in the only join;
+texts are never shuffled. Labelled rows add to a fixed number of sums in each
+task (no training row is collected; all labelled rows count). Scoring is a map
+over rows with a model of a few KB.
 
 Defined cases: a null or empty text has the statistics of no words and is
 scored like any other. Rows without a label or with a null label don't train.
@@ -24,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEGMENT, buffers, fresh, in_arrow, mix, prepare, word_hashes
+from ._common import SEGMENT, buffers, fresh, in_arrow, mix, prepare, stored, word_hashes
 
 #: Shrinkage: share of the pooled covariance, then of the diagonal.
 POOLED, DIAGONAL = 0.02, 0.02
@@ -125,13 +127,31 @@ def squash(d: np.ndarray) -> np.ndarray:
     return np.sign(d) * np.log1p(np.abs(d))
 
 
-def _sums(rows: DataFrame, label: Column, step, width: int) -> dict[int, np.ndarray]:
-    """Sum of step(statistics) by label: 2 * width numbers come back."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the statistics x of every row of docs, stored."""
+    prepare(docs.sparkSession)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = statistics(batch.column(1))
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32()), pa.array(x.ravel()))
+        return pa.record_batch([batch.column(0), made], ["doc_id", "x"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return stored(in_arrow(rows, step, "doc_id long, x array<double>"), "quality-features")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+
+
+def _sums(rows: DataFrame, step, width: int) -> dict[int, np.ndarray]:
+    """Sum of step(x) by label over rows (x, label): 2 * width numbers come
+    back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, width))
         for batch in batches:
-            x, y = statistics(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            x, y = _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             for c in (0, 1):
                 if (y == c).any():
                     total[c] += step(x[y == c])
@@ -146,12 +166,16 @@ def _sums(rows: DataFrame, label: Column, step, width: int) -> dict[int, np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model:
     """Learn from the rows of docs that have a label (joined by id)."""
-    prepare(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id").select("text", "label")
+    return fit_features(features(docs, id_col, text_col), labels, id_col, label_col, pooled, diagonal)
+
+
+def fit_features(known: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model:
+    """As fit, from a table of features."""
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    rows = known.join(marks, "doc_id").select("x", "label")
     d = WIDTH
     moments = lambda x: np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
-    got = _sums(rows, F.col("label"), moments, 1 + d + d * d)
+    got = _sums(rows, moments, 1 + d + d * d)
     counts = [got[c][0] for c in (0, 1)]
     if min(counts) < 2:
         return Model()
@@ -176,7 +200,7 @@ def _curve(rows: DataFrame, model: Model, counts: list[float], bins: int = 256,
         at = (np.clip(squash(model.difference(x)), -reach, reach - 1e-9) + reach) / (2 * reach) * bins
         return np.bincount(at.astype(int), minlength=bins).astype(float)
 
-    got = _sums(rows, F.col("label"), step, bins)
+    got = _sums(rows, step, bins)
     x = (np.arange(bins) + 0.5) / bins * 2 * reach - reach
     return logistic(x, got[0], got[1])
 
@@ -221,6 +245,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     return in_arrow(docs.select(F.col(text_col).cast("string").alias(body), *names), step, f"{kinds}, `{score_col}` double")
 
 
+def score_features(known: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every row of a table of features."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], ["doc_id", "score"])
+
+    return in_arrow(known.select("doc_id", "x"), step, "doc_id long, score double")
+
+
 def drop_poor(docs: DataFrame, model: Model, text_col: str = "text", least: float = KEEP_SCORE) -> DataFrame:
     """The rows of docs that score at least `least`, with their own columns;
     all of them where the model has learned nothing."""

@@ -62,9 +62,9 @@ FROM d
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = quality_classifier.fit(docs.where(_remainder(4) != 2), _table(spark, sf_dir, "labels"))
-    rows = quality_classifier.score(docs.select("doc_id", "text"), model)
+    known = quality_classifier.features(_table(spark, sf_dir, "documents"))
+    model = quality_classifier.fit_features(known.where(_remainder(4) != 2), _table(spark, sf_dir, "labels"))
+    rows = quality_classifier.score_features(known, model)
     return rows.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= quality_classifier.KEEP_SCORE).cast("int").alias("predicted"))
 
 
