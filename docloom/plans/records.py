@@ -104,7 +104,7 @@ UNION ALL SELECT source, 1, doc_id, lang, source || '/' || doc_id || '.html', le
 def k2(spark, d):
     docs = table(spark, d, "documents")
     guides = docs.select(F.col("source").alias("guide")).distinct().select("guide", F.concat(F.lit("Guide "), "guide").alias("title"), F.concat("guide", F.lit("/index.html")).alias("url"), F.lit("html").alias("format"))
-    topics = docs.select(F.col("source").alias("guide"), F.col("doc_id").alias("ord"), F.col("lang").alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("url"), F.left("text", F.lit(200)).alias("text"))
+    topics = docs.select(F.col("source").alias("guide"), F.col("doc_id").alias("ord"), F.col("lang").alias("title"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("url"), "text")
     return Q.index_rows(guides, topics)
 
 
