@@ -250,11 +250,11 @@ def _confirmed(rows: DataFrame, classes: DataFrame, groups: DataFrame, shingle:
     per_doc = blocks.groupBy("node", "digest", "odd").agg(F.collect_list(F.struct("block", "side")).alias("places"))
     wanted = rows.join(per_doc, rows["doc"] == per_doc["node"])
     sets = in_arrow(wanted.select("doc", "text", "digest", "odd", "places"), _sets_of(shingle), "doc long, digest binary, shingles binary, odd binary, places array<struct<block:struct<component:bigint,a:int,b:int>,side:int>>")
-    sets = sets.select("doc", "shingles", "odd", F.explode("places").alias("place"))
-    placed = sets.select("doc", "shingles", "odd", "place.block", "place.side")
-    if rows.groupBy("doc").count().where("count > 1").limit(1).count():  # rows with one id and text count once
-        placed = placed.dropDuplicates(["doc", "block"])
-    return placed.groupBy("block").applyInArrow(_confirm(percent), "u long, v long")
+    sets = sets.select("doc", "digest", "shingles", "odd", F.explode("places").alias("place"))
+    placed = sets.select("doc", "digest", "shingles", "odd", "place.block", "place.side")
+    if rows.groupBy("doc").count().where("count > 1").limit(1).count():  # rows with one id and set count once
+        placed = placed.dropDuplicates(["doc", "digest", "block"])
+    return placed.drop("digest").groupBy("block").applyInArrow(_confirm(percent), "u long, v long")
 
 
 def _sets_of(size: int):
