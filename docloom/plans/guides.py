@@ -55,9 +55,12 @@ SELECT l.page_id, l.href, CASE WHEN k.href IS NOT NULL THEN 'local' WHEN regexp_
 FROM l LEFT JOIN k ON k.href = l.href""")
 def h14(spark, d):
     p = table(spark, d, "pages")
-    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("href"))
-    keys = p.where("page_id < 40").select(F.regexp_extract("html", '<a [^>]*href="([^"]*)"', 1).alias("key")).distinct()
-    out = links.join(keys, F.col("href") == F.col("key"), "left")
+    links = p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("href"))
+    # the page a link leads to, as seen from its own; void links and fragments lead to none
+    aimed = F.when(~U.is_void(F.col("href")) & ~F.startswith(F.trim("href"), F.lit("#")), F.replace("href", F.lit("&amp;"), F.lit("&")))
+    links = links.withColumn("target", U.canonical(U.resolve("url", aimed)))
+    keys = p.select(U.canonical(U.normalise("url")).alias("key")).distinct()
+    out = links.join(keys, F.col("target") == F.col("key"), "left")
     return out.select("page_id", "href", W.anchor_action(F.col("key"), F.col("href"), U.is_online(F.col("href"))).alias("action"))
 
 
