@@ -75,6 +75,7 @@ class Files:
         parts = urlsplit(folder)
         self.local = parts.scheme in ("", "file")
         self.base = unquote(parts.path) if self.local else folder
+        self.maps: dict[str, np.ndarray] = {}  # one mapping for each file
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -87,20 +88,22 @@ class Files:
     def write(self, name: str, parts: Iterable[bytes]) -> int:
         """Write the parts one after another; returns the bytes written.
         Names must be new for each attempt: a retried task never overwrites."""
-        if self.local:
-            os.makedirs(self.base, exist_ok=True)
-            out = open(self.path(name), "wb")
-        else:
-            system, path = self._fs(name)
-            system.create_dir(path.rpartition("/")[0], recursive=True)
-            out = system.open_output_stream(path)
         size = 0
-        with out:
+        with self.create(name) as out:
             for part in parts:
                 out.write(part)
                 size += memoryview(part).nbytes
         return size
 
+    def create(self, name: str):
+        """A writer, to be closed by the caller; names as in write."""
+        if self.local:
+            os.makedirs(self.base, exist_ok=True)
+            return open(self.path(name), "wb")
+        system, path = self._fs(name)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(path)
+
     def open(self, name: str):
         """A seekable reader."""
         if self.local:
@@ -113,7 +116,9 @@ class Files:
         if not count:
             return np.empty(0, dtype)
         if self.local:
-            return np.memmap(self.path(name), dtype, "r", offset, (count,))
+            if name not in self.maps:
+                self.maps[name] = np.memmap(self.path(name), np.uint8, "r").view(np.ndarray)
+            return self.maps[name][offset : offset + count * np.dtype(dtype).itemsize].view(dtype)
         with self.open(name) as f:
             f.seek(offset)
             return np.frombuffer(f.read(count * np.dtype(dtype).itemsize), dtype)
@@ -286,6 +291,44 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def pack_pairs(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> bytes:
+    """As pack, for keys of two uint64 columns sorted by both."""
+    planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    big = counts[counts >= 255].astype(np.int64)
+    raw = np.int64([len(high), len(big)]).tobytes() + planes(np.diff(high, prepend=np.uint64(0))) + planes(low) + np.minimum(counts, 255).astype(np.uint8).tobytes() + big.tobytes()
+    return pa.Codec("zstd", 1).compress(raw, asbytes=True) + np.int64(len(raw)).tobytes()
+
+
+def unpack_pairs(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int(np.frombuffer(block, np.int64, 1, len(block) - 8)[0])
+    raw = pa.Codec("zstd").decompress(memoryview(block)[:-8], size, asbytes=True)
+    n, big = np.frombuffer(raw, np.int64, 2).tolist()
+    column = lambda at: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
+    counts = np.frombuffer(raw, np.uint8, n, 16 + 16 * n).astype(np.int64)
+    if big:
+        counts[counts == 255] = np.frombuffer(raw, np.int64, big, 16 + 17 * n)
+    return np.cumsum(column(16), dtype=np.uint64), column(16 + 8 * n), counts
+
+
+def summed_pairs(high: np.ndarray, low: np.ndarray, counts: np.ndarray | None = None, inverse: bool = False):
+    """As summed, for keys of two uint64 columns; with inverse, also the
+    position of each row's key."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    first = np.flatnonzero(new)
+    if counts is None:
+        total = np.diff(first, append=len(order))
+    else:
+        total = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
+    if not inverse:
+        return high[first], low[first], total
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return high[first], low[first], total, back
+
+
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts (1 each if None)."""
     if not len(keys):

@@ -1,37 +1,49 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
+"""LM scoring: an interpolated modified Kneser-Ney trigram model.
 
 1. Words are counted over all training texts. The vocabulary is stored as
    sorted arrays of 64-bit word hashes with their counts; a word's id is its
    rank among all hashes.
-2. Bigrams (the text's start, its words, one end) are counted over all
-   training texts as sorted 64-bit keys (id of the context, id of the word).
-3. Contexts' totals and continuation counts come from the distinct bigrams;
-   discounts from the counts of counts, at either order.
+2. Trigrams (u, v, w) of the text's start, its words and one end are counted
+   over all training texts and dealt out by the middle word v. All trigrams of
+   a middle word together give what the lower orders need: the contexts (u, v)
+   with their followers, and of each pair (v, w) the number of distinct u that
+   come before it. After the start nothing comes before: such a pair keeps its
+   own count.
+3. Words' continuation counts come from the distinct pairs; discounts from the
+   counts of counts of each order.
 4. Workers memory-map the arrays and score whole texts:
-   p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) * p1(w), with p1 the same
-   form over continuation counts, ending in 1 / (V + 1) for every word,
-   unknown ones included.
+   p(w|uv) = max(c(uvw) - D3(c), 0) / c(uv) + g(uv) * p2(w|v), with p2 the same
+   form over the pairs' counts of distinct u, p1 over the words' continuation
+   counts, ending in 1 / (V + 1) for every word, unknown ones included. The
+   first word of a text is scored by p2, as no trigram ends in it.
 
 Scale: counts travel as compressed sorted blocks that each task has added up
-first, dealt out by hash range; no row per token is shuffled. Bigrams of a
-context that holds more than its share of all tokens are dealt out by word as
-well, so a hot word spreads over all reduce tasks. What reaches the driver is
-a manifest of the array files, and the totals of at most 4 hot contexts per
-reduce task. Reduce tasks grow with the tokens (TOKENS_PER_TASK each).
+first; no row per token is shuffled. There are at most MAX_BUCKETS buckets,
+whatever the corpus, and one file of arrays for each. A bucket is cut into
+cells of about TOKENS_PER_TASK tokens, of which a reduce task holds one at a
+time: blocks are split by cell and sorted by Spark, which spills. A word that
+holds more than a quarter of a cell's share of all tokens is hot: its trigrams
+are dealt out by u, and by w where u is hot as well (only then can the pair be
+hot), and the partial sums of its pairs and contexts are added up in a second
+step. The driver gets one row for each bucket file and one for each hot word
+(at most four a cell); the manifest of files is itself a file.
 Array files have a new name for each attempt; only files that a kept task
 reports are read.
 
-Limits: ids have 32 bits (4 * 10^9 distinct words), and workers must be able
-to map files of the shared folder (other stores are read into memory). The
-bigram arrays hold 12 bytes for each distinct bigram of the corpus.
+Limits: ids have 32 bits; more than 2^32 - 3 distinct words raise an
+OverflowError. Counts have no limit below 2^63. Workers must be able to map
+files of the shared folder (other stores are read into memory). The arrays
+take 5 bytes for each distinct trigram and 13 for each distinct bigram.
 
 Defined cases: a null or empty text is its end alone. A null id has the
 crc32 of the empty text. A corpus without training rows gives uniform scores.
-Repeated rows count as often as they occur.
+Repeated rows count as often as they occur. Other columns of docs are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,13 +53,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Files, buffers, mix, pack, prepare, shared_folder, stored, summed, unpack, word_hashes
+from ._common import Files, buffers, mix, pack, pack_pairs, prepare, shared_folder, stored, summed, summed_pairs, unpack, unpack_pairs, word_hashes
 
 #: Stands for the end of a text in the vocabulary.
 END = np.uint64(0x8A5CD789635D2DFF)
-TOKENS_PER_TASK = 2_000_000
+#: Tokens of a cell, on average.
+TOKENS_PER_TASK = 3_000_000
 #: Tokens that a map task adds up before it sends blocks on.
 TOKENS_HELD = 3_000_000
+MAX_BUCKETS = 4096
+#: Ids are packed in 32 bits; two stand for the start and what is before it.
+MAX_WORDS = (1 << 32) - 3
+#: Bytes of blocks that are split by cell together.
+BYTES_SPLIT = 32 << 20
+#: Contexts with more followers than this have their sums stored.
+FOLLOWERS = 8
+
+LOW = np.uint64(0xFFFFFFFF)
+HALF = np.uint64(32)
 
 
 def _runs(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -56,83 +79,218 @@ def _runs(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.insert(h, np.cumsum(counts), END), counts + 1
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Packed blocks by bucket, from sorted keys."""
-    if len(bucket) and np.any(bucket[1:] < bucket[:-1]):
-        order = np.argsort(bucket, kind="stable")
-        keys, counts, bucket = keys[order], counts[order], bucket[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(edges))
-    packed = [pack(keys[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]) for b in full]
-    return pa.record_batch([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block"])
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of whole texts, and the texts' sizes, TOKENS_HELD at a time."""
+    held, sizes, n = [], [], 0
+    for batch in batches:
+        for h, counts in _runs(batch.column(0)):
+            held.append(h)
+            sizes.append(counts)
+            n += len(h)
+            if n >= TOKENS_HELD:
+                yield np.concatenate(held), np.concatenate(sizes)
+                held, sizes, n = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(sizes)
+
+
+# -- blocks and cells ------------------------------------------------------
+
+
+def _dealt(columns: tuple, place: np.ndarray, packer) -> tuple[list[int], list[bytes]]:
+    """Packed blocks by place, from sorted columns."""
+    if len(place) and np.any(place[1:] < place[:-1]):
+        order = np.argsort(place, kind="stable")
+        columns, place = tuple(c[order] for c in columns), place[order]
+    if not len(place):
+        return [], []
+    edges = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
+    return place[edges[:-1]].tolist(), [packer(*(c[a:b] for c in columns)) for a, b in zip(edges[:-1], edges[1:])]
+
 
+def _block_rows(places: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(places, pa.int64()), pa.array(blocks, pa.binary())], ["place", "block"])
 
-def _merged(blocks: dict[int, list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for bucket in sorted(blocks):
-        parts = [unpack(b) for b in blocks.pop(bucket)]
-        yield bucket, *summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
+def _by_cell(blocks: DataFrame, buckets: int, cells: int, place, packer, unpacker, adder) -> DataFrame:
+    """Blocks (place: a bucket) dealt out by bucket and sorted by cell. place
+    gives the cells of a block's columns; with one cell a bucket, a block is
+    of one cell already."""
+    dealt = blocks.repartition(buckets, "place")
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            columns = adder(*(np.concatenate(c) for c in zip(*parts)))
+            return _block_rows(*_dealt(columns, place(*columns[:-1]), packer))
+
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                parts.append(unpacker(block))
+                size += sum(c.nbytes for c in parts[-1])
+                if size >= BYTES_SPLIT:
+                    yield send()
+                    parts, size = [], 0
+        if parts:
+            yield send()
+
+    if cells > buckets:
+        dealt = dealt.mapInArrow(split, "place long, block binary")
+    return dealt.sortWithinPartitions("place")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], unpacker, adder) -> Iterator[tuple[int, tuple]]:
+    """(cell, added columns) from blocks that are sorted by cell."""
+    now, parts = None, []
     for batch in batches:
-        for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out.setdefault(bucket, []).append(block)
+        for cell, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if cell != now and parts:
+                yield now, adder(*(np.concatenate(c) for c in zip(*parts)))
+                parts = []
+            now = cell
+            parts.append(unpacker(block))
+    if parts:
+        yield now, adder(*(np.concatenate(c) for c in zip(*parts)))
+
+
+class Writer:
+    """Arrays of consecutive cells in one file, with a directory at its end."""
+
+    def __init__(self, files: Files, kind: str):
+        self.name = f"{kind}-{uuid.uuid4().hex}"
+        self.out, self.at, self.rows = files.create(self.name), 0, []
+
+    def add(self, cell: int, arrays: list[np.ndarray]) -> None:
+        row = [cell]
+        for a in arrays:
+            data = np.ascontiguousarray(a).tobytes()
+            self.out.write(data + bytes(-len(data) % 8))
+            row += [self.at, len(a)]
+            self.at += len(data) + -len(data) % 8
+        self.rows.append(row)
+
+    def close(self) -> tuple[str, int, int]:
+        self.out.write(np.array(self.rows, np.int64).tobytes())
+        self.out.close()
+        return self.name, self.at, len(self.rows)
+
+
+class Reader:
+    """The cells' arrays of all files of one kind."""
+
+    def __init__(self, files: Files, manifest: np.ndarray, per: int, dtypes: list):
+        # manifest rows: bucket, file (as bytes), directory's offset, cells
+        self.files, self.dtypes, self.per = files, dtypes, per
+        self.of = {int(r["bucket"]): r for r in manifest}
+        self.directories: dict[int, dict] = {}
+        self.open: dict[int, list[np.ndarray] | None] = {}
+
+    def cell(self, cell: int) -> list[np.ndarray] | None:
+        if cell not in self.open:
+            bucket = cell // self.per
+            if bucket not in self.directories:
+                r = self.of.get(bucket)
+                width = 1 + 2 * len(self.dtypes)
+                rows = self.files.array(r["file"].decode(), np.int64, int(r["cells"]) * width, int(r["at"])).reshape(-1, width) if r is not None else []
+                self.directories[bucket] = {int(row[0]): row for row in rows}
+            row = self.directories[bucket].get(cell)
+            name = self.of[bucket]["file"].decode() if row is not None else ""
+            self.open[cell] = None if row is None else [self.files.array(name, d, int(row[2 + 2 * i]), int(row[1 + 2 * i])) for i, d in enumerate(self.dtypes)]
+        return self.open[cell]
+
+
+MANIFEST = [("bucket", np.int64), ("file", "S64"), ("at", np.int64), ("cells", np.int64)]
+_FILE_ROW = "bucket long, file string, at long, cells long, numbers array<bigint>"
+
+
+def _file_row(bucket: int, made: tuple[str, int, int], numbers: list[int]) -> list[pa.Array]:
+    name, at, cells = made
+    return [pa.array([bucket], pa.int64()), pa.array([name]), pa.array([at], pa.int64()), pa.array([cells], pa.int64()), pa.array([numbers], pa.list_(pa.int64()))]
+
+
+def _small(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes, and the positions and values of those from 255 on."""
+    big = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype(np.uint8), big.astype(np.int64), counts[big].astype(np.int64)]
+
+
+def _whole(small: np.ndarray, at: np.ndarray, big_at: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """The counts at positions."""
+    out = small[at].astype(np.int64)
+    wide = np.flatnonzero(out == 255)
+    if len(wide):
+        out[wide] = big[np.searchsorted(big_at, at[wide])]
     return out
 
 
-def _by_hash(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a hash: equal ranges of its upper 32 bits, in order."""
-    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+SMALL = [np.uint8, np.int64, np.int64]
 
 
-class Vocabulary:
-    """Sorted word hashes in bucket files; ids are ranks over all buckets."""
+def _moments(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum, ones, twos and more of each group of counts."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
 
-    def __init__(self, folder: str, manifest: list[tuple[int, str, int]], buckets: int):
-        self.files, self.buckets, self.manifest = Files(folder), buckets, {b: (name, n) for b, name, n in manifest}
-        sizes = [self.manifest.get(b, ("", 0))[1] for b in range(buckets)]
-        self.starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def part(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        if bucket not in self.open:
-            name, n = self.manifest.get(bucket, ("", 0))
-            self.open[bucket] = (self.files.array(name, np.uint64, n), self.files.array(name, np.int64, n, 8 * n))
-        return self.open[bucket]
+def _times(counts: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
+
+
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate((np.ones(min(len(sorted_values), 1), bool), sorted_values[1:] != sorted_values[:-1])))
+
+
+def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The position of wanted[i] in the sorted values[low[i]:high[i]], or -1."""
+    low, out = low.copy(), np.full(len(wanted), -1, np.int64)
+    end, todo = high, np.flatnonzero(low < high)
+    top = high.copy()
+    while len(todo):
+        middle = (low[todo] + top[todo]) >> 1
+        less = values[middle] < wanted[todo]
+        low[todo[less]] = middle[less] + 1
+        top[todo[~less]] = middle[~less]
+        todo = todo[low[todo] < top[todo]]
+    found = np.flatnonzero(low < end)
+    hit = found[values[low[found]] == wanted[found]]
+    out[hit] = low[hit]
+    return out
 
-    def ids(self, hashes: np.ndarray, with_counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of sorted distinct hashes."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        edges = np.searchsorted(_by_hash(hashes, self.buckets), np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            keys, seen = self.part(int(b))
-            if len(keys):
-                part = hashes[edges[b] : edges[b + 1]]
-                at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                hit = keys[at] == part
-                ids[edges[b] : edges[b + 1]] = np.where(hit, at + self.starts[b], -1)
-                if with_counts:
-                    counts[edges[b] : edges[b + 1]] = np.where(hit, seen[at], 0)
-        return ids, counts
+
+def _member(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in sorted values, whether it is there)."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+# -- the model -------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """What workers need to score; the arrays stay in files."""
+    """What workers need to score; arrays and manifests stay in files."""
 
     folder: str
     buckets: int
-    vocabulary: list[tuple[int, str, int]]
+    cells: int
     tokens: int = 0
     words: int = 0
-    parts: list[tuple[int, str, int, int]] = field(default_factory=list)  # bucket, file, bigrams, contexts
-    continuations: list[tuple[int, str, int]] = field(default_factory=list)  # bucket, file, ids
-    hot: dict[int, tuple[int, int, int, int]] = field(default_factory=dict)  # context: total, ones, twos, more
-    discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    lower: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    bigrams: int = 0  # distinct
+    manifest: str = ""  # the file of all manifests and of the hot words
+    pairs: int = 0  # distinct bigrams
+    discounts: tuple[tuple[float, float, float], ...] = ((0.5, 1.0, 1.5),) * 3  # of orders 1 to 3
     lower_counts: tuple[int, int, int] = (0, 0, 0)  # words that continue one, two, more contexts
+    hot: list[int] = field(default_factory=list)
+
+    @property
+    def start(self) -> int:
+        return self.words
+
+    @property
+    def none(self) -> int:
+        """Stands before the start."""
+        return self.words + 1
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -146,134 +304,320 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def _bucket_of(first: np.ndarray, second: np.ndarray, hot: np.ndarray, words: int, buckets: int) -> np.ndarray:
-    """The bucket of a bigram: by ranges of its context's id (ids are ranks of
-    hashes, so ranges are even); of a hot context, by its word."""
-    out = first * buckets // (words + 1)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, first), len(hot) - 1)
-        salted = hot[at] == first
-        out = np.where(salted, (mix(second.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), out)
+def _by_hash(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of a hash: equal ranges of its upper 32 bits, in order."""
+    return (((hashes >> HALF) * np.uint64(cells)) >> HALF).astype(np.int64)
+
+
+def _by_id(ids: np.ndarray, model: Model) -> np.ndarray:
+    """The cell of an id: equal ranges (ids are ranks of hashes, so even)."""
+    return ids * model.cells // (model.words + 2)
+
+
+def _by_mix(ids: np.ndarray, model: Model) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(model.cells)).astype(np.int64)
+
+
+def _place(hi: np.ndarray, w: np.ndarray, model: Model, hot: np.ndarray) -> np.ndarray:
+    """The cell of a trigram (hi: v and u): by v; of a hot v, by u; of hot v
+    and u, by w."""
+    v, u = (hi >> HALF).astype(np.int64), hi & LOW
+    out = _by_id(v, model)
+    at = np.flatnonzero(_member(hot, v)[1])
+    if len(at):
+        both = _member(hot, u[at].astype(np.int64))[1]
+        out[at] = _by_mix(np.where(both, w[at], u[at]), model)
     return out
 
 
 def _count_words(train: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for h, _ in _runs(batch.column(0)):
-                held.append(h)
-                n += len(h)
-                if n >= TOKENS_HELD:
-                    keys, counts = summed(np.concatenate(held))
-                    yield _blocks(keys, counts, _by_hash(keys, buckets), buckets)
-                    held, n = [], 0
-        if held:
-            keys, counts = summed(np.concatenate(held))
-            yield _blocks(keys, counts, _by_hash(keys, buckets), buckets)
+        for h, _ in _held(batches):
+            keys, counts = summed(h)
+            yield _block_rows(*_dealt((keys, counts), _by_hash(keys, buckets), pack))
+
+    return train.mapInArrow(run, "place long, block binary")
 
-    return train.mapInArrow(run, "bucket int, block binary")
 
+VOCABULARY = [np.uint64, np.int64, np.int64]
 
-def _vocabulary(train: DataFrame, folder: str, buckets: int) -> list:
-    """Write the vocabulary arrays; the manifest with each file's totals and
-    its words of more than one in 16 * buckets tokens."""
+
+def _vocabulary(train: DataFrame, model: Model) -> list:
+    """Write the vocabulary: hashes, counts, and the number of words of the
+    bucket before the cell."""
+    per = model.cells // model.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Files(folder)
-        for bucket, keys, counts in _merged(_gathered(batches)):
-            name = f"words-{uuid.uuid4().hex}"
-            files.write(name, [keys.tobytes(), counts.tobytes()])
-            top = np.sort(counts)[::-1][:64]
-            often = np.flatnonzero(counts >= max(int(top[-1]), 2)) if len(counts) else np.empty(0, int)
-            often = often[np.argsort(-counts[often], kind="stable")][:64]
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([often.tolist()], pa.list_(pa.int64())), pa.array([counts[often].tolist()], pa.list_(pa.int64()))], ["bucket", "file", "n", "total", "often", "counts"])
+        files, out, bucket = Files(model.folder), None, None
+        for cell, (keys, counts) in _cells(batches, unpack, summed):
+            if bucket != cell // per:
+                if out is not None:
+                    yield pa.record_batch(_file_row(bucket, out.close(), [words, tokens]), ["bucket", "file", "at", "cells", "numbers"])
+                out, bucket, words, tokens = Writer(files, "words"), cell // per, 0, 0
+            out.add(cell, [keys, counts, np.array([words], np.int64)])
+            words, tokens = words + len(keys), tokens + int(counts.sum())
+        if out is not None:
+            yield pa.record_batch(_file_row(bucket, out.close(), [words, tokens]), ["bucket", "file", "at", "cells", "numbers"])
 
-    parts = _count_words(train, buckets).repartition(buckets, "bucket").mapInArrow(run, "bucket int, file string, n long, total long, often array<bigint>, counts array<bigint>")
-    return sorted(stored(parts, "lm-words").collect())
+    blocks = _by_cell(_count_words(train, model.buckets), model.buckets, model.cells, lambda keys: _by_hash(keys, model.cells), pack, unpack, summed)
+    return stored(blocks.mapInArrow(run, _FILE_ROW), "lm-words").collect()
 
 
-def _encoded(vocabulary: Vocabulary, h: np.ndarray, with_counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    distinct, back = np.unique(h, return_inverse=True)
-    ids, counts = vocabulary.ids(distinct, with_counts)
-    return ids[back], counts[back] if with_counts else counts
+class Vocabulary:
+    """Ids and counts of word hashes."""
 
+    def __init__(self, model: Model, files: Files, manifest: np.ndarray, starts: np.ndarray):
+        self.model, self.starts = model, starts
+        self.read = Reader(files, manifest, model.cells // model.buckets, VOCABULARY)
 
-def _contexts(ids: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
-    """The id before each token; `start` before the first of a text."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    before[first] = start
-    return before
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and counts of sorted distinct hashes."""
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        place = _by_hash(hashes, self.model.cells)
+        edges = np.append(_starts(place), len(place))
+        per = self.model.cells // self.model.buckets
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            cell = int(place[a])
+            part = self.read.cell(cell)
+            if part is not None:
+                keys, seen, before = part
+                at, hit = _member(keys, hashes[a:b])
+                ids[a:b] = np.where(hit, at + int(before[0]) + self.starts[cell // per], -1)
+                counts[a:b] = np.where(hit, seen[at], 0)
+        return ids, counts
 
+    def encoded(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        distinct, back = np.unique(h, return_inverse=True)
+        ids, counts = self.ids(distinct)
+        return ids[back], counts[back]
 
-def _count_bigrams(train: DataFrame, model: Model, hot: list[int]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model.folder, model.vocabulary, model.buckets)
-        salted = np.array(sorted(hot), np.int64)
 
-        def send() -> pa.RecordBatch:
-            h = np.concatenate(held)
-            ids, _ = _encoded(vocabulary, h)
-            del h
-            before = _contexts(ids, np.concatenate(sizes), model.words)
-            keys, counts = summed(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-            first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            return _blocks(keys, counts, _bucket_of(first, second, salted, model.words, model.buckets), model.buckets)
-
-        held, sizes, n = [], [], 0
+def _save(files: Files, **arrays: np.ndarray) -> str:
+    body, name = io.BytesIO(), f"manifest-{uuid.uuid4().hex}"
+    np.savez(body, **arrays)
+    files.write(name, [body.getvalue()])
+    return name
+
+
+def _load(files: Files, name: str) -> dict[str, np.ndarray]:
+    with files.open(name) as f:
+        return dict(np.load(io.BytesIO(f.read())))
+
+
+def _rows(found: list) -> np.ndarray:
+    return np.array([(r.bucket, r.file.encode(), r.at, r.cells) for r in sorted(found, key=lambda r: r.bucket)], MANIFEST)
+
+
+def _frequent(spark, model: Model, manifest: str, limit: int) -> list[int]:
+    """Ids of all words with at least `limit` tokens."""
+    per = model.cells // model.buckets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files(model.folder)
+        known = _load(files, manifest)
+        read = Reader(files, known["words"], per, VOCABULARY)
         for batch in batches:
-            for h, counts in _runs(batch.column(0)):
-                held.append(h)
-                sizes.append(counts)
-                n += len(h)
-                if n >= TOKENS_HELD:
-                    yield send()
-                    held, sizes, n = [], [], 0
-        if held:
-            yield send()
+            for bucket in batch.column(0).to_pylist():
+                for cell in range(bucket * per, (bucket + 1) * per):
+                    part = read.cell(cell)
+                    if part is not None:
+                        yield pa.record_batch([pa.array(np.flatnonzero(part[1] >= limit) + int(part[2][0]) + known["starts"][bucket], pa.int64())], ["id"])
+
+    return sorted(r.id for r in spark.range(model.buckets).mapInArrow(run, "id long").collect())
+
+
+def _before(ids: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The two ids before each token."""
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    v = np.empty_like(ids)
+    v[1:] = ids[:-1]
+    v[first] = model.start
+    u = np.empty_like(ids)
+    u[1:] = v[:-1]
+    u[first] = model.none
+    return v, u
+
+
+def _joined(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return v.astype(np.uint64) << HALF | u.astype(np.uint64)
+
+
+def _count_trigrams(train: DataFrame, model: Model) -> DataFrame:
+    per = model.cells // model.buckets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files(model.folder)
+        known = _load(files, model.manifest)
+        vocabulary, hot = Vocabulary(model, files, known["words"], known["starts"]), np.array(model.hot, np.int64)
+        for h, sizes in _held(batches):
+            ids, _ = vocabulary.encoded(h)
+            v, u = _before(ids, sizes, model)
+            columns = summed_pairs(_joined(v, u), ids.astype(np.uint64))
+            del h, u, v, ids
+            yield _block_rows(*_dealt(columns, _place(*columns[:2], model, hot) // per, pack_pairs))
+
+    return train.mapInArrow(run, "place long, block binary")
+
+
+#: middle words and the start of their contexts; contexts' first words and the
+#: start of their followers; followers and counts; sums of large contexts
+TRIGRAMS = [np.uint32, np.int64, np.uint32, np.uint32, np.uint32, *SMALL, np.int64, np.int64]
+#: first words, the start of their followers and their sums; followers and counts
+PAIRS = [np.uint32, np.int64, np.int64, np.uint32, *SMALL]
+
+
+def _pair_arrays(keys: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays PAIRS of sorted pairs (v, w), the distinct v and their sums."""
+    v = (keys >> HALF).astype(np.uint32)
+    at = _starts(v)
+    sums = _moments(counts, at) if len(at) else np.zeros((0, 4), np.int64)
+    return [v[at], np.append(at, len(v)).astype(np.int64), sums.ravel(), (keys & LOW).astype(np.uint32), *_small(counts)], v[at], sums
+
+
+_STEP_ROW = f"kind string, {_FILE_ROW}, place long, block binary"
+_STEP = ["kind", "bucket", "file", "at", "cells", "numbers", "place", "block"]
+
+
+def _step_rows(kind: str, places: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    n = len(places)
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+    return pa.record_batch([pa.array([kind] * n, pa.string()), *none, pa.array(places, pa.int64()), pa.array(blocks, pa.binary())], _STEP)
 
-    return train.mapInArrow(run, "bucket int, block binary")
 
+def _step_numbers(kind: str, rows: np.ndarray) -> pa.RecordBatch:
+    n = len(rows)
+    none = [pa.nulls(n, t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
+    return pa.record_batch([pa.array([kind] * n, pa.string()), *none, pa.array(rows.tolist(), pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _STEP)
 
-def _write_bigrams(blocks: DataFrame, model: Model, hot: list[int]) -> DataFrame:
-    """Rows of three kinds: a file with its counts of counts; a hot context's
-    share; a block of continuation counts for the next step."""
+
+def _step_file(bucket: int, out: Writer, numbers: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([out.name.split("-")[0]]), *_file_row(bucket, out.close(), numbers), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], _STEP)
+
+
+def _write_trigrams(blocks: DataFrame, model: Model) -> DataFrame:
+    """Array files of trigrams and pairs with their counts of counts; sums of
+    contexts of two hot words; blocks of hot words' pairs; blocks of
+    continuation counts."""
+    per = model.cells // model.buckets
+    hot_ids = np.array(model.hot, np.int64)
+
+    def cell_arrays(hi: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The arrays TRIGRAMS, and (v, u, sums) of contexts of hot words."""
+        at = _starts(hi)
+        v, u = (hi[at] >> HALF).astype(np.int64), (hi[at] & LOW).astype(np.int64)
+        ends = np.append(at, len(hi))
+        sums = _moments(c, at) if len(at) else np.zeros((0, 4), np.int64)
+        shared = _member(hot_ids, v)[1] & _member(hot_ids, u)[1]
+        large = np.flatnonzero((np.diff(ends) > FOLLOWERS) & ~shared)
+        middles = _starts(v)
+        return [v[middles].astype(np.uint32), np.append(middles, len(v)).astype(np.int64), u.astype(np.uint32), ends.astype(np.uint32), w.astype(np.uint32), *_small(c), large, sums[large].ravel()], np.column_stack([v[shared], u[shared], sums[shared]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, salted = Files(model.folder), np.array(sorted(hot), np.int64)
-        for bucket, keys, counts in _merged(_gathered(batches)):
-            first = (keys >> np.uint64(32)).astype(np.int64)
-            at = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-            context = first[at]
-            sums = [np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts > 2)]
-            is_hot = np.isin(context, salted)
-            name, whole = f"bigrams-{uuid.uuid4().hex}", ~is_hot
-            files.write(name, [keys.tobytes(), counts.astype(np.uint32).tobytes(), context[whole].tobytes(), np.stack([s[whole] for s in sums], 1).tobytes()])
-            stats = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-            yield pa.record_batch([pa.array(["file"]), pa.array([bucket], pa.int32()), pa.array([name]), pa.array([[len(keys), int(whole.sum()), *stats]], pa.list_(pa.int64())), pa.array([None], pa.binary())], ["kind", "bucket", "file", "numbers", "block"])
-            for i in np.flatnonzero(is_hot):
-                yield pa.record_batch([pa.array(["hot"]), pa.array([bucket], pa.int32()), pa.array([""]), pa.array([[int(context[i]), *(int(s[i]) for s in sums)]], pa.list_(pa.int64())), pa.array([None], pa.binary())], ["kind", "bucket", "file", "numbers", "block"])
-            second, times = summed(keys & np.uint64(0xFFFFFFFF))
-            out = _blocks(second, times, (second.astype(np.int64) * model.buckets // (model.words + 1)), model.buckets)
-            k = out.num_rows
-            yield pa.record_batch([pa.array(["next"] * k), out.column(0), pa.array([""] * k), pa.array([[]] * k, pa.list_(pa.int64())), out.column(1)], ["kind", "bucket", "file", "numbers", "block"])
-
-    return blocks.repartition(model.buckets, "bucket").mapInArrow(run, "kind string, bucket int, file string, numbers array<bigint>, block binary")
+        files, grams, pairs, bucket = Files(model.folder), None, None, None
+        for cell, (hi, w, c) in _cells(batches, unpack_pairs, summed_pairs):
+            if bucket != cell // per:
+                if grams is not None:
+                    yield _step_file(bucket, grams, three)
+                    yield _step_file(bucket, pairs, two)
+                grams, pairs, bucket, three, two = Writer(files, "trigrams"), Writer(files, "pairs"), cell // per, [0] * 4, [0] * 5
+            real = (hi & LOW) != np.uint64(model.none)
+            arrays, shared = cell_arrays(hi[real], w[real], c[real])
+            grams.add(cell, arrays)
+            three = [a + b for a, b in zip(three, _times(c[real]))]
+            if len(shared):
+                yield _step_numbers("context", shared)
+            # pairs (v, w): how many u come before; after the start, the count
+            key, times = summed((hi >> HALF) << HALF | w, np.where(real, 1, c))
+            is_hot = _member(hot_ids, (key >> HALF).astype(np.int64))[1]
+            if is_hot.any():
+                k, t = key[is_hot], times[is_hot]
+                yield _step_rows("hot", *_dealt((k, t), _by_mix(k & LOW, model) // per, pack))
+                key, times = key[~is_hot], times[~is_hot]
+            pairs.add(cell, _pair_arrays(key, times)[0])
+            two = [a + b for a, b in zip(two, [*_times(times), len(key)])]
+            yield _continuations(key, model)
+        if grams is not None:
+            yield _step_file(bucket, grams, three)
+            yield _step_file(bucket, pairs, two)
+
+    cells = _by_cell(blocks, model.buckets, model.cells, lambda hi, w: _place(hi, w, model, hot_ids), pack_pairs, unpack_pairs, summed_pairs)
+    return cells.mapInArrow(run, _STEP_ROW)
+
+
+def _continuations(key: np.ndarray, model: Model) -> pa.RecordBatch:
+    word, times = summed(key & LOW)
+    return _step_rows("next", *_dealt((word, times), _by_id(word.astype(np.int64), model) // (model.cells // model.buckets), pack))
+
+
+def _write_hot_pairs(blocks: DataFrame, model: Model) -> DataFrame:
+    """The pairs of hot words, as _write_trigrams writes the others, and the
+    words' sums."""
+    per = model.cells // model.buckets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, out, bucket = Files(model.folder), None, None
+        for cell, (key, times) in _cells(batches, unpack, summed):
+            if bucket != cell // per:
+                if out is not None:
+                    yield _step_file(bucket, out, two)
+                out, bucket, two = Writer(files, "often"), cell // per, [0] * 5
+            arrays, words, sums = _pair_arrays(key, times)
+            out.add(cell, arrays)
+            two = [a + b for a, b in zip(two, [*_times(times), len(key)])]
+            yield _step_numbers("sums", np.column_stack([words.astype(np.int64), sums]))
+            yield _continuations(key, model)
+        if out is not None:
+            yield _step_file(bucket, out, two)
+
+    cells = _by_cell(blocks, model.buckets, model.cells, lambda key: _by_mix(key & LOW, model), pack, unpack, summed)
+    return cells.mapInArrow(run, _STEP_ROW)
+
+
+CONTINUATIONS = [np.uint32, *SMALL]
 
 
 def _write_continuations(blocks: DataFrame, model: Model) -> list:
+    per = model.cells // model.buckets
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Files(model.folder)
-        for bucket, keys, counts in _merged(_gathered(batches)):
-            name = f"continuations-{uuid.uuid4().hex}"
-            files.write(name, [keys.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes()])
-            stats = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([stats], pa.list_(pa.int64()))], ["bucket", "file", "n", "stats"])
+        files, out, bucket = Files(model.folder), None, None
+        for cell, (word, times) in _cells(batches, unpack, summed):
+            if bucket != cell // per:
+                if out is not None:
+                    yield _step_file(bucket, out, one)
+                out, bucket, one = Writer(files, "next"), cell // per, [0] * 5
+            out.add(cell, [word.astype(np.uint32), *_small(times)])
+            one = [a + b for a, b in zip(one, [*_times(times), len(word)])]
+        if out is not None:
+            yield _step_file(bucket, out, one)
+
+    cells = _by_cell(blocks, model.buckets, model.cells, lambda word: _by_id(word.astype(np.int64), model), pack, unpack, summed)
+    return stored(cells.mapInArrow(run, _STEP_ROW), "lm-continuations").collect()
+
 
-    parts = blocks.repartition(model.buckets, "bucket").mapInArrow(run, "bucket int, file string, n long, stats array<bigint>")
-    return sorted(stored(parts, "lm-continuations").collect())
+CONTEXTS = [np.uint64, np.int64]
+
+
+def _write_contexts(rows: DataFrame, model: Model) -> list:
+    """Sums of the contexts of two hot words: keys (v, u) and four sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files(model.folder)
+        found = [batch.to_pandas().to_numpy(np.int64) for batch in batches if batch.num_rows]
+        if found:
+            table = np.concatenate(found)
+            for bucket in np.unique(table[:, 0]).tolist():
+                part = table[table[:, 0] == bucket]
+                key = _joined(part[:, 1], part[:, 2])
+                order = np.argsort(key, kind="stable")
+                out = Writer(files, "contexts")
+                out.add(bucket, [key[order], part[order, 3:].ravel()])
+                yield _step_file(bucket, out, [])
+
+    n = [F.get("numbers", F.lit(i)) for i in range(6)]
+    sums = rows.groupBy(n[0].alias("v"), n[1].alias("u")).agg(*(F.sum(n[i]).alias(f"n{i}") for i in (2, 3, 4, 5)))
+    dealt = sums.select(((F.col("v") * 31 + F.col("u")) % model.buckets).alias("bucket"), "*").repartition(model.buckets, "bucket")
+    return stored(dealt.mapInArrow(run, _STEP_ROW), "lm-contexts").collect()
 
 
 def fit(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
@@ -283,29 +627,41 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
     folder = shared_folder(spark, "lm")
     rows = docs.where(train).select(F.col(text_col).cast("string").alias("text"))
     size = docs.where(train).agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)), F.count("*")).first()
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (size[0] // 6 + size[1]) // TOKENS_PER_TASK)
-    words = _vocabulary(rows, folder, buckets)
-    model = Model(folder, buckets, [(r.bucket, r.file, r.n) for r in words], sum(r.total for r in words), sum(r.n for r in words))
+    wanted = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (size[0] // 6 + size[1]) // TOKENS_PER_TASK)
+    buckets = min(wanted, MAX_BUCKETS)
+    model = Model(folder, buckets, buckets * -(-wanted // buckets))
+    files = Files(folder)
+    words = sorted(_vocabulary(rows, model), key=lambda r: r.bucket)
+    model.words, model.tokens = sum(r.numbers[0] for r in words), sum(r.numbers[1] for r in words)
     if not model.tokens:
         return model
-    # contexts with more than a quarter of a reduce task's share: at most 4 * buckets
-    starts = Vocabulary(folder, model.vocabulary, buckets).starts
-    limit = model.tokens // (4 * buckets) + 1
-    hot = [int(starts[r.bucket] + i) for r in words for i, c in zip(r.often, r.counts) if c >= limit]
-    if size[1] >= limit:
-        hot.append(model.words)  # the start of a text
-    out = stored(_write_bigrams(_count_bigrams(rows, model, hot), model, hot), "lm-bigrams")
-    made = out.where("kind = 'file'").select("bucket", "file", "numbers").collect()
-    model.parts = sorted((r.bucket, r.file, r.numbers[0], r.numbers[1]) for r in made)
-    model.bigrams = sum(n for _, _, n, _ in model.parts)
-    model.discounts = discounts([sum(r.numbers[k] for r in made) for k in (2, 3, 4, 5)])
-    shares = out.where("kind = 'hot'").groupBy(F.get("numbers", F.lit(0)).alias("id")).agg(*(F.sum(F.get("numbers", F.lit(i))).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()
-    model.hot = {r.id: (r.n1, r.n2, r.n3, r.n4) for r in shares}
-    rest = _write_continuations(out.where("kind = 'next'").select("bucket", "block"), model)
-    model.continuations = [(r.bucket, r.file, r.n) for r in rest]
-    n = [sum(r.stats[k] for r in rest) for k in range(4)]
-    model.lower = discounts(n)
-    model.lower_counts = (n[0], n[1], sum(r.n for r in rest) - n[0] - n[1])
+    if model.words > MAX_WORDS:
+        raise OverflowError(f"{model.words} distinct words: ids have 32 bits")
+    per_bucket = np.zeros(buckets, np.int64)
+    per_bucket[[r.bucket for r in words]] = [r.numbers[0] for r in words]
+    known = {"words": _rows(words), "starts": np.concatenate(([0], np.cumsum(per_bucket)))}
+    model.manifest = _save(files, **known)
+    limit = model.tokens // (4 * model.cells) + 1
+    model.hot = _frequent(spark, model, model.manifest, limit) + ([model.start, model.none] if size[1] >= limit else [])
+    out = stored(_write_trigrams(_count_trigrams(rows, model), model), "lm-trigrams")
+    made = out.where("kind in ('trigrams', 'pairs')").select("kind", "bucket", "file", "at", "cells", "numbers").collect()
+    three, two = [r for r in made if r.kind == "trigrams"], [r for r in made if r.kind == "pairs"]
+    often, nexts, contexts = [], out.where("kind = 'next'").select("place", "block"), []
+    sums: dict[int, tuple] = {}
+    if model.hot:
+        again = stored(_write_hot_pairs(out.where("kind = 'hot'").select("place", "block"), model), "lm-often")
+        often = again.where("kind = 'often'").select("bucket", "file", "at", "cells", "numbers").collect()
+        n = [F.get("numbers", F.lit(i)) for i in range(5)]
+        sums = {r.id: tuple(r)[1:] for r in again.where("kind = 'sums'").groupBy(n[0].alias("id")).agg(*(F.sum(n[i]).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()}
+        nexts = nexts.unionByName(again.where("kind = 'next'").select("place", "block"))
+        contexts = _write_contexts(out.where("kind = 'context'").select("numbers"), model)
+    one = _write_continuations(nexts, model)
+    model.pairs = sum(r.numbers[4] for r in two + often)
+    times = [[sum(r.numbers[k] for r in of) for k in range(4)] for of in (one, two + often, three)]
+    model.discounts = tuple(discounts(n) for n in times)
+    model.lower_counts = (times[0][0], times[0][1], sum(r.numbers[4] for r in one) - times[0][0] - times[0][1])
+    hot = np.array(sorted(sums), np.int64)
+    model.manifest = _save(files, **known, trigrams=_rows(three), pairs=_rows(two), often=_rows(often), next=_rows(one), contexts=_rows(contexts), hot=hot, hot_sums=np.array([sums[i] for i in hot.tolist()], np.int64).reshape(-1, 4))
     return model
 
 
@@ -313,93 +669,135 @@ class Scorer:
     """Scores runs of tokens with the mapped arrays of a model."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, Files(model.folder)
-        self.vocabulary = Vocabulary(model.folder, model.vocabulary, model.buckets)
-        self.parts = {b: (name, n, m) for b, name, n, m in model.parts}
-        self.rest = {b: (name, n) for b, name, n in model.continuations}
-        self.hot = np.array(sorted(model.hot), np.int64)
-        self.hot_sums = np.array([model.hot[i] for i in self.hot.tolist()], np.int64).reshape(-1, 4)
-        self.open: dict = {}
-
-    def _part(self, b: int):
-        if ("p", b) not in self.open:
-            name, n, m = self.parts[b]
-            get = self.files.array
-            self.open["p", b] = get(name, np.uint64, n), get(name, np.uint32, n, 8 * n), get(name, np.int64, m, 12 * n), get(name, np.int64, 4 * m, 12 * n + 8 * m).reshape(-1, 4)
-        return self.open["p", b]
-
-    def _rest(self, b: int):
-        if ("r", b) not in self.open:
-            name, n = self.rest[b]
-            self.open["r", b] = self.files.array(name, np.uint32, n), self.files.array(name, np.uint32, n, 4 * n)
-        return self.open["r", b]
+        self.model, files = model, Files(model.folder)
+        self.known = _load(files, model.manifest) if model.manifest else {}
+        if not self.known:
+            return
+        per = model.cells // model.buckets
+        get = lambda name, dtypes, per=per: Reader(files, self.known[name], per, dtypes)
+        self.vocabulary = Vocabulary(model, files, self.known["words"], self.known["starts"])
+        self.trigrams, self.pairs, self.often, self.next = get("trigrams", TRIGRAMS), get("pairs", PAIRS), get("often", PAIRS), get("next", CONTINUATIONS)
+        self.contexts = get("contexts", CONTEXTS, 1)
+        self.hot = np.array(model.hot, np.int64)
+
+    @staticmethod
+    def _groups(cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(cells, kind="stable")
+        edges = np.append(_starts(cells[order]), len(cells))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield int(cells[order[a]]), order[a:b]
+
+    def _discounted(self, order: int, counts: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted share, weight of the lower order)."""
+        d = np.array([0.0, *self.model.discounts[order - 1]])
+        seen = sums[:, 0] > 0
+        total = np.where(seen, sums[:, 0], 1)
+        share = np.where(seen, (counts - d[np.minimum(counts, 3)]) / total, 0.0)
+        return share, np.where(seen, (sums[:, 1:] * d[1:]).sum(axis=1) / total, 1.0)
 
     def lower(self, ids: np.ndarray) -> np.ndarray:
         """p1 of distinct sorted ids (-1: unknown)."""
         m = self.model
         times = np.zeros(len(ids), np.int64)
-        bucket = np.where(ids < 0, -1, ids * m.buckets // (m.words + 1))
-        for b in np.unique(bucket[bucket >= 0]):
-            if int(b) in self.rest:
-                keys, counts = self._rest(int(b))
-                of = np.flatnonzero(bucket == b)
-                at = np.minimum(np.searchsorted(keys, ids[of].astype(np.uint32)), len(keys) - 1)
-                times[of] = np.where(keys[at] == ids[of], counts[at], 0)
-        uniform = 1 / (m.words + 1)
-        if not m.bigrams:
-            return np.full(len(ids), uniform)
-        d = np.array([0, *m.lower])
-        held = sum(x * n for x, n in zip(m.lower, m.lower_counts))
-        return (times - d[np.minimum(times, 3)]) / m.bigrams + held / m.bigrams * uniform
-
-    def bigram(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted share, weight of p1) of distinct pairs, sorted."""
+        known = np.flatnonzero(ids >= 0)
+        for cell, of in self._groups(_by_id(ids[known], m)):
+            part = self.next.cell(cell)
+            if part is not None:
+                at, hit = _member(part[0], ids[known[of]])
+                times[known[of]] = np.where(hit, _whole(part[1], at, *part[2:]), 0)
+        d = np.array([0, *m.discounts[0]])
+        held = sum(x * n for x, n in zip(m.discounts[0], m.lower_counts))
+        return (times - d[np.minimum(times, 3)]) / m.pairs + held / m.pairs / (m.words + 1)
+
+    def pair(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted share, weight of p1) of pairs; -1: unknown."""
         m = self.model
-        share, weight = np.zeros(len(ids)), np.ones(len(ids))
-        known = np.flatnonzero(before >= 0)
-        d = np.array([0.0, *m.discounts])
-        sums = np.zeros((len(ids), 4), np.int64)
-        counts = np.zeros(len(ids), np.int64)
-        if len(known) and m.parts:
-            v, w = before[known], ids[known]
-            bucket = _bucket_of(v, w, self.hot, m.words, m.buckets)
-            own = v * m.buckets // (m.words + 1)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(m.buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                if int(b) in self.parts:
-                    keys, seen, context, totals = self._part(int(b))
-                    of = order[edges[b] : edges[b + 1]]
-                    pair = v[of].astype(np.uint64) << np.uint64(32) | (w[of] & 0xFFFFFFFF).astype(np.uint64)
-                    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                    counts[known[of]] = np.where((keys[at] == pair) & (w[of] >= 0), seen[at], 0)
-                    if len(context):
-                        at = np.minimum(np.searchsorted(context, v[of]), len(context) - 1)
-                        hit = (context[at] == v[of]) & (own[of] == b)
-                        sums[known[of][hit]] = totals[at[hit]]
-            if len(self.hot):
-                at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
-                hit = self.hot[at] == v
-                sums[known[hit]] = self.hot_sums[at[hit]]
-        seen = sums[:, 0] > 0
-        total = np.where(seen, sums[:, 0], 1)
-        share[seen] = ((counts - d[np.minimum(counts, 3)]) / total)[seen]
-        weight[seen] = ((sums[:, 1:] * d[1:]).sum(axis=1) / total)[seen]
-        return share, weight
+        counts, sums = np.zeros(len(v), np.int64), np.zeros((len(v), 4), np.int64)
+        known = np.flatnonzero(v >= 0)
+        at, is_hot = _member(self.hot, v[known])
+        at, listed = _member(self.known["hot"], v[known])
+        sums[known[listed]] = self.known["hot_sums"][at[listed]]
+        for read, these, cell_of in ((self.pairs, known[~is_hot], lambda i: _by_id(v[i], m)), (self.often, known[is_hot & (w[known] >= 0)], lambda i: _by_mix(w[i], m))):
+            for cell, of in self._groups(cell_of(these)):
+                part = read.cell(cell)
+                if part is None:
+                    continue
+                of = these[of]
+                words, start, word_sums, follow, *small = part
+                at, hit = _member(words, v[of])
+                of, at = of[hit], at[hit]
+                if read is self.pairs:
+                    sums[of] = word_sums.reshape(-1, 4)[at]
+                found = _within(follow, start[at], start[at + 1], w[of])
+                counts[of[found >= 0]] = _whole(small[0], found[found >= 0], *small[1:])
+        return self._discounted(2, counts, sums)
+
+    def trigram(self, hi: np.ndarray, w: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted share, weight of p2) of trigrams with hi (v and u); not
+        ok: a context of unknown words or none."""
+        m = self.model
+        counts, sums = np.zeros(len(hi), np.int64), np.zeros((len(hi), 4), np.int64)
+        known = np.flatnonzero(ok)
+        h = hi[known]
+        v, u = (h >> HALF).astype(np.int64), (h & LOW).astype(np.int64)
+        shared = _member(self.hot, v)[1] & _member(self.hot, u)[1]
+        if shared.any():
+            keys, back = np.unique(h[shared], return_inverse=True)
+            sums[known[shared]] = self._context_sums(keys)[back]
+        cells = _place(h, np.maximum(w[known], 0).astype(np.uint64), m, self.hot)
+        for cell, of in self._groups(cells):
+            part = self.trigrams.cell(cell)
+            if part is None:
+                continue
+            middles, first, firsts, start, follow, small, big_at, big, large, large_sums = part
+            at, hit = _member(middles, v[of])
+            of, at = of[hit], at[hit]
+            context = _within(firsts, first[at], first[at + 1], u[of])
+            of, context = of[context >= 0], context[context >= 0]
+            low, high = start[context].astype(np.int64), start[context + 1].astype(np.int64)
+            found = _within(follow, low, high, w[known[of]])
+            counts[known[of[found >= 0]]] = _whole(small, found[found >= 0], big_at, big)
+            own = ~shared[of]
+            many = own & (high - low > FOLLOWERS)
+            sums[known[of[many]]] = large_sums.reshape(-1, 4)[np.searchsorted(large, context[many])]
+            few = np.flatnonzero(own & ~many)
+            total = np.zeros((len(few), 4), np.int64)
+            for i in range(FOLLOWERS):
+                more = np.flatnonzero(low[few] + i < high[few])
+                c = _whole(small, low[few[more]] + i, big_at, big)
+                total[more] += np.stack([c, c == 1, c == 2, c > 2], 1)
+            sums[known[of[few]]] = total
+        return self._discounted(3, counts, sums)
+
+    def _context_sums(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), 4), np.int64)
+        bucket = ((keys >> HALF) * np.uint64(31) + (keys & LOW)) % np.uint64(self.model.buckets)
+        for cell, of in self._groups(bucket.astype(np.int64)):
+            part = self.contexts.cell(cell)
+            if part is not None:
+                at, hit = _member(part[0], keys[of])
+                out[of[hit]] = part[1].reshape(-1, 4)[at[hit]]
+        return out
 
     def score(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score of each text."""
         m = self.model
-        ids, counts = _encoded(self.vocabulary, h, True)
-        before = _contexts(ids, sizes, m.words)
-        # pairs as one number each; -1 and the start become the largest ids
-        pair = (before + 1).astype(np.uint64) << np.uint64(32) | (ids + 1).astype(np.uint64)
-        distinct, back = np.unique(pair, return_inverse=True)
-        share, weight = self.bigram((distinct >> np.uint64(32)).astype(np.int64) - 1, (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1)
-        words, word_back = np.unique((distinct & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1, return_inverse=True)
-        logs = np.log10(share + weight * self.lower(words)[word_back])[back]
-        base = np.log10((counts + 1) / (m.tokens + m.words + 1))
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        if not self.known:
+            return np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
+        ids, counts = self.vocabulary.encoded(h)
+        v, u = _before(ids, sizes, m)
+        # distinct (v, u, w), moved up by one so that -1 can be packed
+        hi, w, _, back = summed_pairs(_joined(v + 1, u + 1), (ids + 1).astype(np.uint64), inverse=True)
+        v, u, w = (hi >> HALF).astype(np.int64) - 1, (hi & LOW).astype(np.int64) - 1, w.astype(np.int64) - 1
+        pair, pair_back = np.unique(_joined(v + 1, w + 1), return_inverse=True)
+        words, word_back = np.unique((pair & LOW).astype(np.int64) - 1, return_inverse=True)
+        share, weight = self.pair((pair >> HALF).astype(np.int64) - 1, (pair & LOW).astype(np.int64) - 1)
+        two = share + weight * self.lower(words)[word_back]
+        ok = (v >= 0) & (u >= 0) & (u != m.none)
+        share, weight = self.trigram(_joined(np.maximum(v, 0), np.maximum(u, 0)), w, ok)
+        logs = np.log10(share + weight * two[pair_back])[back]
+        base = np.log10((counts + 1) / (m.tokens + m.words + 1))
         return np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first)
 
 
@@ -411,7 +809,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            # texts of a batch together: distinct pairs are looked up once
+            # texts of a batch together: distinct trigrams are looked up once
             runs = list(_runs(batch.column(1)))
             sizes = np.concatenate([c for _, c in runs])
             known, base, total = scorer.score(np.concatenate([h for h, _ in runs]), sizes)

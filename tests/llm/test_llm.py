@@ -290,42 +290,65 @@ def test_drop_copies(odd, empty):
 # -- 7 ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("per_task", [2_000_000, 50])
-def test_lm_equals_brute_force(spark, monkeypatch, per_task):
+@pytest.mark.parametrize("per_task, buckets", [(2_000_000, 4096), (50, 4096), (50, 3)])
+def test_lm_equals_brute_force(spark, monkeypatch, per_task, buckets):
     monkeypatch.setattr(lm_scoring, "TOKENS_PER_TASK", per_task)
+    monkeypatch.setattr(lm_scoring, "MAX_BUCKETS", buckets)
+    monkeypatch.setattr(lm_scoring, "BYTES_SPLIT", 2000)
     rng = random.Random(2)
-    texts = [" ".join(rng.choice(["the", "The", "of", "a", "bb", "cc", "dd", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40))) for _ in range(150)] + [None, ""]
+    texts = [" ".join(rng.choice(["the", "The", "of", "a", "bb", "cc", "dd", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40))) for _ in range(150)] + [None, "", "the of " * 400, "the of the of bb"]
     d = docs(spark, texts)
     model = lm_scoring.fit(d, F.col("doc_id") % 5 != 0)
     got = {r.doc_id: r for r in lm_scoring.score(d, model).collect()}
     words = [(t or "").lower().split() + [None] for t in texts]
-    uni, bi = collections.Counter(), collections.Counter()
+    uni, tri, starts = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in enumerate(words):
         if i % 5:
             uni.update(w)
-            bi.update(zip(["^", *w[:-1]], w))
+            starts[w[0]] += 1
+            tri.update(zip(["^", *w[:-2]], w[:-1], w[1:]))
     n, v = sum(uni.values()), len(uni)
-    ctx, cont = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
-    for (a, b), k in bi.items():
-        ctx[a][0] += k
-        ctx[a][min(k, 3)] += 1
-        cont[b] += 1
+    # a pair counts the distinct words before it, after the start its own count
+    bi = collections.Counter({("^", w): k for w, k in starts.items()})
+    bi.update((b, c) for _, b, c in tri)
+    cont = collections.Counter(b for _, b in bi)
+
+    def contexts(counts):
+        out = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for key, k in counts.items():
+            out[key[:-1]][0] += k
+            out[key[:-1]][min(k, 3)] += 1
+        return out
+
     count = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-    d2, d1 = [0, *lm_scoring.discounts(count(bi))], [0, *lm_scoring.discounts(count(cont))]
+    d3, d2, d1 = ([0, *lm_scoring.discounts(count(c))] for c in (tri, bi, cont))
+    c3, c2 = contexts(tri), contexts(bi)
     held = sum(d1[min(k, 3)] for k in cont.values()) / len(bi)
 
-    def p(a, b):
-        low = (cont[b] - d1[min(cont[b], 3)]) / len(bi) + held / (v + 1)
-        if a not in ctx:
+    def level(counts, d, sums, key, low):
+        if key[:-1] not in sums:
             return low
-        x = ctx[a]
-        return (bi[a, b] - d2[min(bi[a, b], 3)]) / x[0] + sum(d2[j] * x[j] for j in (1, 2, 3)) / x[0] * low
+        x, k = sums[key[:-1]], counts[key]
+        return (k - d[min(k, 3)]) / x[0] + sum(d[j] * x[j] for j in (1, 2, 3)) / x[0] * low
+
+    def p(a, b, w):
+        one = (cont[w] - d1[min(cont[w], 3)]) / len(bi) + held / (v + 1)
+        two = level(bi, d2, c2, (b, w), one)
+        return two if a is None else level(tri, d3, c3, (a, b, w), two)
 
-    assert abs(sum(p("the", w) for w in uni) + p("the", "never seen") - 1) < 1e-9
+    for context in (("the", "of"), ("w3", "bb"), ("^", "the"), (None, "^"), ("unseen", "the")):
+        assert abs(sum(p(*context, w) for w in uni) + p(*context, "never seen") - 1) < 1e-9
     for i, w in enumerate(words):
         assert got[i].n_tokens == len(w) and got[i].n_known == sum(uni[x] > 0 for x in w)
         assert math.isclose(got[i].base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(got[i].score, sum(math.log10(p(a, b)) for a, b in zip(["^", *w[:-1]], w)), rel_tol=1e-9)
+        want = sum(math.log10(p(a, b, x)) for a, b, x in zip([None, "^", *w], ["^", *w], w))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9)
+
+
+def test_lm_refuses_more_words_than_ids(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MAX_WORDS", 3)
+    with pytest.raises(OverflowError):
+        lm_scoring.fit(docs(spark, ["a b c d e"]), F.lit(True))
 
 
 def test_lm_of_odd_and_empty_tables(odd, empty):
