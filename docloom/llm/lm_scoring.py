@@ -22,11 +22,11 @@ first; no row per token is shuffled. There are at most MAX_BUCKETS buckets,
 whatever the corpus, and one file of arrays for each. A bucket is cut into
 cells of about TOKENS_PER_TASK tokens, of which a reduce task holds one at a
 time: blocks are split by cell and sorted by Spark, which spills. A word that
-holds more than a quarter of a cell's share of all tokens is hot: its trigrams
+holds more than half of a cell's share of all tokens is hot: its trigrams
 are dealt out by u, and by w where u is hot as well (only then can the pair be
 hot), and the partial sums of its pairs and contexts are added up in a second
 step. The driver gets one row for each bucket file and one for each hot word
-(at most four a cell); the manifest of files is itself a file.
+(at most two a cell); the manifest of files is itself a file.
 Array files have a new name for each attempt; only files that a kept task
 reports are read.
 
@@ -62,6 +62,8 @@ TOKENS_PER_TASK = 3_000_000
 #: Tokens that a map task adds up before it sends blocks on.
 TOKENS_HELD = 3_000_000
 MAX_BUCKETS = 4096
+#: Words whose continuation counts one task adds up.
+WORDS_PER_RANGE = 250_000
 #: Ids are packed in 32 bits; two stand for the start and what is before it.
 MAX_WORDS = (1 << 32) - 3
 #: Bytes of blocks that are split by cell together.
@@ -241,19 +243,29 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The position of wanted[i] in the sorted values[low[i]:high[i]], or -1."""
-    low, out = low.copy(), np.full(len(wanted), -1, np.int64)
-    end, todo = high, np.flatnonzero(low < high)
-    top = high.copy()
-    while len(todo):
-        middle = (low[todo] + top[todo]) >> 1
-        less = values[middle] < wanted[todo]
-        low[todo[less]] = middle[less] + 1
-        top[todo[~less]] = middle[~less]
-        todo = todo[low[todo] < top[todo]]
-    found = np.flatnonzero(low < end)
-    hit = found[values[low[found]] == wanted[found]]
-    out[hit] = low[hit]
+    """The position of wanted[i] in the sorted values[low[i]:high[i]], or -1.
+    Neighbours that look in one range are searched for together if many."""
+    wanted, out = wanted.astype(values.dtype), np.full(len(wanted), -1, np.int64)
+    at = low.copy()
+    start = _starts(low)
+    end = np.append(start[1:], len(low))
+    alone = np.ones(len(low), bool)
+    for a, b in zip(*(x[end - start >= 32].tolist() for x in (start, end))):
+        at[a:b] += np.searchsorted(values[low[a] : high[a]], wanted[a:b])
+        alone[a:b] = False
+    rows = np.flatnonzero(alone & (high - low > 1))
+    left, right, x = low[rows], high[rows], wanted[rows]
+    while len(rows):
+        middle = (left + right) >> 1
+        less = values[middle] < x
+        left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+        more = left < right
+        if not more.all():
+            at[rows] = left
+            rows, left, right, x = rows[more], left[more], right[more], x[more]
+    found = np.flatnonzero(at < high)
+    hit = found[values[at[found]] == wanted[found]]
+    out[hit] = at[hit]
     return out
 
 
@@ -261,6 +273,7 @@ def _member(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(position in sorted values, whether it is there)."""
     if not len(values):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    wanted = wanted.astype(values.dtype)  # -1 becomes a number that is no id
     at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
     return at, values[at] == wanted
 
@@ -283,6 +296,14 @@ class Model:
     lower_counts: tuple[int, int, int] = (0, 0, 0)  # words that continue one, two, more contexts
     hot: list[int] = field(default_factory=list)
 
+    @property
+    def ranges(self) -> int:
+        return min(self.buckets, 1 + self.words // WORDS_PER_RANGE)
+
+    @property
+    def ranges_hot(self) -> int:
+        return -(-self.buckets // 8)
+
     @property
     def start(self) -> int:
         return self.words
@@ -314,8 +335,8 @@ def _by_id(ids: np.ndarray, model: Model) -> np.ndarray:
     return ids * model.cells // (model.words + 2)
 
 
-def _by_mix(ids: np.ndarray, model: Model) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(model.cells)).astype(np.int64)
+def _by_mix(ids: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(cells)).astype(np.int64)
 
 
 def _place(hi: np.ndarray, w: np.ndarray, model: Model, hot: np.ndarray) -> np.ndarray:
@@ -326,7 +347,7 @@ def _place(hi: np.ndarray, w: np.ndarray, model: Model, hot: np.ndarray) -> np.n
     at = np.flatnonzero(_member(hot, v)[1])
     if len(at):
         both = _member(hot, u[at].astype(np.int64))[1]
-        out[at] = _by_mix(np.where(both, w[at], u[at]), model)
+        out[at] = _by_mix(np.where(both, w[at], u[at]), model.cells)
     return out
 
 
@@ -525,13 +546,13 @@ def _write_trigrams(blocks: DataFrame, model: Model) -> DataFrame:
             grams.add(cell, arrays)
             three = [a + b for a, b in zip(three, _times(c[real]))]
             if len(shared):
-                yield _step_numbers("context", shared)
+                yield _step_rows("context", *_dealt((shared,), _by_context(shared[:, 0], shared[:, 1], model), lambda rows: rows.astype(np.int64).tobytes()))
             # pairs (v, w): how many u come before; after the start, the count
             key, times = summed((hi >> HALF) << HALF | w, np.where(real, 1, c))
             is_hot = _member(hot_ids, (key >> HALF).astype(np.int64))[1]
             if is_hot.any():
                 k, t = key[is_hot], times[is_hot]
-                yield _step_rows("hot", *_dealt((k, t), _by_mix(k & LOW, model) // per, pack))
+                yield _step_rows("hot", *_dealt((k, t), _by_mix(k & LOW, model.ranges_hot), pack))
                 key, times = key[~is_hot], times[~is_hot]
             pairs.add(cell, _pair_arrays(key, times)[0])
             two = [a + b for a, b in zip(two, [*_times(times), len(key)])]
@@ -546,21 +567,25 @@ def _write_trigrams(blocks: DataFrame, model: Model) -> DataFrame:
 
 def _continuations(key: np.ndarray, model: Model) -> pa.RecordBatch:
     word, times = summed(key & LOW)
-    return _step_rows("next", *_dealt((word, times), _by_id(word.astype(np.int64), model) // (model.cells // model.buckets), pack))
+    return _step_rows("next", *_dealt((word, times), _by_range(word, model), pack))
+
+
+def _by_range(ids: np.ndarray, model: Model) -> np.ndarray:
+    """The range of an id, among as many as the vocabulary needs: each cell
+    sends a block to each range."""
+    return ids.astype(np.int64) * model.ranges // (model.words + 2)
 
 
 def _write_hot_pairs(blocks: DataFrame, model: Model) -> DataFrame:
     """The pairs of hot words, as _write_trigrams writes the others, and the
     words' sums."""
-    per = model.cells // model.buckets
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, out, bucket = Files(model.folder), None, None
         for cell, (key, times) in _cells(batches, unpack, summed):
-            if bucket != cell // per:
+            if bucket != cell:
                 if out is not None:
                     yield _step_file(bucket, out, two)
-                out, bucket, two = Writer(files, "often"), cell // per, [0] * 5
+                out, bucket, two = Writer(files, "often"), cell, [0] * 5
             arrays, words, sums = _pair_arrays(key, times)
             out.add(cell, arrays)
             two = [a + b for a, b in zip(two, [*_times(times), len(key)])]
@@ -569,7 +594,8 @@ def _write_hot_pairs(blocks: DataFrame, model: Model) -> DataFrame:
         if out is not None:
             yield _step_file(bucket, out, two)
 
-    cells = _by_cell(blocks, model.buckets, model.cells, lambda key: _by_mix(key & LOW, model), pack, unpack, summed)
+    n = model.ranges_hot
+    cells = _by_cell(blocks, n, n, None, pack, unpack, summed)
     return cells.mapInArrow(run, _STEP_ROW)
 
 
@@ -577,47 +603,50 @@ CONTINUATIONS = [np.uint32, *SMALL]
 
 
 def _write_continuations(blocks: DataFrame, model: Model) -> list:
-    per = model.cells // model.buckets
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, out, bucket = Files(model.folder), None, None
         for cell, (word, times) in _cells(batches, unpack, summed):
-            if bucket != cell // per:
+            if bucket != cell:
                 if out is not None:
                     yield _step_file(bucket, out, one)
-                out, bucket, one = Writer(files, "next"), cell // per, [0] * 5
+                out, bucket, one = Writer(files, "next"), cell, [0] * 5
             out.add(cell, [word.astype(np.uint32), *_small(times)])
             one = [a + b for a, b in zip(one, [*_times(times), len(word)])]
         if out is not None:
             yield _step_file(bucket, out, one)
 
-    cells = _by_cell(blocks, model.buckets, model.cells, lambda word: _by_id(word.astype(np.int64), model), pack, unpack, summed)
+    cells = _by_cell(blocks, model.ranges, model.ranges, None, pack, unpack, summed)
     return stored(cells.mapInArrow(run, _STEP_ROW), "lm-continuations").collect()
 
 
 CONTEXTS = [np.uint64, np.int64]
 
 
-def _write_contexts(rows: DataFrame, model: Model) -> list:
+def _by_context(v: np.ndarray, u: np.ndarray, model: Model) -> np.ndarray:
+    return (v * 31 + u) % model.ranges_hot
+
+
+def _context_rows(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(block, np.int64).reshape(-1, 6)
+    return _joined(rows[:, 0], rows[:, 1]), rows[:, 2:]
+
+
+def _write_contexts(blocks: DataFrame, model: Model) -> list:
     """Sums of the contexts of two hot words: keys (v, u) and four sums."""
 
+    def added(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        first = _starts(keys[order])
+        return keys[order][first], np.add.reduceat(sums[order], first, axis=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Files(model.folder)
-        found = [batch.to_pandas().to_numpy(np.int64) for batch in batches if batch.num_rows]
-        if found:
-            table = np.concatenate(found)
-            for bucket in np.unique(table[:, 0]).tolist():
-                part = table[table[:, 0] == bucket]
-                key = _joined(part[:, 1], part[:, 2])
-                order = np.argsort(key, kind="stable")
-                out = Writer(files, "contexts")
-                out.add(bucket, [key[order], part[order, 3:].ravel()])
-                yield _step_file(bucket, out, [])
-
-    n = [F.get("numbers", F.lit(i)) for i in range(6)]
-    sums = rows.groupBy(n[0].alias("v"), n[1].alias("u")).agg(*(F.sum(n[i]).alias(f"n{i}") for i in (2, 3, 4, 5)))
-    dealt = sums.select(((F.col("v") * 31 + F.col("u")) % model.buckets).alias("bucket"), "*").repartition(model.buckets, "bucket")
-    return stored(dealt.mapInArrow(run, _STEP_ROW), "lm-contexts").collect()
+        for cell, (keys, sums) in _cells(batches, _context_rows, added):
+            out = Writer(Files(model.folder), "contexts")
+            out.add(cell, [keys, sums.ravel()])
+            yield _step_file(cell, out, [])
+
+    n = model.ranges_hot
+    return stored(_by_cell(blocks, n, n, None, None, _context_rows, added).mapInArrow(run, _STEP_ROW), "lm-contexts").collect()
 
 
 def fit(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
@@ -641,7 +670,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
     per_bucket[[r.bucket for r in words]] = [r.numbers[0] for r in words]
     known = {"words": _rows(words), "starts": np.concatenate(([0], np.cumsum(per_bucket)))}
     model.manifest = _save(files, **known)
-    limit = model.tokens // (4 * model.cells) + 1
+    limit = model.tokens // (2 * model.cells) + 1
     model.hot = _frequent(spark, model, model.manifest, limit) + ([model.start, model.none] if size[1] >= limit else [])
     out = stored(_write_trigrams(_count_trigrams(rows, model), model), "lm-trigrams")
     made = out.where("kind in ('trigrams', 'pairs')").select("kind", "bucket", "file", "at", "cells", "numbers").collect()
@@ -654,7 +683,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text") -> Model:
         n = [F.get("numbers", F.lit(i)) for i in range(5)]
         sums = {r.id: tuple(r)[1:] for r in again.where("kind = 'sums'").groupBy(n[0].alias("id")).agg(*(F.sum(n[i]).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()}
         nexts = nexts.unionByName(again.where("kind = 'next'").select("place", "block"))
-        contexts = _write_contexts(out.where("kind = 'context'").select("numbers"), model)
+        contexts = _write_contexts(out.where("kind = 'context'").select("place", "block"), model)
     one = _write_continuations(nexts, model)
     model.pairs = sum(r.numbers[4] for r in two + often)
     times = [[sum(r.numbers[k] for r in of) for k in range(4)] for of in (one, two + often, three)]
@@ -676,7 +705,7 @@ class Scorer:
         per = model.cells // model.buckets
         get = lambda name, dtypes, per=per: Reader(files, self.known[name], per, dtypes)
         self.vocabulary = Vocabulary(model, files, self.known["words"], self.known["starts"])
-        self.trigrams, self.pairs, self.often, self.next = get("trigrams", TRIGRAMS), get("pairs", PAIRS), get("often", PAIRS), get("next", CONTINUATIONS)
+        self.trigrams, self.pairs, self.often, self.next = get("trigrams", TRIGRAMS), get("pairs", PAIRS), get("often", PAIRS, 1), get("next", CONTINUATIONS, 1)
         self.contexts = get("contexts", CONTEXTS, 1)
         self.hot = np.array(model.hot, np.int64)
 
@@ -700,7 +729,7 @@ class Scorer:
         m = self.model
         times = np.zeros(len(ids), np.int64)
         known = np.flatnonzero(ids >= 0)
-        for cell, of in self._groups(_by_id(ids[known], m)):
+        for cell, of in self._groups(_by_range(ids[known], m)):
             part = self.next.cell(cell)
             if part is not None:
                 at, hit = _member(part[0], ids[known[of]])
@@ -717,7 +746,7 @@ class Scorer:
         at, is_hot = _member(self.hot, v[known])
         at, listed = _member(self.known["hot"], v[known])
         sums[known[listed]] = self.known["hot_sums"][at[listed]]
-        for read, these, cell_of in ((self.pairs, known[~is_hot], lambda i: _by_id(v[i], m)), (self.often, known[is_hot & (w[known] >= 0)], lambda i: _by_mix(w[i], m))):
+        for read, these, cell_of in ((self.pairs, known[~is_hot], lambda i: _by_id(v[i], m)), (self.often, known[is_hot & (w[known] >= 0)], lambda i: _by_mix(w[i], m.ranges_hot))):
             for cell, of in self._groups(cell_of(these)):
                 part = read.cell(cell)
                 if part is None:
@@ -771,8 +800,7 @@ class Scorer:
 
     def _context_sums(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros((len(keys), 4), np.int64)
-        bucket = ((keys >> HALF) * np.uint64(31) + (keys & LOW)) % np.uint64(self.model.buckets)
-        for cell, of in self._groups(bucket.astype(np.int64)):
+        for cell, of in self._groups(_by_context((keys >> HALF).astype(np.int64), (keys & LOW).astype(np.int64), self.model)):
             part = self.contexts.cell(cell)
             if part is not None:
                 at, hit = _member(part[0], keys[of])

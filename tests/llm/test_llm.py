@@ -295,6 +295,7 @@ def test_lm_equals_brute_force(spark, monkeypatch, per_task, buckets):
     monkeypatch.setattr(lm_scoring, "TOKENS_PER_TASK", per_task)
     monkeypatch.setattr(lm_scoring, "MAX_BUCKETS", buckets)
     monkeypatch.setattr(lm_scoring, "BYTES_SPLIT", 2000)
+    monkeypatch.setattr(lm_scoring, "WORDS_PER_RANGE", 20)
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "The", "of", "a", "bb", "cc", "dd", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40))) for _ in range(150)] + [None, "", "the of " * 400, "the of the of bb"]
     d = docs(spark, texts)
