@@ -12,6 +12,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlsplit
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,42 @@ def hash_partitions(df: DataFrame, least: int = 8) -> int:
     return max(least, df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with groups, which have one row for each key and n, the
+    number of rows of that key among all `total`. Keys that hold a share of
+    1 / (2 * partitions) or more, at most 2 * partitions of them, are broadcast,
+    so that their rows stay where they are; the rest meet by a shuffle."""
+    limit = -(-total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if total else 1
+    hot, rest = F.broadcast(groups.where(F.col("n") >= limit)), groups.where(F.col("n") < limit)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+#: Bits of a Bitmap: 8 MB, whatever it holds.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every key (one binary column) has its
+    bit set. It may let other keys through, the more the more keys there are:
+    use it only to spare work."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.unique(np.array([crc32(k) for k in batch.column(0).to_pylist()], np.int64) % BITMAP_BITS)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] >> 6 != at[:-1] >> 6)))
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+        return pa.record_batch([pa.array((at >> 6)[first]), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    words = in_arrow(keys, step, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    at = np.array([crc32(k) for k in keys], np.int64) % BITMAP_BITS
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def fresh(columns: Iterable[str], name: str) -> str:
     """`name`, or a variant that no column has (names compare without case)."""
     taken = {c.lower() for c in columns}
