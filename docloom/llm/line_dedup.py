@@ -4,16 +4,18 @@ Explode normalised lines, hash them (128 bits), count the distinct documents
 of each hash, drop lines found in `min_docs` documents or more, and put the
 rest together again by position.
 
-Scale: the counts are pre-aggregated on the map side, so a line that every
-document holds shuffles one row per task; the join that carries the verdict
-back to the documents holds narrow (hash, id) rows and is split by adaptive
-execution when a hash is hot; texts shuffle once, by document.
-
-Defined cases: a null or empty text is one empty line. A null id counts as
-one document that comes after all others. Rows that share an id count as one
-document and are all treated alike. Keys shorter than `min_chars` code points
-are never dropped. An empty table gives an empty result. Extra columns pass
-through untouched, whatever their names.
+Scale: line keys are computed once and stored as narrow (hash, id) rows. The
+counts are pre-aggregated on the map side, so a line that every document holds
+shuffles one row per task; the verdicts of the most frequent lines, whose
+number is bounded, are broadcast to the rows, and the others meet them by a
+shuffle of narrow rows. Texts shuffle once, by document.
+
+Defined cases: a null or empty text is one empty line. All rows with a null id
+count as one document that comes after all others, also after the greatest id
+there is. Rows that share an id count as one document and are all treated
+alike. Keys shorter than `min_chars` code points are never dropped. An empty
+table gives an empty result. Extra columns pass through untouched, but for
+columns named kept_text, n_lines or n_dropped, which the result replaces.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, fresh, in_arrow, prepare, texts
-
-LAST_ID = (1 << 63) - 1
+from ._common import WHITE, fresh, in_arrow, prepare, stored, texts, with_group
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -73,16 +73,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`keep` columns of docs (all by default), then kept_text, n_lines and
     n_dropped; a column of docs with such a name is left out."""
     prepare(docs.sparkSession)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    pairs = in_arrow(docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text")), _keys(min_chars), "doc long, line binary")
-    seen = pairs.groupBy("line")
+    doc = F.col(id_col).cast("long")
+    pairs = stored(in_arrow(docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text")), _keys(min_chars), "doc long, line binary"), "line-keys")
+    # documents with an id, and one more for all without
+    unnamed = F.count("*") > F.count("doc")
     if min_docs == 2:  # two documents: the least and the greatest id differ
-        shared = seen.agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+        known = F.when(F.min("doc") < F.max("doc"), 2).when(F.min("doc").isNotNull(), 1).otherwise(0)
     else:
-        shared = seen.agg(F.min("doc").alias("first"), F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_docs)
-    drops = pairs.join(shared.select("line", "first"), "line").where("doc > first").groupBy("doc").agg(F.collect_set("line").alias("drops"))
+        known = F.count_distinct("doc")
+    seen = pairs.groupBy("line").agg(F.min("doc").alias("first"), (known + F.when(unnamed, 1).otherwise(0)).alias("docs"), F.count("*").alias("n"))
+    shared = stored(seen.where(F.col("docs") >= min_docs).select("line", "first", "n"), "line-shared")
+    judged = with_group(pairs, shared, "line", pairs.count())
+    drops = judged.where("first is not null and (doc is null or doc > first)").groupBy("doc").agg(F.collect_set("line").alias("drops"))
     names = [c for c in (keep or docs.columns) if c not in ("kept_text", "n_lines", "n_dropped")]
     key, lines, body = (fresh(names, x) for x in ("doc", "drops", "body"))
-    wide = docs.select(*names, doc.alias(key), F.col(text_col).cast("string").alias(body)).join(drops.select(F.col("doc").alias(key), F.col("drops").alias(lines)), key, "left")
+    drops = drops.select(F.col("doc").alias(key), F.col("drops").alias(lines))
+    texts_of = docs.select(*names, doc.alias(fresh([*names, key], "own")), F.col(text_col).cast("string").alias(body))
+    wide = texts_of.join(drops, texts_of[texts_of.columns[-2]].eqNullSafe(drops[key]), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     return in_arrow(wide.select(body, lines, *names), _reassemble(min_chars), f"{schema}, kept_text string, n_lines long, n_dropped long")
