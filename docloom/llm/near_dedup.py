@@ -7,13 +7,17 @@
    the sample sets differ in, which tells high similarities apart precisely.
 2. Copies: documents with the same shingle set form one class; its smallest
    id stands for it from here on.
-3. Candidates: classes that share a band key belong to one candidate group
-   (components over class-to-least-class edges, linear in the classes).
-4. Links: each candidate group is compared within, in blocks of bounded bytes
-   (a group that is larger is cut into chunks, and every pair of chunks is one
-   task). A pair whose sizes allow the threshold and whose odd sketches do not
-   rule it out is confirmed on the full sets, unless confirmed links already
-   connect it. A block returns the links of a spanning forest only.
+3. Candidates: within each bucket of classes that share a band key, sizes and
+   odd sketches rule pairs out. The bucket's first class is compared with all,
+   then each class that is not connected to it; what remains is a spanning
+   forest of the bucket. Components over the buckets' forests are the candidate
+   groups. A bucket of many classes is cut into chunks that meet pairwise.
+4. Links: each candidate group is compared within. A pair whose sizes allow the
+   threshold and whose odd sketches do not rule it out is confirmed on the full
+   sets, unless confirmed links already connect it. A group of more than
+   CHUNK_BYTES is compared with its head first, in chunks; then the classes
+   that are not linked to the head are compared with the whole group, chunk by
+   chunk. A block returns the links of a spanning forest only.
 5. Components over the confirmed links give each document's class.
 
 Chance: with 40 bands of 6 samples a link at similarity 0.85 is missed with a
@@ -21,8 +25,11 @@ probability of 6e-9 (0.80: 6e-6), and the sketch margin lies more than six
 standard deviations off. No bucket, partner or candidate is capped.
 
 Scale: texts are read twice, once for sketches and once for the sets of
-classes that have candidates at all; only those sets are shuffled (8 bytes a
-shingle), to the block or blocks of their group.
+classes that have candidates at all. No text is shuffled: the second pass
+leaves out other texts by a bitmap of fixed size (8 MB; those that it lets
+through leave at the join), and what moves on are sets of candidates (8 bytes
+a shingle) and, in buckets of two and more, sketches (128 bytes). Group tables
+meet their rows by with_group, which broadcasts a bounded number of hot keys.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all
 its words; without words (or null) it has no shingles, links with nothing and
@@ -40,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, fresh, in_arrow, mix, prepare, stored, word_hashes
+from ._common import bitmap, buffers, fresh, in_arrow, in_bitmap, mix, prepare, stored, with_group, word_hashes
 from .components import components
 
 BANDS, ROWS = 40, 6
@@ -49,7 +56,9 @@ SKETCH_BITS = 1024
 #: An estimate this far below the threshold still goes to the full sets.
 MARGIN = 0.20
 #: Bytes of shingle sets that one chunk of a group holds (one larger set extends it).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
+#: Classes of a band's bucket that one block compares, twice.
+BAND_ROWS = 4096
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -66,10 +75,10 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.n
         if count >= size:
             yield np.unique(wide[start : end - size + 1])
         elif count:
-            short = np.uint64(count)
-            for h in hashes[start:end]:
-                short = short * np.uint64(0xC2B2AE3D27D4EB4F) + h
-            yield mix(np.array([short], np.uint64))
+            short = np.array([count], np.uint64)
+            for k in range(start, end):
+                short = short * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[k : k + 1]
+            yield mix(short)
         else:
             yield np.empty(0, np.uint64)
 
@@ -125,21 +134,89 @@ def _sketch(size: int):
             for s in shingles(run, counts, size):
                 n.append(len(s))
                 if not len(s):
-                    digests.append(b""), bands.append(b""), odd.append(b"")
+                    digests.append(b""), bands.append([]), odd.append(b"")
                     continue
                 drawn = _samples(s, a, b)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(_band_keys(drawn).tobytes())
+                bands.append(_band_keys(drawn).view(np.int64))
                 odd.append(odd_sketch(drawn).tobytes())
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary()), pa.array(odd, pa.binary())], ["doc", "n", "digest", "bands", "odd"])
+        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc", "n", "digest", "bands", "odd"])
 
     return step
 
 
-def _explode_bands(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(doc, bands) to (band, doc), one row for each band."""
-    keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-    return pa.record_batch([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "doc"])
+def _near_links(docs: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, words: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """For each block of rows (bounds: where blocks start, and the end) a
+    spanning forest of the pairs that sizes and sketches let pass. The first
+    row is compared with all; then each row that is not connected to it."""
+    floor = percent / 100 - MARGIN
+
+    def near(of: np.ndarray | int, among: slice) -> np.ndarray:
+        fits = 100 * np.minimum(sizes[of], sizes[among]) >= percent * np.maximum(sizes[of], sizes[among])
+        return fits & (estimate(np.bitwise_count(words[among] ^ words[of]).sum(axis=-1)) >= floor)
+
+    counts = np.diff(bounds)
+    first = np.repeat(bounds[:-1], counts)
+    to_first = near(first, slice(0, len(docs)))
+    own = np.arange(len(docs)) == first
+    links = list(zip(docs[to_first & ~own].tolist(), docs[first[to_first & ~own]].tolist()))
+    missing = np.add.reduceat((~to_first).astype(np.int64), bounds[:-1]) if len(docs) else np.empty(0, np.int64)
+    for k in np.flatnonzero((missing > 0) & (counts > 2)).tolist():
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        label = np.where(to_first[a:b], 0, np.arange(b - a))
+        for i in np.flatnonzero(~to_first[a:b]).tolist():
+            found = np.flatnonzero(near(a + i, slice(a, b)) & (label != label[i]))
+            for j in found.tolist():
+                if label[j] != label[i]:
+                    links.append((int(docs[a + i]), int(docs[a + j])))
+                    label[label == label[i]] = label[j]
+    return links
+
+
+def _near_blocks(percent: int):
+    """Over rows sorted by block: the links of each block's spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def linked(table: pa.Table) -> pa.RecordBatch:
+            block = np.stack([table.column(c).to_numpy() for c in ("band", "a", "b")], 1)
+            bounds = np.concatenate(([0], np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1, [len(block)]))
+            odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(len(block), -1)
+            links = _near_links(table.column("doc").to_numpy(), bounds, table.column("n").to_numpy(), odd, percent)
+            return pa.record_batch([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # all but the last block, which the next batch may go on with
+            last = [held.column(c)[-1].as_py() for c in ("band", "a", "b")]
+            whole = held.num_rows
+            while whole and [held.column(c)[whole - 1].as_py() for c in ("band", "a", "b")] == last:
+                whole -= 1
+            if whole:
+                yield linked(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield linked(held)
+
+    return run
+
+
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Links u, v that connect the classes of each candidate group."""
+    spark = classes.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bands = classes.select(F.explode("bands").alias("band"), "doc")
+    shared = stored(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
+    rows = with_group(bands, shared, "band", classes.count() * BANDS)
+    chunks = F.ceil(F.col("n") / BAND_ROWS).cast("long")
+    rows = rows.select("band", "doc", chunks.alias("chunks"), F.pmod(F.xxhash64("doc"), chunks).alias("chunk"))
+    # a chunk meets every other one; each block compares all its rows
+    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), F.col("chunk")))).alias("other")
+    rows = rows.select("band", "doc", "chunk", other).select("band", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "doc")
+    rows = rows.join(classes.select("doc", "n", "odd"), "doc")
+    dealt = rows.select("band", "a", "b", "doc", "n", "odd").repartition(tasks, "band", "a", "b").sortWithinPartitions("band", "a", "b", "doc")
+    return components(dealt.mapInArrow(_near_blocks(percent), "u long, v long"))
 
 
 def _links_of_block(docs: list[int], sets: list[np.ndarray], odd: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -218,15 +295,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    drawn = stored(in_arrow(rows, _sketch(shingle), "doc long, n long, digest binary, bands binary, odd binary"), "near-sketches")
+    drawn = stored(in_arrow(rows, _sketch(shingle), "doc long, n long, digest binary, bands array<bigint>, odd binary"), "near-sketches")
     real = drawn.where("n > 0 and doc is not null")
     # classes of equal sets; the sketches of equal sets are equal
     classes = stored(real.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "near-classes")
-    bands = in_arrow(classes.select("doc", "bands"), _explode_bands, "band long, doc long")
-    heads = bands.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("band", "head")
-    heads = stored(heads, "near-heads")  # so that the join can split a hot band
-    edges = bands.join(heads, "band").where("doc != head").select(F.col("doc").alias("u"), F.col("head").alias("v")).distinct()
-    groups = components(edges)
+    groups = _candidates(classes, percent)
     links = _confirmed(rows, classes, groups, shingle, percent, chunk_bytes)
     # an id that stands for several sets, or is in several classes, joins them
     members = real.select("doc", "digest").join(classes.select("digest", F.col("doc").alias("head")), "digest").where("doc != head").select(F.col("doc").alias("u"), F.col("head").alias("v"))
@@ -238,34 +311,47 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _confirmed(rows: DataFrame, classes: DataFrame, groups: DataFrame, shingle: int, percent: int, chunk_bytes: int) -> DataFrame:
     """The links u, v within the candidate groups, from blocks of their sets."""
-    sized = groups.join(classes.select(F.col("doc").alias("node"), "n", "digest", "odd"), "node")
-    sums = sized.groupBy("component").agg(F.sum(F.col("n") * 8 + 512).alias("bytes"))
-    sums = sums.withColumn("chunks", F.ceil(F.col("bytes") / chunk_bytes).cast("int"))
-    cut = sized.join(sums.select("component", "chunks"), "component")
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # chunk c meets each chunk d: block (c, d) with c < d, and (c, c) alone
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")
-    blocks = cut.select("node", "component", "chunk", "digest", "odd", other)
-    blocks = blocks.select("node", "digest", "odd", F.struct("component", F.least("chunk", "d").alias("a"), F.greatest("chunk", "d").alias("b")).alias("block"), F.when(F.col("chunk") == F.col("d"), 0).when(F.col("chunk") < F.col("d"), 1).otherwise(2).alias("side"))
-    per_doc = blocks.groupBy("node", "digest", "odd").agg(F.collect_list(F.struct("block", "side")).alias("places"))
-    wanted = rows.join(per_doc, rows["doc"] == per_doc["node"])
-    sets = in_arrow(wanted.select("doc", "text", "digest", "odd", "places"), _sets_of(shingle), "doc long, digest binary, shingles binary, odd binary, places array<struct<block:struct<component:bigint,a:int,b:int>,side:int>>")
-    sets = sets.select("doc", "digest", "shingles", "odd", F.explode("places").alias("place"))
-    placed = sets.select("doc", "digest", "shingles", "odd", "place.block", "place.side")
+    sized = groups.join(classes.select(F.col("doc").alias("node"), F.col("digest").alias("own"), "odd"), "node")
+    wanted = bitmap(groups.select(F.col("node").cast("string").cast("binary")))
+    found = in_arrow(rows, _sets_of(shingle, wanted), "doc long, digest binary, shingles binary")
     if rows.groupBy("doc").count().where("count > 1").limit(1).count():  # rows with one id and set count once
-        placed = placed.dropDuplicates(["doc", "digest", "block"])
-    return placed.drop("digest").groupBy("block").applyInArrow(_confirm(percent), "u long, v long")
-
-
-def _sets_of(size: int):
+        found = found.dropDuplicates(["doc", "digest"])
+    sets = found.join(sized, (F.col("doc") == F.col("node")) & (F.col("digest") == F.col("own"))).select("doc", "component", "shingles", "odd")
+    sets = stored(sets, "near-sets")
+    size = F.octet_length("shingles") + 256
+    sums = stored(sets.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.sum(size) / chunk_bytes).cast("int").alias("chunks")), "near-groups")
+    placed = with_group(sets, sums, "component", sets.count())
+    linked = lambda of, *block: of.groupBy(*block).applyInArrow(_confirm(percent), "u long, v long")
+    columns = ["doc", "component", "shingles", "odd", "side"]
+    links = linked(placed.where("chunks = 1").withColumn("side", F.lit(0)).select(*columns), "component")
+    if not sums.where("chunks > 1").limit(1).count():
+        return links
+    # larger groups: all against the group's head, then those that are not
+    # linked to it against all
+    dealt = lambda n: F.pmod(F.xxhash64("doc", "shingles"), F.col(n)).cast("int")
+    upto = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    large = placed.where("chunks > 1").withColumn("chunk", dealt("chunks"))
+    heads = large.where("doc = component").withColumn("side", F.lit(1)).select(*columns, upto("chunks", "chunk"))
+    others = large.where("doc != component").withColumn("side", F.lit(2)).select(*columns, "chunk")
+    star = stored(linked(heads.unionByName(others), "component", "chunk"), "near-star")
+    reached = star.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    rest = large.where("doc != component").join(reached, "doc", "left_anti")
+    left = stored(rest.groupBy("component").agg(F.ceil(F.sum(size) / chunk_bytes).cast("int").alias("parts"), F.count("*").alias("m")), "near-rest")
+    total = sets.count()
+    mine = with_group(rest.drop("n"), left.withColumnRenamed("m", "n"), "component", total).withColumn("part", dealt("parts")).withColumn("side", F.lit(1))
+    whole = with_group(large.drop("n"), sums.select("component", "n").join(left.select("component", "parts"), "component"), "component", total).withColumn("side", F.lit(2))
+    met = mine.select(*columns, "part", upto("chunks", "chunk")).unionByName(whole.select(*columns, "chunk", upto("parts", "part")).select(*columns, "part", "chunk"))
+    return links.unionByName(star).unionByName(linked(met, "component", "part", "chunk"))
+
+
+def _sets_of(size: int, wanted: np.ndarray):
     import hashlib
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Sets of the texts that have the class's digest; an id may have more."""
+        """Sets of the texts whose id is in a bitmap, with their digests."""
+        batch = batch.filter(pa.array(in_bitmap(wanted, [str(i).encode() for i in batch.column(0).to_pylist()])))
         sets = [s for run, counts in word_hashes(*buffers(batch.column(1))) for s in shingles(run, counts, size)]
-        mine = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column(2).to_pylist())]
-        out = pa.record_batch([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(3), batch.column(4)], ["doc", "digest", "shingles", "odd", "places"])
-        return out.filter(pa.array(mine, pa.bool_()))
+        return pa.record_batch([batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "digest", "shingles"])
 
     return step
 

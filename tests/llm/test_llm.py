@@ -92,6 +92,14 @@ def test_line_dedup(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_keeps_a_line_of_the_greatest_id_apart_from_rows_without_id(spark):
+    top = (1 << 63) - 1
+    d = spark.createDataFrame([(top, "a line that is shared\nx"), (None, "a line that is shared\ny"), (None, "only without an id"), (None, "only without an id")], "doc_id long, text string").withColumn("kept_text", F.lit("own"))
+    rows = line_dedup.dedup_lines(d)
+    assert rows.columns == ["doc_id", "text", "kept_text", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id is None, r.kept_text) for r in rows.collect()) == [(False, "a line that is shared\nx"), (True, "only without an id"), (True, "only without an id"), (True, "y")]
+
+
 def test_line_dedup_threshold_and_hot_line(spark):
     d = docs(spark, [f"the very same line\nown line number {i}" for i in range(200)])
     got = line_dedup.dedup_lines(d).select("n_dropped").groupBy("n_dropped").count().collect()
@@ -116,7 +124,7 @@ def brute_components(texts, size, percent):
 
     for i in texts:
         for j in texts:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * min(len(sets[i]), len(sets[j])) >= percent * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in texts}
@@ -134,8 +142,9 @@ def near_texts(n, seed=3):
     return texts
 
 
-@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
-def test_near_components_equal_brute_force(spark, size, percent):
+@pytest.mark.parametrize("size, percent, band_rows", [(3, 85, 4096), (5, 80, 4096), (5, 80, 2)])
+def test_near_components_equal_brute_force(spark, monkeypatch, size, percent, band_rows):
+    monkeypatch.setattr(near_dedup, "BAND_ROWS", band_rows)
     texts = near_texts(60)
     want = brute_components(dict(enumerate(texts)), size, percent)
     for chunk in (near_dedup.CHUNK_BYTES, 3000):  # whole groups, and groups cut into chunks
@@ -144,6 +153,26 @@ def test_near_components_equal_brute_force(spark, size, percent):
         assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_components_of_a_large_group(spark):
+    """A chain of copies of copies, most of which are far from the head."""
+    rng = random.Random(7)
+    words, texts = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)], []
+    for i in range(120):
+        words[(i * 7) % 200] = f"changed{i}"
+        texts.append(" ".join(words))
+    want = brute_components(dict(enumerate(texts)), 3, 85)
+    for chunk in (20_000, near_dedup.CHUNK_BYTES):
+        rows = near_dedup.near_components(docs(spark, texts), shingle=3, percent=85, chunk_bytes=chunk).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
+def test_near_query_equals_brute_force_on_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = brute_components({r.doc_id: r.text for r in rows}, 3, 85)
+    got = queries.op2_minhash_near_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_components_of_odd_rows(odd, empty):
     rows = near_dedup.near_components(odd).collect()
     assert len(rows) == odd.count()
