@@ -2,7 +2,8 @@
 
 Document statistics (shares of character classes, word shape, repetition,
 ...) are transformed to be roughly normal. Each class has a mean and a
-covariance shrunk towards the pooled covariance and its own diagonal; the
+covariance shrunk towards the pooled covariance and its own diagonal, the more
+the fewer rows the class has; the
 Cholesky factors are computed once with the model. A text's score comes from
 the difference of the two Mahalanobis log densities, made a probability by a
 logistic curve fitted on the training rows' differences.
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEGMENT, buffers, fresh, in_arrow, mix, prepare, stored, word_hashes
+from ._common import SEGMENT, bitmap, buffers, fresh, in_arrow, in_bitmap, mix, prepare, stored, word_hashes
 
-#: Shrinkage: share of the pooled covariance, then of the diagonal.
-POOLED, DIAGONAL = 0.02, 0.02
+#: Shrinkage: the least share of the pooled covariance, then of the diagonal,
+#: and the rows that weigh as much as a class's own covariance.
+POOLED, DIAGONAL, PRIOR_ROWS = 0.02, 0.02, 85
 KEEP_SCORE = 0.7
 
 #: Byte classes of UTF-8: later lines overrule earlier ones.
@@ -127,11 +129,14 @@ def squash(d: np.ndarray) -> np.ndarray:
     return np.sign(d) * np.log1p(np.abs(d))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics x of every row of docs, stored."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: np.ndarray | None = None) -> DataFrame:
+    """doc_id and the statistics x of every row of docs, stored; with a bitmap
+    of wanted ids, of those rows that it lets through."""
     prepare(docs.sparkSession)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if wanted is not None:
+            batch = batch.filter(pa.array(in_bitmap(wanted, [str(i).encode() for i in batch.column(0).to_pylist()])))
         x = statistics(batch.column(1))
         made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32()), pa.array(x.ravel()))
         return pa.record_batch([batch.column(0), made], ["doc_id", "x"])
@@ -166,7 +171,8 @@ def _sums(rows: DataFrame, step, width: int) -> dict[int, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model:
     """Learn from the rows of docs that have a label (joined by id)."""
-    return fit_features(features(docs, id_col, text_col), labels, id_col, label_col, pooled, diagonal)
+    wanted = bitmap(labels.select(F.col(id_col).cast("long").cast("string").cast("binary")).dropna())
+    return fit_features(features(docs, id_col, text_col, wanted), labels, id_col, label_col, pooled, diagonal)
 
 
 def fit_features(known: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model:
@@ -184,8 +190,10 @@ def fit_features(known: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     both = (scatter[0] + scatter[1]) / (sum(counts) - 2)
     factors, logdets = [], []
     for c in (0, 1):
-        cov = (1 - pooled) * scatter[c] / (counts[c] - 1) + pooled * both
-        cov = (1 - diagonal) * cov + diagonal * np.diag(np.diag(cov)) + 1e-3 * np.eye(d)
+        few = PRIOR_ROWS / (PRIOR_ROWS + counts[c])
+        to_both, to_diagonal = max(pooled, few), max(diagonal, few)
+        cov = (1 - to_both) * scatter[c] / (counts[c] - 1) + to_both * both
+        cov = (1 - to_diagonal) * cov + to_diagonal * np.diag(np.diag(cov)) + 1e-3 * np.eye(d)
         lower = np.linalg.cholesky(cov)
         factors.append(np.linalg.inv(lower))
         logdets.append(float(2 * np.log(np.diag(lower)).sum()))
