@@ -6,17 +6,24 @@ skips it if one of its symbols has changed since (a stale entry), links the
 merged symbol in and queues the two pairs it forms with its neighbours.
 Decoding concatenates the vocabulary strings.
 
-The file's normaliser (NFC, white space runs to one space, lower case), its
-splitting pattern, the byte alphabet, the word-end suffix and its special
-tokens (found in the raw text, leftmost first) are followed as written.
+Supported files have the normaliser NFC, white space runs to one space, lower
+case; a splitting pattern whose matches are the words, then bytes; a word-end
+suffix; special tokens that are found in the raw text, leftmost first; and no
+decoder. Any other setting is refused with a ValueError. Truncation, padding
+and post-processing are not applied.
 
-Scale: a pure map over rows, no shuffle. Words repeat, so each worker keeps
-the encodings of words in a table of bounded size, emptied when it is full.
+Scale: a pure map over rows, no shuffle. The driver reads the file and
+broadcasts its text (a few MB, whatever the corpus). Words repeat, so each
+worker keeps the encodings of words in a table of bounded size, emptied when
+it is full.
 
 Defined cases: a null text counts as empty and has no ids. A very long text
-is split into words one after another; a single long word costs n log n.
-Bytes without a symbol in the vocabulary are left out, as the model has no
-unknown token. Extra columns pass through encode_column untouched.
+is split into words one after another; a single long word costs n log n. Of
+merges with the same rank the leftmost goes first. Bytes without a symbol in
+the vocabulary are left out, as the model has no unknown token. Repeated rows
+and rows without an id are encoded each. An empty table gives an empty result.
+Extra columns pass through encode_column untouched, but for columns named as
+the two results, which they replace.
 """
 
 from __future__ import annotations
@@ -51,11 +58,28 @@ def byte_alphabet() -> dict[int, str]:
     return out
 
 
+def _check(spec: dict) -> None:
+    """Raise if the file asks for what is not done here."""
+    model = spec["model"]
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    wrong = {
+        "normalizer": normal != [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)],
+        "pre_tokenizer": [s["type"] for s in splits] != ["Split", "ByteLevel"] or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or "Regex" not in splits[0]["pattern"] or splits[1]["add_prefix_space"] or splits[1]["use_regex"],
+        "decoder": spec.get("decoder") is not None,
+        "model": model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"not supported in this tokenizer file: {', '.join(k for k, v in wrong.items() if v)}")
+
+
 class Tokenizer:
     """A BPE model with word ends, from a tokenizer file's text."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        _check(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -155,12 +179,17 @@ class Tokenizer:
 _loaded: dict[str, Tokenizer] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, loaded once in each process."""
-    if path not in _loaded:
-        with open(path, encoding="utf-8") as f:
-            _loaded[path] = Tokenizer(f.read())
-    return _loaded[path]
+def read(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def tokenizer(text: str) -> Tokenizer:
+    """The tokenizer of a file's text, made once in each process."""
+    if text not in _loaded:
+        _loaded.clear()
+        _loaded[text] = Tokenizer(text)
+    return _loaded[text]
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -168,9 +197,10 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
     names = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     body = fresh(names, "body")
     schema = docs.select(*names).schema
+    file = docs.sparkSession.sparkContext.broadcast(read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model = tokenizer(file.value)
         for batch in batches:
             ids = [model.encode(t or "") for t in batch.column(0).to_pylist()]
             yield pa.record_batch([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.string())], [*names, ids_col, decoded_col])
@@ -183,9 +213,10 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text;
     ids and decoded text are digested in the worker and not sent back."""
+    file = docs.sparkSession.sparkContext.broadcast(read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model = tokenizer(file.value)
         for batch in batches:
             n, shas, decoded = [], [], []
             for text in batch.column(1).to_pylist():
