@@ -36,23 +36,22 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder (URI or path) under spark.checkpoint.dir; that setting is
-    made here only where the session has none, as in tests."""
+    """A new folder (URI or path) under spark.checkpoint.dir. Where the session
+    has no such setting it is made here if Spark is local, as in tests; a
+    cluster must name a folder that its executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = os.path.join(os.getcwd(), "spark-warehouse", "shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(root or os.path.join(os.getcwd(), "spark-warehouse", "shared"))
-    return df.checkpoint(eager=True)
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that shared_folder named and nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

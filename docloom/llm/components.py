@@ -11,6 +11,11 @@ As soon as no more than FINISH links are left, one task finishes the work by
 union-find: a bounded number of rows (16 bytes each), checked by a count, in
 place of further rounds whose many small files cost more than the links. The
 result is the same either way. Nothing is collected but counts and a sum.
+
+Defined cases: links with a null end and links of a vertex to itself are left
+out; repeated and reversed links count once. Vertices without a link are not
+in the result. An empty edge list gives an empty result. Columns other than u
+and v are not looked at.
 """
 
 from __future__ import annotations

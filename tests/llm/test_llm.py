@@ -5,6 +5,7 @@ where SQL cannot say it."""
 import collections
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -193,6 +194,13 @@ def test_odd_sketch_tells_high_similarities():
         assert abs(near_dedup.estimate(np.bitwise_count(x ^ y).sum()) - true) < 0.1
 
 
+def test_components_of_odd_links(spark):
+    edges = spark.createDataFrame([(None, 1), (2, None), (3, 3), (5, 4), (4, 5), (5, 4)], "u long, v long").withColumn("node", F.lit("x"))
+    for finish in (None, 0):
+        assert {(r.node, r.component) for r in components.components(edges, finish=finish).collect()} == {(4, 4), (5, 4)}
+        assert components.components(edges.limit(0), finish=finish).count() == 0
+
+
 @pytest.mark.parametrize("finish", [None, 0, 150])
 def test_components_of_a_path_and_a_star(spark, finish):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
@@ -219,6 +227,32 @@ def test_shards_are_even_gapless_and_complete(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(d, 8, ranges=32).collect())
 
 
+@pytest.mark.parametrize("ranges, whole", [(None, 64), (40, 64), (300, 3)])
+def test_shards_equal_brute_force(spark, monkeypatch, ranges, whole):
+    """Sort by (md5, id), cut the running bytes; small groups go where they
+    start, and the hot one is divided."""
+    monkeypatch.setattr(sharding, "WHOLE", whole)
+    rng = random.Random(17)
+    pool = [f"group {i} " + "y" * rng.randrange(200) for i in range(60)]
+    texts = ["one hot text"] * 500 + [rng.choice(pool) for _ in range(300)] + [f"own {i} " + "z" * rng.randrange(900) for i in range(300)] + [None, ""]
+    size = [len((t or "").encode()) + 1 for t in texts]
+    total, key = sum(size), [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
+    by_key, before, start, want = collections.Counter(), 0, {}, {}
+    for i in range(len(texts)):
+        by_key[key[i]] += size[i]
+    for i in sorted(range(len(texts)), key=lambda i: (key[i], i)):
+        start.setdefault(key[i], before)
+        at = start[key[i]] if by_key[key[i]] * 8 * whole <= total else before
+        want[i] = at * 8 // total
+        before += size[i]
+    rows = sharding.assign_shards(docs(spark, texts), 8, ranges=ranges).collect()
+    assert {r.doc_id: r.shard for r in rows} == want
+    small = {k: {want[i] for i in range(len(texts)) if key[i] == k} for k in by_key if by_key[k] * 8 * whole <= total}
+    assert small and all(len(x) == 1 for x in small.values())
+    records = sharding.shard_records(docs(spark, texts).drop("shard"), 8).collect()
+    assert len(records) == len(texts) and len({(r.shard, r.slot) for r in records}) == len(texts)
+
+
 def test_sharding_of_odd_rows(odd, empty):
     rows = sharding.assign_shards(odd, 8).collect()
     assert len(rows) == odd.count() and {r.size for r in rows if r.doc_id in (0, 1)} == {1}
@@ -266,6 +300,38 @@ def test_classifier_on_held_out_rows(spark):
     assert right > 0.95 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_classifier_scores_equal_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_classifier.fit(d, labels)
+    texts, marks = {r.doc_id: r.text for r in d.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: row for i, row in zip(texts, quality_classifier.statistics(pa.array(texts.values())))}
+    groups = [np.array([x[i] for i in texts if marks.get(i) == c]) for c in (0, 1)]
+    both = sum((len(g) - 1) * np.cov(g.T) for g in groups) / (sum(map(len, groups)) - 2)
+    parts = []
+    for g in groups:
+        share = max(0.02, 85 / (85 + len(g)))
+        cov = (1 - share) * np.cov(g.T) + share * both
+        cov = (1 - share) * cov + share * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        parts.append((g.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+    log = lambda v, k: -0.5 * ((v - parts[k][0]) @ parts[k][1] @ (v - parts[k][0]) + parts[k][2])
+    squash = lambda t: math.copysign(math.log1p(abs(t)), t)
+    slope, intercept = model.curve
+    for r in quality_classifier.score(d, model).collect():
+        want = 1 / (1 + math.exp(-(slope * squash(log(x[r.doc_id], 1) - log(x[r.doc_id], 0)) + intercept)))
+        assert math.isclose(r.score, want, rel_tol=1e-6, abs_tol=1e-9)
+    # few rows: what has no words is no example of quality 1
+    assert all(s < 0.7 for s in model.score(quality_classifier.statistics(pa.array([None, "", " \n"]))))
+
+
+def test_classifier_counts_every_label_and_every_row_of_an_id(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    twice = quality_classifier.fit(d.unionByName(d), labels)
+    again = quality_classifier.fit(d, labels.unionByName(labels))
+    assert all(np.allclose(a, b) for a, b in zip(twice.means, again.means)) and np.allclose(twice.logdets, again.logdets)
+
+
 def test_logistic_curve_of_separable_counts():
     x = np.linspace(-16, 16, 256)
     for cut in (-9.0, 0.1, 7.5):
@@ -409,8 +475,10 @@ def brute_rules(t):
 
 def test_rules_equal_brute_force(spark):
     rng = random.Random(4)
-    texts = [t for t in ODD if t != LONG] + [" ".join(rng.choice("abcdefgh|#") for _ in range(rng.randrange(200))).replace("a b", "a\nb") for _ in range(60)]
+    texts = ODD + [" ".join(rng.choice("abcdefgh|#") for _ in range(rng.randrange(200))).replace("a b", "a\nb") for _ in range(60)]
     texts += [" ".join(f"w{rng.randrange(400)}" for _ in range(5000)), " ".join(f"w{i % 300}" for i in range(3000))]  # many repeated windows
+    for few in range(quality_rules.FEW - 1, quality_rules.FEW + 2):  # exactly so many windows found twice
+        texts.append(" ".join(" ".join([f"x{i}", f"y{i}", f"z{i}", f"u{2 * i}", f"x{i}", f"y{i}", f"z{i}", f"u{2 * i + 1}"]) for i in range(few)))
     rows = quality_rules.quality_report(docs(spark, texts)).collect()
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_rules(texts[r.doc_id])
@@ -427,6 +495,47 @@ def test_rules_keep_clean_and_drop_strange_texts(spark, empty):
     assert quality_rules.drop_low_quality(d).columns == d.columns
 
 
+def test_rules_verdict_equals_brute_force(spark):
+    """Medians of the shares by language as references; the distances and the
+    verdict of every document, of unknown languages too."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "xx").otherwise(F.col("lang")))
+    d = d.withColumns({"kept": F.lit("clash"), "group": F.lit("clash")})
+    data, got = d.collect(), {r.doc_id: r for r in quality_rules.quality_report(d).collect()}
+    import unicodedata
+
+    def counts(text, lang):
+        words, white = re.findall(r"[^\x20\x09-\x0D]+", text), set(" \t\n\x0b\x0c\r")
+        kinds = collections.Counter("white" if c in white else {"Ll": "lower", "Lu": "upper", "Nd": "digit"}.get(unicodedata.category(c), "symbol" if c in "#*$%&|<>" else "other") for c in text)
+        group = lang if lang in quality_rules.COMMON else "other"
+        listed = quality_rules.COMMON.get(group) or sorted({w for ws in quality_rules.COMMON.values() for w in ws})
+        common = [words.count(w) for w in listed]
+        return group, [kinds[k] for k in quality_rules.CHAR_CLASSES], [*common, max(len(words) - sum(common), 0)], len(words)
+
+    share = lambda xs: [x / sum(xs) if sum(xs) else 0.0 for x in xs]
+    found = {r.doc_id: counts(r.text or "", r.lang) for r in data}
+    refs = {}
+    for g in {f[0] for f in found.values()}:
+        good = [f for i, f in found.items() if f[0] == g and not got[i].base_failed]
+        middle = lambda rows: [sorted(c)[(len(c) + 1) // 2 - 1] for c in zip(*map(share, rows))]
+        refs[g] = [share(middle([f[k] for f in good])) if good else None for k in (1, 2)]
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m) if a)
+        return math.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+    kept = 0
+    for i, (g, chars, common, n) in found.items():
+        a = distance(share(chars), refs[g][0]) if sum(chars) >= 200 and refs[g][0] else 0.0
+        b = distance(share(common), refs[g][1]) if n >= 100 and refs[g][1] else 0.0
+        assert math.isclose(got[i].char_distance, a, abs_tol=1e-7) and math.isclose(got[i].word_distance, b, abs_tol=1e-7)
+        want = not got[i].base_failed and a <= 0.16 + 7 / max(n, 1) and b <= 0.24 + 10 / max(n, 1)
+        assert got[i].kept == want
+        kept += want
+    assert 0 < kept < len(found)
+    assert quality_rules.drop_low_quality(d).columns == d.columns and quality_rules.drop_low_quality(d).count() == kept
+
+
 def test_rules_distance_is_jensen_shannon(spark):
     row = spark.range(1).select(quality_rules.distance(F.array(F.lit(1.0), F.lit(3.0), F.lit(0.0)), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25))).alias("d")).first()
     p, q = np.array([0.25, 0.75, 0]), np.array([0.5, 0.25, 0.25])
@@ -474,6 +583,13 @@ def test_pack_batches(spark, monkeypatch, empty):
     assert packing.pack(empty.select("doc_id", F.lit(1).alias("n_tokens"))).count() == 0
 
 
+def test_pack_repeated_rows_and_negative_lengths(spark):
+    d = spark.createDataFrame([(1, 5)] * 7 + [(2, -3), (3, 0), (None, 5), (None, 5)], "doc_id long, n_tokens long")
+    rows = packing.pack(d, buckets=2, budget=10).collect()
+    assert len(rows) == 11 and len({(r.bucket, r.batch, r.slot) for r in rows}) == 11
+    assert {r.bucket_tokens for r in rows} == {0, 5} and all(r.padding >= 0 for r in rows)
+
+
 def test_n_words(odd):
     for r in odd.select("text", packing.n_words("text").alias("n")).collect():
         assert r.n == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1
@@ -487,7 +603,7 @@ def test_bpe_equals_the_library(spark, odd, empty):
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
-    theirs, mine = Tokenizer.from_file(path), bpe.tokenizer(path)
+    theirs, mine = Tokenizer.from_file(path), bpe.tokenizer(bpe.read(path))
     rng = random.Random(1)
     pool = [*"aAbZ ÉéΣσςİıßẞ\t\n\x0b　 's'll'D012½²①٣五あäö̈éﬁ🙂<|>|startoftext|>_-…​\x00\x85힣ᄒ하ǅЖЩ", "<|startoftext|>", "<|endoftext|>"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(3000)] + [t or "" for t in ODD] + ["a" * 20_000]
@@ -498,6 +614,19 @@ def test_bpe_equals_the_library(spark, odd, empty):
     out = bpe.encode_column(odd, path)
     assert out.columns == [*odd.columns, "ids", "decoded"] and out.count() == odd.count()
     assert bpe.encode_digests(empty, path).count() == 0
+    assert bpe.encode_column(empty, path).count() == 0
+    clash = odd.withColumn("ids", F.lit("own"))
+    assert bpe.encode_column(clash, path).columns == [*odd.columns, "ids", "decoded"]
+    rows = bpe.encode_digests(odd, path).collect()
+    assert len({(r.n_tokens, r.ids_sha256) for r in rows if r.doc_id == 50}) == 1 and sum(r.doc_id is None for r in rows) == 2
+
+
+@pytest.mark.parametrize("part, value", [("normalizer", None), ("decoder", {"type": "BPEDecoder"}), ("pre_tokenizer", {"type": "Sequence", "pretokenizers": []})])
+def test_bpe_refuses_other_files(part, value):
+    public = pytest.importorskip("public_tokenizers")
+    spec = json.loads(bpe.read(public.path("word_bpe_49k.json")))
+    with pytest.raises(ValueError, match=part):
+        bpe.Tokenizer(json.dumps(spec | {part: value}))
 
 
 # -- the pipeline ----------------------------------------------------------
@@ -514,3 +643,22 @@ def test_pipeline_stages(spark):
             assert d.columns == columns
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
     assert sorted(r.doc_id for r in d.collect()) == sorted(r.doc_id for r in pipeline.run(spark, SF).collect())
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "quality_classifier", "exact_dedup", "near_dedup", "packing"])
+def test_pipeline_stages_of_odd_and_empty_tables(spark, odd, empty, name):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)[name]
+    out, none = stage(spark, odd, SF), stage(spark, empty, SF)
+    assert none.count() == 0
+    if name == "packing":
+        assert out.count() == odd.count()
+        return
+    assert out.columns == none.columns == odd.columns and odd.exceptAll(out).count() + out.count() == odd.count()
+    ids = collections.Counter(r.doc_id for r in out.collect())
+    if name in ("quality_rules", "quality_classifier"):
+        assert not {0, 1, 2} & set(ids)  # null, empty and blank texts
+    elif name == "exact_dedup":
+        assert ids[50] == 1 and ids[None] == 1 and 2 in ids and 0 not in ids
+    else:
+        assert ids[50] == 1 and ids[None] == 2 and {0, 1, 2} <= set(ids) and 5 not in ids  # 4 and 5 are alike in lower case
