@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns of release labels and folder names (fixed).
 RELEASE = r"^\d+\.\d+(?:\.(?:\d+|[xX]+))*$"
 FOLDER = r"^[A-Za-z0-9](?:[A-Za-z0-9 _().,-]*[A-Za-z0-9)_.-])?$"
 
@@ -13,7 +14,7 @@ def release_key(label: Column) -> Column:
     """A key whose order is the releases' order: leading digits of each
     component (none: 0), a last `.xxxx` as 9999, without zeros at the end."""
     last = F.regexp_replace(label, r"(?i)\.xxxx$", ".9999")
-    numbers = F.transform(F.split(last, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^(\d+)", 1), F.lit("")).try_cast("int"), F.lit(0)))
+    numbers = F.transform(F.split(last, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^(\d+)", 1), F.lit("")).try_cast("decimal(38,0)"), F.lit(0)))
     used = F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1)))
     return F.slice(numbers, 1, F.coalesce(used, F.lit(0)))
 
@@ -27,7 +28,7 @@ def route(release: Column, guide: Column, target: Column, root: Column, family:
     """struct(kind, url, error): the document that a folder target stands for
     in a release. Targets that are not plain folders are errors, never guesses."""
     key = release_key(release)
-    at = lambda text: F.array(*(F.lit(int(x)) for x in text.split(".")))
+    at = lambda text: F.array(*(F.lit(int(x)).cast("decimal(38,0)") for x in text.split(".")))
     folder = F.replace(target, F.lit(" "), F.lit("%20"))
     error = F.when(~target.rlike(FOLDER) | F.contains(target, F.lit("..")), "unsupported target").when(~release.rlike(RELEASE), "unsupported release").when(root == "", "no documentation root")
     made = (

@@ -12,7 +12,7 @@ from urllib.parse import parse_qsl, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 _SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
 #: Bytes that stay as they are in a path, and in a query or fragment (fixed).
@@ -151,6 +151,48 @@ def document_identity(urls: pd.Series, hosts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["document", "page", "query", "fragment"])
 
 
+def _support_key(raw: str) -> str | None:
+    """Document and page of a support-center address, however it is written;
+    presentation fields don't count, other query fields do."""
+    parts = urlsplit(raw)
+    fields = parse_qsl(parts.query, keep_blank_values=True)
+    of = lambda name: [v for k, v in fields if k == name]
+    if len(of("docId")) > 1 or len(of("page")) > 1:
+        return None
+    document, page = next(iter(of("docId")), ""), next(iter(of("page")), "")
+    way = parts.path.strip("/").split("/")
+    shown = parts.path == "/hpesc/public/docDisplay"
+    if not shown:
+        if len(way) == 5 and way[:4] == ["hpesc", "public", "api", "document"] and document in ("", way[4]):
+            document = way[4]
+        elif len(way) == 4 and way[0] == "documents" and way[2] == "html" and document in ("", way[1]) and page in ("", way[3]):
+            document, page = way[1], way[3]
+        else:
+            return None
+    if not page and (shown or "true" in of("ignorePayload")[:1]):
+        page = "index.html"
+    if not document or not page:
+        return None
+    rest = sorted((k, v) for k, v in fields if k not in ("docId", "page", "mask", "ignorePayload"))
+    return "\n".join([f"hpe:{parts.scheme.lower()}://{parts.netloc.lower()}", document, page, "&".join(f"{k}={v}" for k, v in rest)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def identity_keys(urls: pd.Series) -> pd.Series:
+    """Keys under which guides know a page: its canonical address, and the
+    identity of a support-center page. No key for what is no address."""
+
+    def one(raw: str | None) -> list[str]:
+        clean = normalised(raw) if raw else None
+        if not clean:
+            return []
+        address = clean.partition("#")[0]
+        key = _support_key(address)
+        return [f"url:{address}", *([key] if key else [])]
+
+    return urls.map(one)
+
+
 # -- built-in expressions for URLs that are clean already ------------------
 
 

@@ -48,8 +48,9 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def repeated_texts(lines: DataFrame, more_than: int, least_chars: int = 20, least_font: float = 14.0) -> DataFrame:
     """Large texts on more pages than allowed."""
-    large = lines.where((F.char_length("text") >= least_chars) & (F.col("font") >= least_font))
-    return large.groupBy("text").agg(F.sort_array(F.collect_set("page")).alias("pages")).where(F.size("pages") > more_than)
+    large = lines.where((F.char_length("text") >= least_chars) & (F.col("font") >= least_font)).select("text", "page").distinct()
+    often = large.groupBy("text").agg(F.count("*").alias("n_")).where(F.col("n_") > more_than).select("text")
+    return large.join(often, "text", "left_semi").groupBy("text").agg(F.sort_array(F.collect_list("page")).alias("pages"))
 
 
 def page_frequency(lines: DataFrame, value: str = "text", page: str = "page") -> DataFrame:
@@ -90,3 +91,11 @@ def report(**violations: DataFrame) -> DataFrame:
         one = rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("passed", F.col("violations") == 0)
+
+
+def evidence_counts(rows: DataFrame, limit: int = 5_000_000) -> DataFrame:
+    """How often each (kind, value) of a source occurs; the run fails if there
+    are more than `limit` distinct ones."""
+    counts = rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    over = counts.groupBy().agg(F.count("*").alias("all_")).select(F.when(F.col("all_") > limit, F.raise_error(F.lit(f"more than {limit} values"))).otherwise(F.col("all_")).alias("all_"))
+    return counts.where(over.scalar() >= 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,21 @@ from pyspark.sql import functions as F
 def exactly_one(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows, failing the run where a key has more than one: a lookup that must
     match exactly one entry."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return rows.withColumn("n_", F.when(n > 1, F.raise_error(F.lit("more than one entry"))).otherwise(n)).where("n_ = 1").drop("n_")
+    return _bounded(rows, by, 1, "more than one entry")
 
 
 def within(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
     """rows, failing the run where a unit exceeds a hard ceiling."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return rows.withColumn("n_", F.when(n > limit, F.raise_error(F.lit(f"more than {limit} entries"))).otherwise(n)).where("n_ > 0").drop("n_")
+    return _bounded(rows, by, limit, f"more than {limit} entries")
+
+
+def _bounded(rows: DataFrame, by: list[str], limit: int, message: str) -> DataFrame:
+    """The count is an aggregate of keys; the join meets only the keys that are
+    over the limit, of which the first fails the run."""
+    over = rows.groupBy(*by).agg(F.count("*").alias("n_")).where(F.col("n_") > limit)
+    failed = over.select(*(F.col(c).alias(f"{c}_") for c in by), F.raise_error(F.lit(message)).cast("boolean").alias("failed_"))
+    found = rows.join(failed, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by)), "left")
+    return found.where("failed_ is null").select(*rows.columns)
 
 
 def choices(releases: DataFrame, documents: DataFrame) -> DataFrame:

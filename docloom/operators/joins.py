@@ -140,3 +140,17 @@ def with_tables(base: DataFrame, *tables: tuple[DataFrame, Column | str, str]) -
     for table, on, how in tables:
         base = base.join(table, on, how)
     return base
+
+
+def explained(values: DataFrame, texts: DataFrame, commands: DataFrame, value: str, least: int = 32) -> DataFrame:
+    """values with whether the source explains their repetition: the text
+    occurs twice or more, or it has `least` characters or more and begins two
+    or more longer command rows. Both meet by their first `least` characters,
+    which all such pairs share."""
+    keys = values.select(value).distinct()
+    often = texts.groupBy(value).agg(F.count("*").alias("n_")).where("n_ >= 2").select(value)
+    long = keys.where(F.char_length(value) >= least).select(F.col(value), F.left(value, F.lit(least)).alias("head_"))
+    longer = commands.select(F.col(value).alias("row_")).distinct().where(F.char_length("row_") > least).withColumn("head_", F.left("row_", F.lit(least)))
+    begun = long.join(longer, "head_").where(F.startswith("row_", value) & (F.char_length("row_") > F.char_length(value))).groupBy(value).agg(F.count("*").alias("n_")).where("n_ >= 2").select(value)
+    found = often.unionByName(begun).distinct().withColumn("explained", F.lit(True))
+    return values.join(found, value, "left").fillna(False, ["explained"])

@@ -6,10 +6,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.shared import stored
+
 
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
@@ -43,9 +45,11 @@ def release_search(index: DataFrame, query: str, limit: int = 50, ascii_only: bo
     for t in terms:
         rows = rows.where(F.contains("hay_", F.lit(t)))
     rows = rows if terms else rows.limit(0)
-    total = rows.agg(F.count("*").alias("n_matches"))
+    # matches are found and counted in one pass; a snippet is made of few rows
+    found = Observation()
+    first = stored(rows.observe(found, F.count("*").alias("n")).drop("hay_").orderBy("ord").limit(limit), "search")
     at = F.greatest(F.locate(terms[0] if terms else "", normalised(F.col("text"), ascii_only)) - 1 - 70, F.lit(0))
-    return rows.withColumn("snippet", F.substring(F.col("text"), at + 1, F.lit(240))).drop("hay_").orderBy("ord").limit(limit).select("*", total.scalar().alias("n_matches"))
+    return first.withColumns({"snippet": F.substring(F.col("text"), at + 1, F.lit(240)), "n_matches": F.lit(found.get["n"]).cast("long")}).orderBy("ord")
 
 
 def guide_search(index: DataFrame, query: str, limit: int = 100) -> DataFrame:
@@ -55,7 +59,11 @@ def guide_search(index: DataFrame, query: str, limit: int = 100) -> DataFrame:
     return rows.orderBy("ord").limit(limit)
 
 
+#: What the index holds for a guide whose pages it does not list (fixed text).
+HTML_GUIDE = "Offline HTML guide."
+
+
 def index_rows(guides: DataFrame, topics: DataFrame) -> DataFrame:
     """A guide's title row, then its topics: ordinals (guide, 0 or 1, ord)."""
-    titles = guides.select("guide", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), "title", "url", F.when(F.col("format") == "pdf", "").otherwise("Offline HTML guide.").alias("text"))
+    titles = guides.select("guide", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), "title", "url", F.when(F.col("format") == "pdf", "").otherwise(HTML_GUIDE).alias("text"))
     return titles.unionByName(topics.select("guide", F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), "title", "url", "text"))

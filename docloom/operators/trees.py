@@ -1,76 +1,71 @@
 """Trees and graphs: preorder tables, recursive expansion, link closure.
 
-Closures run as recursive SQL: depth is bounded, the rows of a level are one
-relation, and a level is a join, never a loop over nodes at the driver."""
+Trees and closures are expanded level by level: the rows of a level are one
+relation and a level is a join, never a loop over nodes at the driver. Depth is
+bounded, the number of rows is not."""
 
 from __future__ import annotations
 
-import os
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 #: Deepest tree or chain that is accepted.
 DEPTH = 100
 
 
-def _view(df: DataFrame) -> str:
-    name = f"docloom_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
-
-
 def preorder(nodes: DataFrame) -> DataFrame:
-    """(tree, node, parent, ord, ...): depth and path of ordinals; ordering by
-    path is preorder."""
-    spark, v = nodes.sparkSession, _view(nodes)
-    return spark.sql(f"""
-        WITH RECURSIVE t(tree, node, depth, path) MAX RECURSION LEVEL {DEPTH + 10} AS (
-          SELECT tree, node, 1, array(ord) FROM {v} WHERE parent IS NULL
-          UNION ALL
-          SELECT c.tree, c.node, t.depth + 1, array_append(t.path, c.ord)
-          FROM t JOIN {v} c ON c.tree = t.tree AND c.parent = t.node)
-        SELECT * FROM t""")
+    """(tree, node, depth, path) of the nodes (tree, node, parent, ord) that a
+    root reaches; ordering by path is preorder. Level by level: a level is a
+    join with the nodes, written to the shared folder, so neither rows nor
+    plans pile up. A tree deeper than DEPTH fails, as a cycle below a root would."""
+    level = kept(nodes.where("parent is null").select("tree", "node", F.lit(1).alias("depth"), F.array("ord").alias("path")))
+    levels, below = [], nodes.where("parent is not null").select("tree", F.col("node").alias("child"), F.col("parent").alias("node"), "ord")
+    for depth in range(2, DEPTH + 2):
+        levels.append(level)
+        found = below.join(level, ["tree", "node"])
+        level = kept(found.select("tree", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("ord")).alias("path")))
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+    raise ValueError(f"tree deeper than {DEPTH}")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Nodes that the roots reach, with the least number of steps. Level by
-    level: each is the new neighbours of the last, so a cycle ends it; levels
-    are checkpointed when the lineage grows."""
-    seen = roots.select("node").distinct().withColumn("steps", F.lit(0))
-    frontier = seen
+    level: each is the new neighbours of the last, so a cycle ends it; a level
+    is written once and never again."""
+    levels = [kept(roots.select("node").distinct().withColumn("steps", F.lit(0)))]
     for step in range(1, depth + 1):
-        found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step))
-        frontier = kept(frontier)
-        if not frontier.limit(1).count():
-            return seen
-        seen = kept(seen.unionByName(frontier))
+        seen = reduce(DataFrame.unionByName, levels).select("node")
+        found = edges.join(levels[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        level = kept(found.join(seen, "node", "left_anti").withColumn("steps", F.lit(step)))
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
     raise ValueError(f"closure deeper than {depth}")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "shared"))
-    return df.checkpoint()
-
-
 def chain(links: DataFrame, starts: DataFrame, stops: DataFrame, steps: int = 50) -> DataFrame:
-    """Follow one link per page (src, dst) from each start until a stop page
-    or the end: start, step, node."""
-    spark = links.sparkSession
-    v, s, e = _view(links), _view(starts), _view(stops)
-    return spark.sql(f"""
-        WITH RECURSIVE t(start, step, node) MAX RECURSION LEVEL {steps + 10} AS (
-          SELECT node, 0, node FROM {s}
-          UNION ALL
-          SELECT t.start, t.step + 1, l.dst FROM t JOIN {v} l ON l.src = t.node
-          LEFT ANTI JOIN {e} x ON x.node = l.dst
-          WHERE t.step < {steps})
-        SELECT * FROM t WHERE step > 0""")
+    """Follow the link (src, dst) of each page from each start to a stop page,
+    a page seen before or the end: start, step, node. A page on the way whose
+    links conflict and a chain of more than `steps` pages fail the run."""
+    ways = links.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("other")).withColumn("conflict", F.col("dst") != F.col("other"))
+    ends = stops.select(F.col("node").alias("dst")).distinct()
+    level = kept(starts.select(F.col("node").alias("start"), F.lit(0).alias("step"), "node"))
+    seen = [level]
+    for step in range(1, steps + 2):
+        found = level.select("start", F.col("node").alias("src")).join(ways, "src")
+        if found.where("conflict").limit(1).count():
+            raise ValueError("a page has conflicting links")
+        found = found.join(ends, "dst", "left_anti").select("start", F.lit(step).alias("step"), F.col("dst").alias("node"))
+        level = kept(found.join(reduce(DataFrame.unionByName, seen).select("start", "node"), ["start", "node"], "left_anti"))
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, seen).where("step > 0")
+        seen.append(level)
+    raise ValueError(f"more than {steps} pages follow one another")
 
 
 def metrics(tree: DataFrame, by: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Registered queries: each applies one operator, with its SQL where SQL can
 say it."""
 
-from . import graph, guides, markup, records, relations, rules, texts  # noqa: F401
+from . import content, graph, guides, markup, records, relations, rules, runs, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -50,9 +50,11 @@ def h13(spark, d):
 
 
 @query("h14_anchor_actions", """
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages), k AS (SELECT DISTINCT regexp_extract(html, '<a [^>]*href="([^"]*)"', 1) AS href FROM pages WHERE page_id < 40)
-SELECT l.page_id, l.href, CASE WHEN k.href IS NOT NULL THEN 'local' WHEN regexp_matches(l.href, '(?i)^https?://') THEN 'online' WHEN starts_with(l.href, '#') THEN 'fragment' ELSE 'removed' END AS action
-FROM l LEFT JOIN k ON k.href = l.href""")
+WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[^?#]*/') AS folder, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+a AS (SELECT page_id, href, CASE WHEN href = '' OR starts_with(href, '#') OR starts_with(href, 'javascript:') THEN NULL WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') THEN origin || href ELSE folder || href END AS target FROM l),
+k AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS key FROM pages)
+SELECT a.page_id, a.href, CASE WHEN k.key IS NOT NULL THEN 'local' WHEN regexp_matches(a.href, '(?i)^https?://') THEN 'online' WHEN starts_with(a.href, '#') THEN 'fragment' ELSE 'removed' END AS action
+FROM a LEFT JOIN k ON k.key = regexp_replace(replace(a.target, '&amp;', '&'), '#.*$', '')""")
 def h14(spark, d):
     p = table(spark, d, "pages")
     links = p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("href"))
@@ -73,11 +75,6 @@ def h23(spark, d):
     return J.unique_targets(pairs, "k", "target").select("k.page", "k.name", "target")
 
 
-@query("h20_style_families", "SELECT p_type, count(*) AS n FROM (SELECT unnest(regexp_extract_all(p_type, '[A-Z]+')) AS p_type FROM part) GROUP BY 1")
-def h20(spark, d):
-    return table(spark, d, "part").select(F.explode(F.regexp_extract_all("p_type", F.lit("([A-Z]+)"), 1)).alias("p_type")).groupBy("p_type").agg(F.count("*").alias("n"))
-
-
 TOC = "VALUES (1, array(array(0), array(0,0), array(1)), array('A','B','C'), array('a','', 'c')) AS t(id, paths, titles, hrefs)"
 
 
@@ -108,12 +105,6 @@ def f13(spark, d):
     return G.split_available(c.select("guide"), states)
 
 
-@query("f15_verification_rules", "SELECT l_orderkey * 10 + l_linenumber AS k, 'discount' AS rule FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'quantity' FROM lineitem WHERE l_quantity > 49")
-def f15(spark, d):
-    li = table(spark, d, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return G.violations(li, "k", discount=F.col("l_discount") <= 0.09, quantity=F.col("l_quantity") <= 49)
-
-
 CANDIDATES = "VALUES ('g',0,'peer','u1'), ('g',1,'own','u2'), ('g',2,'peer-pdf','u1'), ('g',3,'x','m'), ('h',0,'own','u2') AS t(guide, ord, origin, url)"
 
 
@@ -159,21 +150,15 @@ def j15(spark, d):
     return J.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("j24_explained_prefixes", "SELECT a.r_name, count(*) AS n FROM region a JOIN nation b ON starts_with(b.n_name, left(a.r_name, 1)) AND length(b.n_name) > 1 GROUP BY 1 HAVING count(*) >= 2")
-def j24(spark, d):
-    n = table(spark, d, "nation").groupBy(F.left("n_name", F.lit(1)).alias("p")).agg(F.count("*").alias("n"))
-    return table(spark, d, "region").join(n, F.left("r_name", F.lit(1)) == F.col("p")).where("n >= 2").select("r_name", "n")
-
-
 @query("j31_j35_assets", "SELECT * FROM (VALUES ('p','u1','image','f1',NULL), ('p','u2','image',NULL,'http-404'), ('q','u3','font',NULL,'not fetched')) AS t(owner, url, kind, file, failure)")
 def j31(spark, d):
     refs = rows(spark, "VALUES ('p','u1','image'), ('p','u2','image'), ('q','u3','font') AS t(owner, url, kind)")
     return G.propagated(refs, rows(spark, "VALUES ('u1','image','f1') AS t(url, kind, file)"), rows(spark, "VALUES ('u2','image','http-404') AS t(url, kind, failure)"))
 
 
-@query("j34_licence_evidence", "SELECT n_name AS module FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+@query("j34_licence_evidence", "SELECT n_name AS module FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
 def j34(spark, d):
-    n, s = table(spark, d, "nation").withColumnRenamed("n_name", "module"), table(spark, d, "supplier")
+    n, s = table(spark, d, "nation").withColumnRenamed("n_name", "module"), table(spark, d, "supplier").where("s_acctbal > 9000")
     return G.at_least_one(n, s, n["n_nationkey"] == s["s_nationkey"], "module")
 
 
@@ -185,11 +170,6 @@ def w6(spark, d):
     return G.headings(rows(spark, BLOCKS), rows(spark, "VALUES ('Intro'), ('Twice'), ('None') AS t(anchor)"))
 
 
-@query("s1_exactly_one", "SELECT n_nationkey, n_name FROM nation")
-def s1(spark, d):
-    return G.exactly_one(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_name"])
-
-
 ADAPTER = "VALUES ('u', 'const ROOT = \"https://d.example/\";\nfunction go ( x ) { return ROOT + x }') AS t(url, body)"
 
 
@@ -240,11 +220,6 @@ def a16(spark, d):
     return p.select("url", F.sha2("html", 256).alias("digest")).unionByName(gone)
 
 
-@query("a22_evidence_counts", "SELECT text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) WHERE trim(text) != '' GROUP BY 1")
-def a22(spark, d):
-    return table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text")).where("trim(text) != ''").groupBy("text").agg(F.count("*").alias("n"))
-
-
 @query("x20_display_text", "SELECT doc_id, sha256(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')) AS sha FROM documents")
 def x20(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F\x7F]", ""), 256).alias("sha"))

@@ -21,23 +21,29 @@ def h3(spark, d):
     return e.select("page_id", F.coalesce(first("h1"), first("h2"), "title").alias("title"))
 
 
-@query("h4_metadata")
+#: A page of a part's columns, as both engines read it.
+HEADED = "'<meta charset=\"u\"><meta name=\"Author\" content=\"' || p_brand || '\"><meta name=\"author\" content=\"no\"><h2 id=\"a' || p_size || '\">x</h2><a name=\"b\">y</a><p id=\"a' || p_size || '\"><i name=\"c\">'"
+
+
+def headed(spark, d):
+    return H.extract(table(spark, d, "part").select("p_partkey", F.expr(HEADED).alias("html"), F.lit("").alias("url")), "p_partkey")
+
+
+@query("h4_metadata", "SELECT p_partkey, 'author' AS name, p_brand AS value FROM part")
 def h4(spark, d):
-    e = H.extract(table(spark, d, "pages"))
-    return e.select("page_id", F.explode("metadata").alias("name", "value"))
+    return headed(spark, d).select("p_partkey", F.explode("metadata").alias("name", "value"))
 
 
-@query("h5_ids")
+@query("h5_ids", "SELECT p_partkey, 0 AS ord, 'a' || p_size AS fragment FROM part UNION ALL SELECT p_partkey, 1, 'b' FROM part")
 def h5(spark, d):
-    e = H.extract(table(spark, d, "pages"))
-    return e.select("page_id", F.posexplode("ids").alias("ord", "fragment"))
+    return headed(spark, d).select("p_partkey", F.posexplode("ids").alias("ord", "fragment"))
 
 
 @query("h6_links", """
-WITH l AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM pages)
-SELECT page_id, unnest(hrefs) AS href, regexp_extract(unnest(hrefs), '#(.*)$', 1) AS fragment FROM l""")
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS raw FROM pages), h AS (SELECT page_id, replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href FROM l)
+SELECT page_id, href, regexp_extract(href, '#(.*)$', 1) AS fragment FROM h""")
 def h6(spark, d):
-    links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)).alias("href"))
+    links = H.extract(table(spark, d, "pages")).select("page_id", F.explode("links").alias("l")).select("page_id", F.col("l.href").alias("href"))
     return links.select("page_id", "href", F.regexp_extract("href", "#(.*)$", 1).alias("fragment"))
 
 

@@ -12,6 +12,8 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql

@@ -103,7 +103,7 @@ def x15(spark, d):
 WITH g AS (SELECT n_regionkey, min(n_name) AS a, max(n_name) AS b FROM nation GROUP BY 1)
 SELECT n_regionkey, left(a, CAST((SELECT max(i) FROM range(0, 30) t(i) WHERE i <= least(length(a), length(b)) AND left(a, CAST(i AS INT)) = left(b, CAST(i AS INT))) AS INT)) AS prefix FROM g""")
 def x16(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")).select("n_regionkey", T.common_prefix(F.col("names")).alias("prefix"))
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array(F.min("n_name"), F.max("n_name")).alias("names")).select("n_regionkey", T.common_prefix(F.col("names")).alias("prefix"))
 
 
 @query("x17_folded_path")
@@ -180,11 +180,6 @@ def u9(spark, d):
     return rows(spark, IDS).select("id", U.document_identity(F.col("url"), F.lit("s.example")).alias("x")).select("id", "x.*")
 
 
-@query("u10_identity_keys", "SELECT page_id, 'url:' || regexp_replace(url, '#.*$', '') AS key FROM pages")
-def u10(spark, d):
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("url:"), U.canonical(F.col("url"))).alias("key"))
-
-
 PATHS = "VALUES (1, 'g/topics/a.html', 'g/topics/b.html', 'b.html'), (2, 'g/topics/a.html', 'h/x.html', '../../h/x.html'), (3, 'a.html', 'g/b.html', 'g/b.html') AS t(id, owner, target, want)"
 
 

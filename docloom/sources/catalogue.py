@@ -148,6 +148,51 @@ def robots_policy(status: Column) -> Column:
     return F.when(status == 200, "rules").when((status >= 400) & (status < 500) & (status != 429), "allow all").otherwise("stop")
 
 
+@F.pandas_udf(StringType())
+def robots_problem(bodies: pd.Series, content_types: pd.Series) -> pd.Series:
+    """Why a robots.txt body holds no recognisable rules (null: it does, or it
+    is empty and sets no limits)."""
+
+    def one(body: bytes | None, kind: str | None) -> str | None:
+        try:
+            text = (body or b"").decode("utf-8").removeprefix("\ufeff")
+        except UnicodeDecodeError:
+            return "encoding"
+        media = (kind or "").partition(";")[0].strip().lower()
+        if media == "text/html" or "json" in media or "xml" in media:
+            return "content type"
+        agent = known = some = False
+        for line in text.split("\n"):
+            line = line.partition("#")[0].strip()
+            if not line:
+                continue
+            some = True
+            name, colon, value = (p.strip() for p in line.partition(":"))
+            if not colon or not re.fullmatch(r"[A-Za-z][A-Za-z0-9-]*", name):
+                return "directive"
+            name = name.lower()
+            if name == "user-agent":
+                if not value:
+                    return "empty user-agent"
+                agent = known = True
+            elif name in ("allow", "disallow", "crawl-delay"):
+                if not agent:
+                    return "rule before any user-agent"
+                if name == "crawl-delay" and not re.fullmatch(r"\d{1,9}(?:\.\d*)?|\.\d+", value):
+                    return "crawl-delay"
+            elif name == "sitemap":
+                if not re.match(r"(?i)https?://[^/\s]", value):
+                    return "sitemap"
+                known = True
+            elif name == "host":
+                if not value or re.search(r"[/?#\s]", value):
+                    return "host"
+                known = True
+        return "nothing recognisable" if some and not known else None
+
+    return pd.Series([one(b, k) for b, k in zip(bodies, content_types)], dtype=object)
+
+
 def verified(cache: DataFrame) -> DataFrame:
     """Cache rows with whether body, hash and size agree."""
     return cache.withColumn("valid", (F.sha2("body", 256) == F.col("sha256")) & (F.octet_length("body") == F.col("size")))

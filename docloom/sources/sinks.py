@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
+import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+#: Control and format characters and line and paragraph separators from DEL on.
+CONTROLS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x7F, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cc", "Cf", "Zl", "Zp")) + "]")
 
 
 def guide_index(pages: DataFrame) -> DataFrame:
@@ -20,33 +30,85 @@ def manifest_json(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.to_json(F.struct(F.count("*").alias("count"), F.sum("size").alias("bytes"), parts.alias("files"))).alias("manifest"))
 
 
-def escaped_json(value) -> object:
-    """JSON text without the control characters that a terminal would obey."""
-    return F.regexp_replace(F.to_json(value), r"[\u007f-\u009f\u2028\u2029\u202a-\u202e\u2066-\u2069]", "")
+@F.pandas_udf(StringType())
+def _escaped(texts: pd.Series) -> pd.Series:
+    def one(m: re.Match) -> str:
+        code = m[0].encode("utf-16-be")
+        return "".join(f"\\u{code[i : i + 2].hex()}" for i in range(0, len(code), 2))
+
+    return texts.map(lambda t: None if t is None else CONTROLS.sub(one, t))
+
+
+def escaped_json(value: Column) -> Column:
+    """JSON text in which control and format characters, which a terminal
+    would obey, are written as escapes."""
+    return _escaped(F.to_json(value))
+
+
+def _files(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, target: str, text: str) -> None:
+    """Replace a small file in one step: write a new file, then rename it."""
+    path, fs = _files(spark, target)
+    new = f"{target}.{uuid.uuid4().hex}"
+    out = fs.create(path(new), False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(path(target)):
+        fs.delete(path(target), False)
+    if not fs.rename(path(new), path(target)):
+        raise OSError(f"cannot write {target}")
 
 
 def publish(df: DataFrame, target: str, validate=None) -> str:
     """Write to a staging folder, validate, then rename: readers see the old
-    state or the new one. The old state is kept until the rename is done."""
+    state or the new one. A journal beside the target names the folders until
+    all is done, so that `recover` can finish or undo a run that was cut off."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    stage = os.path.join(os.path.dirname(target.rstrip("/")), f"_staging-{uuid.uuid4().hex}")
-    df.write.parquet(stage)
-    if validate is not None:
-        problem = validate(spark.read.parquet(stage))
+    path, fs = _files(spark, target)
+    parent = os.path.dirname(target.rstrip("/"))
+    run = uuid.uuid4().hex
+    stage, journal = f"{parent}/_staging-{run}", f"{parent}/_journal-{run}.json"
+    names = {"target": target, "stage": stage, "old": f"{stage}-old"}
+    write_text(spark, journal, json.dumps(names))
+    try:
+        df.write.parquet(stage)
+        problem = validate(spark.read.parquet(stage)) if validate is not None else None
         if problem:
-            fs.delete(path(stage), True)
             raise ValueError(problem)
-    old = f"{stage}-old"
-    had = fs.exists(path(target))
-    if had and not fs.rename(path(target), path(old)):
-        raise OSError(f"cannot set {target} aside")
-    if not fs.rename(path(stage), path(target)):
-        if had:
-            fs.rename(path(old), path(target))
-        raise OSError(f"cannot publish {target}")
-    if had:
-        fs.delete(path(old), True)
+        if fs.exists(path(target)) and not fs.rename(path(target), path(names["old"])):
+            raise OSError(f"cannot set {target} aside")
+        if not fs.rename(path(stage), path(target)):
+            raise OSError(f"cannot publish {target}")
+    finally:
+        _settle(spark, journal, names)
     return target
+
+
+def _settle(spark: SparkSession, journal: str, names: dict[str, str]) -> None:
+    """Put the old state back if no new one has taken its place, and delete
+    what is left over."""
+    path, fs = _files(spark, journal)
+    if not fs.exists(path(names["target"])) and fs.exists(path(names["old"])) and not fs.rename(path(names["old"]), path(names["target"])):
+        raise OSError(f"cannot restore {names['target']}")
+    for name in ("stage", "old"):
+        fs.delete(path(names[name]), True)
+    fs.delete(path(journal), False)
+
+
+def recover(spark: SparkSession, parent: str) -> list[str]:
+    """Settle every publication of the folder that was cut off; the targets."""
+    path, fs = _files(spark, parent)
+    found = fs.globStatus(path(f"{parent}/_journal-*.json"))
+    out = []
+    for status in found or []:
+        journal = status.getPath().toString()
+        source = fs.open(status.getPath())  # Spark's readers pass over names with an underscore
+        names = json.loads(bytes(source.readAllBytes()))
+        source.close()
+        _settle(spark, journal, names)
+        out.append(names["target"])
+    return out

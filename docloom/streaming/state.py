@@ -55,15 +55,14 @@ def by_window(stream: DataFrame, time: str, width: str, delay: str, *keys: str)
 def upsert_each_batch(target: str, key: str, order: str):
     """A foreachBatch function: the newest record of each key joins the
     library at `target`, which readers see before or after, never between."""
+    from ..operators.incremental import upsert
     from ..sources.sinks import publish
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        rows = batch.unionByName(spark.read.parquet(target)) if known else batch
-        others = [c for c in rows.columns if c != key]
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("row_")).select(key, "row_.*")
-        publish(newest, target)
+        state = spark.read.parquet(target) if known else batch.limit(0)
+        publish(upsert(state, batch, key, order), target)
 
     return write

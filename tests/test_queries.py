@@ -11,7 +11,7 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() >= 0
+    assert plans.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry_points(spark):
