@@ -397,3 +397,42 @@ def main_elements(html: str | None) -> list[tuple]:
     if not found:
         return [(0, "", False)]
     return [(len(found), flat(found[0].text(" ")), found[0].find(lambda n: n.tag in ("h1", "article")) is not None)]
+
+
+# -- support-center contents ----------------------------------------------
+
+#: A topic of a support-center document (fixed pattern).
+TOPIC_LINK = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.-]*\.html?(?:#[^#\s]*)?$")
+
+
+def support_contents(text: str | None) -> list[tuple]:
+    """(path, title, page, fragment, problem) in reading order of a contents
+    file: an array of topics with a name, a link or children."""
+    import json
+
+    try:
+        top = json.loads(text or "")
+    except ValueError:
+        top = None
+    if not isinstance(top, list) or not top:
+        return [([], None, None, None, "no topic array")]
+    out, todo = [], [([i], node) for i, node in reversed(list(enumerate(top)))]
+    while todo:
+        path, node = todo.pop()
+        title = node.get("topicName") if isinstance(node, dict) else None
+        if not isinstance(title, str) or not title.strip():
+            out.append((path, None, None, None, "no topic name"))
+            continue
+        link, below = node.get("topicLink") or None, node.get("children") or []
+        if not isinstance(below, list):
+            out.append((path, title, None, None, "invalid children"))
+            continue
+        if link is None:
+            out.append((path, title, None, None, None if below else "leaf without link"))
+        elif not isinstance(link, str) or not TOPIC_LINK.match(link):
+            out.append((path, title, None, None, "unsupported link"))
+        else:
+            page, mark, fragment = link.partition("#")
+            out.append((path, title, page, fragment if mark else None, None))
+        todo += [([*path, i], child) for i, child in reversed(list(enumerate(below)))]
+    return out

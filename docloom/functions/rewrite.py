@@ -77,10 +77,12 @@ def sanitise(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([cleaned(p) for p in pages], columns=["html", "problems"])
 
 
-def anchor_action(target: Column, href: Column, online: Column) -> Column:
-    """What becomes of a link: local if its page is archived, online if it is
-    absolute, kept if it is a fragment, removed otherwise."""
-    return F.when(target.isNotNull(), "local").when(online, "online").when(href.startswith("#"), "fragment").otherwise("removed")
+def anchor_action(target: Column, href: Column, online: Column, image: Column | None = None) -> Column:
+    """What becomes of a link: local if its page is archived, image if it leads
+    to an archived image, online if it is absolute, kept if it is a fragment,
+    removed otherwise."""
+    to_image = image.isNotNull() if image is not None else F.lit(False)
+    return F.when(target.isNotNull(), "local").when(to_image, "image").when(online, "online").when(href.startswith("#"), "fragment").otherwise("removed")
 
 
 @F.pandas_udf(StringType())
@@ -101,3 +103,35 @@ def nested_list(paths: pd.Series, titles: pd.Series, hrefs: pd.Series) -> pd.Ser
         return "".join(out) + "</ul>" * depth
 
     return pd.Series([one(p, t, h) for p, t, h in zip(paths, titles, hrefs)])
+
+
+def escaped(text: Column) -> Column:
+    """Text as it stands in markup and in quoted attributes."""
+    out = text
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(raw), F.lit(entity))
+    return out
+
+
+def topic_page(guide: Column, kind: Column, title: Column, url: Column, content: Column, before: Column, before_title: Column, after: Column, after_title: Column, footer: Column, toc: Column) -> Column:
+    """A generated topic page: header, contents frame, content, navigation to
+    the neighbours (null: none) and the notice of its source."""
+    step = lambda rel, word, to, name: F.when(to.isNull(), F.lit("<span></span>")).otherwise(F.concat(F.lit(f'<a rel="{rel}" href="'), escaped(to), F.lit(f'">{word}: '), escaped(name), F.lit("</a>")))
+    notice = F.coalesce(F.nullif(footer, F.lit("")), F.lit("Archived from the publisher source without altering substantive document content."))
+    return F.concat(
+        F.lit('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>'), escaped(title), F.lit(" - "), escaped(guide),
+        F.lit('</title></head><body class="archive-source-'), escaped(kind),
+        F.lit('"><header class="archive-header"><a href="../index.html">'), escaped(guide),
+        F.lit('</a></header><div class="archive-layout"><aside class="archive-toc"><iframe title="Guide contents" src="../toc.html#topic-'), escaped(toc),
+        F.lit('"></iframe></aside><main class="archive-content">'), content,
+        F.lit('</main></div><nav class="archive-nav">'), step("prev", "Previous", before, before_title), F.lit('<a href="../index.html">Guide index</a>'), step("next", "Next", after, after_title),
+        F.lit('</nav><footer class="archive-footer"><p>'), escaped(notice), F.lit('</p><p><a href="'), escaped(url), F.lit('">View publisher source</a></p></footer></body></html>'),
+    )
+
+
+def index_page(topics, guide: str, order: str, title: str, path: str):
+    """One generated index for each guide: its topics in reading order."""
+    item = F.concat(F.lit('<li><a href="'), escaped(F.col(path)), F.lit('">'), escaped(F.col(title)), F.lit("</a></li>"))
+    rows = topics.groupBy(guide).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))).alias("rows"), F.count("*").alias("topics"))
+    body = F.concat(F.lit("<!doctype html><title>"), escaped(F.col(guide).cast("string")), F.lit('</title><ol class="archive-index">'), F.array_join(F.transform("rows", lambda r: r["i"]), ""), F.lit("</ol>"))
+    return rows.select(guide, "topics", body.alias("html"))

@@ -88,3 +88,73 @@ def violations(rows: DataFrame, key: str, **rules: Column) -> DataFrame:
     """One row for each rule that a row breaks (a rule is true where it holds)."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
     return rows.select(key, F.explode(broken).alias("rule"))
+
+
+def skipped_problems(skipped: DataFrame, retained: DataFrame) -> DataFrame:
+    """Skipped guides (guide, retained) whose mark disagrees with the guides
+    that the library still holds, and marked guides that it lists twice."""
+    held = retained.select("guide").distinct().withColumn("held_", F.lit(True))
+    met = skipped.join(held, "guide", "left").withColumn("held_", F.coalesce("held_", F.lit(False)))
+    wrong = F.when(F.col("retained") & ~F.col("held_"), "retained guide is gone").when(~F.col("retained") & F.col("held_"), "guide is retained")
+    return met.select("guide", wrong.alias("problem")).where("problem is not null")
+
+
+# What a record of a missing image may say.
+FAILURES = ("http-404", "http-410", "timeout", "retry-exhausted", "incomplete-body", "invalid-raster", "mime-mismatch")
+RASTERS = ("png", "jpeg", "gif", "webp", "avif")
+
+
+def missing_resource_problems(missing: DataFrame, topics: DataFrame) -> DataFrame:
+    """Records of missing images (key, page, page_sha256, topic_url, element,
+    failure, raster, status, placeholder) that their topic (path, sha256, url)
+    does not bear out: key and problem."""
+    known = topics.select(F.col("path").alias("page"), F.col("sha256").alias("s_"), F.col("url").alias("u_"))
+    met = missing.join(known, "page", "left")
+    wrong = (
+        F.when(F.col("u_").isNull() | ~F.startswith("page", F.lit("pages/")), "page")
+        .when(~F.col("s_").eqNullSafe(F.col("page_sha256")), "hash")
+        .when(~F.col("u_").eqNullSafe(F.col("topic_url")), "topic")
+        .when(~F.col("element").isin("img", "picture"), "element")
+        .when(~F.col("failure").isin(*FAILURES) | ~F.col("raster").isin(*RASTERS), "class")
+        .when(F.startswith("failure", F.lit("http-")) & (F.concat(F.lit("http-"), F.col("status").cast("string")) != F.col("failure")), "status")
+        .when(~F.startswith("placeholder", F.lit("image-placeholder-")), "placeholder")
+    )
+    return met.select("key", wrong.alias("problem")).where("problem is not null")
+
+
+def still_archived(unpublished: DataFrame, topics: DataFrame, key: str = "url") -> DataFrame:
+    """Unpublished pages that are archived all the same."""
+    return unpublished.join(topics.select(key).distinct(), key, "left_semi")
+
+
+def print_destinations(links: DataFrame, aliases: DataFrame, ids: DataFrame, absent: DataFrame) -> DataFrame:
+    """Links (referrer, key, fragment) with the bookmark of the combined
+    document: the topic's anchor, or the printed id of the fragment. A fragment
+    that the source is known to lack leads to the anchor, with a warning; any
+    other missing one is an error; a key of two topics or none stays outside."""
+    known = aliases.groupBy("key").agg(F.min("anchor").alias("anchor"), F.max("anchor").alias("other_")).where(F.col("anchor") == F.col("other_")).drop("other_")
+    out = links.join(known, "key", "left").join(ids.select("anchor", "fragment", "printed"), ["anchor", "fragment"], "left")
+    out = out.join(absent.select("anchor", "fragment").distinct().withColumn("absent_", F.lit(True)), ["anchor", "fragment"], "left")
+    result = F.when(F.col("anchor").isNull(), "outside").when(F.col("fragment") == "", "topic").when(F.col("printed").isNotNull(), "bookmark").when(F.col("absent_"), "warning").otherwise("error")
+    place = F.when(result == "bookmark", F.col("printed")).when(result.isin("topic", "warning"), F.col("anchor"))
+    return out.select("referrer", "key", "fragment", place.alias("destination"), result.alias("result"))
+
+
+def ordered_outcomes(jobs: DataFrame, results: DataFrame, by: str) -> DataFrame:
+    """Results of a level's reads in the order of its jobs (ord): how many are
+    done, and the first real error, whatever finished first; reads that were
+    only cancelled are no errors."""
+    met = jobs.join(results, [by, "ord"], "left")
+    real = F.col("error").isNotNull() & (F.col("error") != "cancelled")
+    return met.groupBy(by).agg(F.count("*").alias("jobs"), F.count_if(F.col("error").isNull() & F.col("value").isNotNull()).alias("done"), F.min_by(F.when(real, F.col("error")), F.when(real, F.col("ord"))).alias("error"))
+
+
+def from_chunks(tree: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A module's tree (tree, node, depth, path) with the titles and links that
+    its chunks hold for each index; an index without an entry, or with two
+    different ones, is a problem."""
+    entry = F.struct("title", "link")
+    known = chunks.groupBy("tree", "node").agg(F.min(entry).alias("e_"), F.max(entry).alias("f_"))
+    met = tree.join(known, ["tree", "node"], "left")
+    problem = F.when(F.col("e_").isNull(), "no entry").when(F.col("e_") != F.col("f_"), "two entries")
+    return met.select("tree", "node", "depth", "path", "e_.title", "e_.link", problem.alias("problem"))

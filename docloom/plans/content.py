@@ -4,10 +4,13 @@ from the columns what the rules must find."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import content as C
+from ..functions import printing as P
+from ..functions import rewrite as W
 from ..functions import urls as U
 from ..operators import aggregates as A
 from ..operators import joins as J
@@ -206,6 +209,68 @@ def f6(spark, d):
     return both.select("p_partkey", C.page_identity_problem(F.col("a"), F.col("b"), F.col("dh"), F.col("ph"), F.col("mains"), F.col("text"), F.col("structured")).alias("problem"))
 
 
+# -- rendering and contents ------------------------------------------------
+
+CONTENTS = """'[{"topicName":"' || p_name || '","topicLink":"a' || p_size || '.html#x","children":[{"topicName":"' || p_brand || '","topicLink":"b.html"}]},{"topicName":"Group","children":[{"topicName":"Leaf"}]},{"topicLink":"q.html"}]'"""
+
+
+@query("t3_support_contents", """SELECT p_partkey, unnest([[0], [0, 0], [1], [1, 0], [2]]) AS path, unnest([p_name, p_brand, 'Group', 'Leaf', NULL]) AS title, unnest(['a' || p_size || '.html', 'b.html', NULL, NULL, NULL]) AS page,
+unnest(['x', NULL, NULL, NULL, NULL]) AS fragment, unnest([NULL, NULL, NULL, 'leaf without link', 'no topic name']) AS problem FROM part""")
+def t3(spark, d):
+    p = table(spark, d, "part").withColumn("json", F.expr(CONTENTS))
+    return C.per_page(p, C.support_contents, "path array<int>, title string, page string, fragment string, problem string", ["p_partkey"], ["json"])
+
+
+@query("k3_topic_pages", """
+WITH n AS (SELECT p_partkey, p_name, p_brand, p_size, lag(p_partkey) OVER w AS b, lag(p_name) OVER w AS bn, lead(p_partkey) OVER w AS a, lead(p_name) OVER w AS an FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+SELECT p_partkey, sha256('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>' || p_name || ' - ' || p_brand || ' &amp; more</title></head><body class="archive-source-static"><header class="archive-header"><a href="../index.html">' || p_brand || ' &amp; more</a></header><div class="archive-layout"><aside class="archive-toc"><iframe title="Guide contents" src="../toc.html#topic-' || p_partkey || '"></iframe></aside><main class="archive-content"><p>' || p_size || '</p></main></div><nav class="archive-nav">'
+|| coalesce('<a rel="prev" href="' || b || '.html">Previous: ' || bn || '</a>', '<span></span>') || '<a href="../index.html">Guide index</a>' || coalesce('<a rel="next" href="' || a || '.html">Next: ' || an || '</a>', '<span></span>')
+|| '</nav><footer class="archive-footer"><p>' || CASE WHEN p_size % 2 = 0 THEN 'Copyright' ELSE 'Archived from the publisher source without altering substantive document content.' END || '</p><p><a href="https://h.example/?a=1&amp;b=' || p_partkey || '">View publisher source</a></p></footer></body></html>') AS sha FROM n""")
+def k3(spark, d):
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    near = lambda f: (F.concat(f("p_partkey").over(w).cast("string"), F.lit(".html")), f("p_name").over(w))
+    p = table(spark, d, "part")
+    before, after = near(F.lag), near(F.lead)
+    page = W.topic_page(F.concat("p_brand", F.lit(" & more")), F.lit("static"), F.col("p_name"), F.concat(F.lit("https://h.example/?a=1&b="), "p_partkey"), F.concat(F.lit("<p>"), "p_size", F.lit("</p>")), *before, *after, F.when(F.col("p_size") % 2 == 0, "Copyright").otherwise(""), F.col("p_partkey").cast("string"))
+    return p.select("p_partkey", F.sha2(page, 256).alias("sha"))
+
+
+@query("k3_guide_index", """SELECT p_brand, count(*) AS topics, '<!doctype html><title>' || p_brand || '</title><ol class="archive-index">' || string_agg('<li><a href="pages/' || p_partkey || '.html">' || p_name || '</a></li>', '' ORDER BY p_partkey) || '</ol>' AS html FROM part GROUP BY p_brand""")
+def k3b(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_partkey", "p_name", F.concat(F.lit("pages/"), "p_partkey", F.lit(".html")).alias("path"))
+    return W.index_page(p, "p_brand", "p_partkey", "p_name", "path")
+
+
+@query("h14_linked_images", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'image' WHEN 2 THEN 'online' ELSE 'removed' END AS action FROM part""")
+def h14(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_size") % 4
+    href = F.when(n == 0, "a.html").when(n == 1, "i.png").when(n == 2, "https://o.example/i.png").otherwise("j.png")
+    pages, images = F.create_map(F.lit("a.html"), F.lit("pages/a.html")), F.create_map(F.lit("i.png"), F.lit("assets/i.png"))
+    out = p.withColumn("href", href)
+    return out.select("p_partkey", W.anchor_action(F.try_element_at(pages, F.col("href")), F.col("href"), U.is_online(F.col("href")), F.try_element_at(images, F.col("href"))).alias("action"))
+
+
+PRINTED = "'<h1 id=\"t\">' || p_name || '</h1><p>See:</p><table><tr><td>x</td></tr></table><div>Run <b>it</b><pre>a</pre></div><p id=\"t\"><a href=\"#t\">up</a><a href=\"n' || (p_size % 2) || '.html\">next</a></p><p> </p><script>x</script>'"
+
+
+@query("h24_h25_print_sections", """SELECT p_partkey, '<section id="topic-' || p_partkey || '"><h1 id="topic-' || p_partkey || '-t">' || p_name || '</h1><p class="print-chain">See:</p><table><tr><td>x</td></tr></table><div><span class="print-leadin">Run <b>it</b></span><pre class="print-keep">a</pre></div><p><a href="#topic-' || p_partkey || '-t">up</a><a href="'
+|| CASE WHEN p_size % 2 = 0 THEN '#topic-0' ELSE 'n1.html' END || '">next</a></p><p class="print-blank"> </p></section>' AS html, ['topic-' || p_partkey || '-t'] AS bookmarks, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS inside, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS outside FROM part""")
+def h25(spark, d):
+    return printed(spark, d).drop("ord")
+
+
+def printed(spark, d):
+    p = table(spark, d, "part").withColumns({"page": F.expr(PRINTED), "anchor": F.expr("'topic-' || p_partkey"), "destinations": F.create_map(F.lit("n0.html"), F.lit("topic-0")), "ord": F.col("p_partkey")})
+    return C.per_page(p, P.section, "html string, bookmarks array<string>, inside int, outside int", ["p_partkey", "ord"], ["page", "anchor", "destinations"])
+
+
+@query("k10_combined_document", """SELECT p_brand, count(*) AS sections, sum(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END) AS inside, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY p_brand""")
+def k10(spark, d):
+    """The documents' inventories; the sections themselves go to a sink."""
+    made = printed(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return made.groupBy("p_brand").agg(F.count("*").alias("sections"), F.sum("inside").alias("inside"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
 # -- sources and sinks -----------------------------------------------------
 
 ROBOTS = "VALUES (1,'User-agent: *' || chr(10) || 'Disallow: /x # no',NULL,NULL), (2,'# nothing',NULL,NULL), (3,'<html>',NULL,'directive'), (4,'Disallow: /',NULL,'rule before any user-agent'), (5,'User-agent:',NULL,'empty user-agent'), (6,'X-Own: 1',NULL,'nothing recognisable'), (7,'User-agent: a','text/html','content type'), (8,'User-agent: *' || chr(10) || 'Crawl-delay: soon',NULL,'crawl-delay'), (9,'Sitemap: ftp',NULL,'sitemap'), (10,'Host: a/b',NULL,'host') AS t(id, body, kind, want)"

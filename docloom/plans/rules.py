@@ -132,12 +132,6 @@ def s22(spark, d):
     return rows(spark, STATE).select("id", F.coalesce(parsed["version"].isNotNull() & (F.size(F.array_except(keys, known)) == 0), F.lit(False)).alias("valid"))
 
 
-@query("j30_j32_consistency", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
-def j30(spark, d):
-    good = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
-    return J.missing(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), good, ["l_suppkey"]).select("l_orderkey", "l_linenumber")
-
-
 @query("a20_recovery_summary", "SELECT l_suppkey, string_agg(k, ', ' ORDER BY k) AS families FROM (SELECT DISTINCT l_suppkey, l_returnflag || l_linestatus AS k FROM lineitem) GROUP BY 1")
 def a20(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ", ").alias("families"))

@@ -8,6 +8,7 @@ from ..operators import guides as G
 from ..operators import incremental as I
 from ..operators import joins as J
 from ..operators import trees as T
+from .graph import WALK, nodes
 from .registry import query, table
 
 
@@ -97,3 +98,65 @@ def f15(spark, d):
     names = f.groupBy(F.lower("path").alias("folded")).agg(F.count("*").alias("n"))
     met = f.join(names, F.lower("path") == F.col("folded"))
     return G.violations(met, "p_partkey", inside=~F.col("path").rlike(r"(^|/)\.\.(/|$)|^/"), status=F.col("status") == 200, hash=F.col("sha").rlike("^[0-9a-f]{64}$"), collision=F.col("n") == 1)
+
+
+@query("r8_r9_ordered_reads", "SELECT o_custkey, count(*) AS jobs, count(*) FILTER (o_orderstatus = 'F') AS done, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'P') AS error FROM orders GROUP BY 1")
+def r8(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("ord"), "o_orderstatus", "o_orderpriority")
+    results = o.select("o_custkey", "ord", F.when(F.col("o_orderstatus") == "F", F.col("ord")).alias("value"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).when(F.col("o_orderstatus") == "O", "cancelled").alias("error"))
+    return G.ordered_outcomes(o.select("o_custkey", "ord"), results, "o_custkey")
+
+
+@query("j30_skipped_guides", """
+SELECT c_custkey AS guide, CASE WHEN c_custkey % 2 = 0 THEN 'retained guide is gone' ELSE 'guide is retained' END AS problem FROM customer WHERE c_acctbal < 3000 AND (c_custkey % 2 = 0) != (c_custkey % 3 = 0)""")
+def j30(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("guide"), "c_acctbal")
+    return G.skipped_problems(c.where("c_acctbal < 3000").select("guide", (F.col("guide") % 2 == 0).alias("retained")), c.where("guide % 3 = 0"))
+
+
+@query("j32_missing_resources", """
+SELECT p_partkey AS key, CASE p_size % 8 WHEN 1 THEN 'page' WHEN 2 THEN 'hash' WHEN 3 THEN 'topic' WHEN 4 THEN 'element' WHEN 5 THEN 'class' WHEN 6 THEN 'status' WHEN 7 THEN 'placeholder' END AS problem FROM part WHERE p_size % 8 != 0""")
+def j32(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_size") % 8
+    topics = p.select(F.concat(F.lit("pages/"), "p_partkey").alias("path"), F.sha2("p_name", 256).alias("sha256"), F.concat(F.lit("u"), "p_partkey").alias("url"))
+    either = lambda k, bad, good: F.when(n == k, bad).otherwise(good)
+    missing = p.select(
+        F.col("p_partkey").alias("key"),
+        F.concat(either(1, F.lit("lost/"), F.lit("pages/")), "p_partkey").alias("page"),
+        either(2, F.lit("x"), F.sha2("p_name", 256)).alias("page_sha256"),
+        F.concat(either(3, F.lit("v"), F.lit("u")), "p_partkey").alias("topic_url"),
+        either(4, F.lit("video"), F.lit("img")).alias("element"),
+        either(5, F.lit("unknown"), F.lit("http-404")).alias("failure"),
+        F.lit("png").alias("raster"),
+        either(6, F.lit(500), F.lit(404)).alias("status"),
+        either(7, F.lit("x"), F.lit("image-placeholder-1")).alias("placeholder"),
+    )
+    return G.missing_resource_problems(missing, topics)
+
+
+@query("j32_still_archived", "SELECT DISTINCT url FROM (SELECT 'u' || l_partkey AS url FROM lineitem WHERE l_returnflag = 'R') WHERE url IN (SELECT 'u' || p_partkey FROM part WHERE p_size < 10)")
+def j32b(spark, d):
+    gone = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("u"), "l_partkey").alias("url")).distinct()
+    return G.still_archived(gone, table(spark, d, "part").where("p_size < 10").select(F.concat(F.lit("u"), "p_partkey").alias("url")))
+
+
+@query("j29_print_destinations", """
+WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS referrer, l_partkey % 150 AS k, l_suppkey % 5 AS f FROM lineitem)
+SELECT referrer, 'u' || k AS key, CASE WHEN f = 0 THEN '' ELSE 'f' || f END AS fragment,
+CASE WHEN k >= 100 OR k % 7 = 0 THEN NULL WHEN f IN (0, 3) THEN 't' || k WHEN f IN (1, 2) THEN 't' || k || '-f' || f END AS destination,
+CASE WHEN k >= 100 OR k % 7 = 0 THEN 'outside' WHEN f = 0 THEN 'topic' WHEN f IN (1, 2) THEN 'bookmark' WHEN f = 3 THEN 'warning' ELSE 'error' END AS result FROM l""")
+def j29(spark, d):
+    li = table(spark, d, "lineitem")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    links = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("referrer"), text("u", F.col("l_partkey") % 150).alias("key"), F.when(F.col("l_suppkey") % 5 == 0, "").otherwise(text("f", F.col("l_suppkey") % 5)).alias("fragment"))
+    keys = spark.range(100).select(text("u", F.col("id")).alias("key"), text("t", F.col("id")).alias("anchor"))
+    two = spark.range(100).where("id % 7 = 0").select(text("u", F.col("id")).alias("key"), F.lit("other").alias("anchor"))
+    marks = keys.select("anchor", F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("fragment"))
+    return G.print_destinations(links, keys.unionByName(two), marks.withColumn("printed", F.concat("anchor", F.lit("-"), "fragment")), keys.select("anchor", F.lit("f3").alias("fragment")))
+
+
+@query("t2_module_chunks", f"""{WALK} SELECT t.tree, t.node, t.depth, t.path, CASE WHEN s_suppkey % 3 != 0 THEN s_name END AS title, CASE WHEN s_suppkey % 3 != 0 THEN 'c' || s_suppkey || '.htm' END AS link, CASE WHEN s_suppkey IS NULL OR s_suppkey % 3 = 0 THEN 'no entry' END AS problem FROM t LEFT JOIN supplier ON t.node = 's' || s_suppkey""")
+def t2(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey % 3 != 0")
+    chunks = s.select(F.lit("w").alias("tree"), F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_name").alias("title"), F.concat(F.lit("c"), "s_suppkey", F.lit(".htm")).alias("link"))
+    return G.from_chunks(T.preorder(nodes(spark, d)), chunks)

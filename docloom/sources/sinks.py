@@ -112,3 +112,9 @@ def recover(spark: SparkSession, parent: str) -> list[str]:
         _settle(spark, journal, names)
         out.append(names["target"])
     return out
+
+
+def write_document(sections: DataFrame, target: str, order: str = "ord", html: str = "html") -> None:
+    """The combined document's sections as text files whose names and rows are
+    in reading order: a range sort, no section meets another in one task."""
+    sections.orderBy(order).select(html).write.text(target, lineSep="\n")

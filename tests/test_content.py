@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom import plans
 from docloom.functions import content as C
-from docloom.functions import dom
+from docloom.functions import dom, printing
 from docloom.operators import aggregates, guides, incremental, trees
 from docloom.sources import archives, sinks
 
@@ -157,6 +157,23 @@ def test_export_tells_what_differs(spark):
     assert got == {"g": True, "h": False}
 
 
+def test_combined_document_is_in_reading_order(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("ord"), F.concat(F.lit("<section>"), "id", F.lit("</section>")).alias("html")).orderBy(F.desc("ord"))
+    sinks.write_document(rows, f"{tmp_path}/book")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "book").glob("part-*")))
+    assert text.split() == [f"<section>{i}</section>" for i in range(500)]
+
+
+def test_print_marks():
+    made = lambda text: printing.section(text, "t", {})[0][0]
+    long = "\n".join("x" * 3 for _ in range(9))
+    assert made(f"<pre>{long}</pre>") == f'<section id="t"><pre>{long}</pre></section>'
+    assert made("<p>a:</p><p>b</p><ul><li>c</ul>").startswith('<section id="t"><p class="print-chain">a:')
+    assert made("<p>a:</p><p>b</p><p>c</p>").startswith('<section id="t"><p>a:')
+    assert made("<ul><li>do<ol><li>x</ol></ul>") == '<section id="t"><ul><li><span class="print-leadin">do</span><ol><li>x</li></ol></li></ul></section>'
+    assert made(None) == '<section id="t"></section>'
+
+
 def test_progress_and_pacing(spark):
     d = spark.createDataFrame([(0, 0), (1, 3), (3, 3), (999, 1000), (-1, 5), (1, None)], "done int, total int")
     assert [r.p for r in d.select(incremental.progress(F.col("done"), F.col("total")).alias("p")).collect()] == [0, 33, 100, 99, 0, 0]
