@@ -251,6 +251,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _segment_hashes(seg: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and word starts of one segment; breaks: offsets at which a
     text begins (a word never crosses one)."""
+    return _segment_words(seg, breaks, lower)[:2]
+
+
+def _segment_words(seg: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(seg)
     word = ~_IS_WHITE[seg]
     first = word.copy()
@@ -266,7 +270,7 @@ def _segment_hashes(seg: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[n
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((_VALUE_LOWER if lower else _VALUE)[seg] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
 def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -299,6 +303,27 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray, lower: bool = True) -> It
         i = j
 
 
+def segment_words(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (bytes, hashes, starts, ends, text) for segments of about SEGMENT
+    bytes that end at white space or at the end of a text: the words in order,
+    where they lie in the bytes, and the number of each word's text."""
+    a, end = 0, len(body)
+    while a < end:
+        b = min(a + SEGMENT, end)
+        while b < end and not _IS_WHITE[body[b]]:
+            after = int(offsets[np.searchsorted(offsets, b, "left")])  # where the next text begins
+            step = body[b : min(b + 65536, after)]
+            white = np.flatnonzero(_IS_WHITE[step])
+            b += int(white[0]) if len(white) else len(step)
+            if b == after:
+                break
+        first = int(np.searchsorted(offsets, a, "right"))
+        breaks = offsets[first : np.searchsorted(offsets, b, "left")] - a
+        h, starts, ends = _segment_words(body[a:b], breaks, False)
+        yield body[a:b], h, starts, ends, np.searchsorted(offsets, starts + a, "right") - 1
+        a = b
+
+
 # --------------------------------------------------------------------------
 # blocks of sorted 64-bit keys
 # --------------------------------------------------------------------------

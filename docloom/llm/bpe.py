@@ -34,12 +34,13 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, prepare
+from ._common import buffers, fresh, prepare, segment_words
 
 #: Words whose encodings a worker keeps at a time.
 CACHE_WORDS = 400_000
@@ -192,6 +193,54 @@ def tokenizer(text: str) -> Tokenizer:
     return _loaded[text]
 
 
+class _Counts:
+    """Tokens of words by their hash: sorted arrays of bounded size."""
+
+    def __init__(self, model: Tokenizer):
+        self.model = model
+        self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def of(self, distinct: np.ndarray, word) -> np.ndarray:
+        """The tokens of sorted distinct hashes; word(i) is the i-th word."""
+        if len(self.keys) > CACHE_WORDS:
+            self.keys, self.values = self.keys[:0], self.values[:0]
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        out = np.zeros(len(distinct), np.int64)
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = [len(self.model.encode(word(i))) for i in new.tolist()]
+            keys, values = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.values, out[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.values = keys[order], values[order]
+        return out
+
+
+def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens of every whole text (a column of that
+    name goes). White space of ASCII always ends a word, and neither the
+    normaliser nor special tokens reach across it, so a text has the tokens of
+    its words, and each distinct word is encoded once for many texts."""
+    names = [c for c in docs.columns if c != name]
+    body = fresh(names, "body")
+    file = docs.sparkSession.sparkContext.broadcast(read(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(tokenizer(file.value))
+        for batch in batches:
+            total = np.zeros(batch.num_rows, np.int64)
+            for data, h, starts, ends, text in segment_words(*buffers(batch.column(0))):
+                distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+                found = counts.of(distinct, lambda i: data[starts[first[i]] : ends[first[i]]].tobytes().decode())
+                total += np.bincount(text, found[back], minlength=len(total)).astype(np.int64)
+            yield pa.record_batch([*batch.columns[1:], pa.array(total)], [*names, name])
+
+    prepare(docs.sparkSession)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return docs.select(F.col(text_col).cast("string").alias(body), *names).mapInArrow(run, f"{kinds}, `{name}` long")
+
+
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """docs with the ids of every whole text and the text decoded from them."""
     names = [c for c in docs.columns if c not in (ids_col, decoded_col)]

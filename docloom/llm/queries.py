@@ -102,17 +102,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", packing.n_words("text").alias("n_tokens")))
+def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = bpe.with_token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path or tokenizer_path())
+    return packing.pack(docs.select("doc_id", "n_tokens"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    if path is None:
-        import public_tokenizers
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), path or tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode_digests(_table(spark, sf_dir, "documents"), path)
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op5_quality_classifier, op6_exact_dedup, op7_lm_scoring, op8_quality_rules, op9_packing, op10_bpe)}

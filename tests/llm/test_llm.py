@@ -621,6 +621,23 @@ def test_bpe_equals_the_library(spark, odd, empty):
     assert len({(r.n_tokens, r.ids_sha256) for r in rows if r.doc_id == 50}) == 1 and sum(r.doc_id is None for r in rows) == 2
 
 
+def test_token_counts_equal_the_encoding(spark, odd, empty, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    model = bpe.tokenizer(bpe.read(path))
+    rng = random.Random(5)
+    pool = [*"aAbZ ÉéΣσςİıßẞ\t\n\x0b\r　 's'll'D012½²①٣五あäö̈éﬁ🙂<|>_-…​\x00\x85힣", "<|startoftext|>", "<|endoftext|>", "word", "the "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["a" * 1_500_000, "long word " * 150_000]
+    for keep in (400_000, 300):
+        monkeypatch.setattr(bpe, "CACHE_WORDS", keep)
+        got = bpe.with_token_counts(docs(spark, texts).withColumn("n_tokens", F.lit("own")), path)
+        assert got.columns == [*odd.columns, "n_tokens"]
+        rows = {r.doc_id: r.n_tokens for r in got.select("doc_id", "n_tokens").collect()}
+        assert all(rows[i] == len(model.encode(t)) for i, t in enumerate(texts))
+    assert {r.n_tokens for r in bpe.with_token_counts(odd, path).where("doc_id < 3").collect()} == {0}
+    assert bpe.with_token_counts(empty, path).count() == 0
+
+
 @pytest.mark.parametrize("part, value", [("normalizer", None), ("decoder", {"type": "BPEDecoder"}), ("pre_tokenizer", {"type": "Sequence", "pretokenizers": []})])
 def test_bpe_refuses_other_files(part, value):
     public = pytest.importorskip("public_tokenizers")
