@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from docloom.llm import bpe, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, queries
 from docloom.llm._common import discard, shared_folder
 
 
@@ -47,10 +47,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_copies(docs, shingle=5, percent=80)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its bucket, batch and slot; the length is the number of
-    words between white space plus one, also of null and empty texts."""
-    return packing.pack(docs.select("doc_id", packing.n_words("text").alias("n_tokens")))
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every row with its bucket, batch and slot, by the tokens of the public
+    tokenizer file; null and empty texts have none."""
+    counted = bpe.with_token_counts(docs.select("doc_id", "text"), path or queries.tokenizer_path())
+    return packing.pack(counted.select("doc_id", "n_tokens"))
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classify), ("exact_dedup", dedup_exact), ("near_dedup", dedup_near), ("packing", pack)]
