@@ -44,6 +44,10 @@ from ._common import buffers, fresh, prepare, segment_words
 
 #: Words whose encodings a worker keeps at a time.
 CACHE_WORDS = 400_000
+#: Words whose token counts a worker keeps, by hash (16 bytes each).
+CACHE_HASHES = 8_000_000
+#: Normalised words and their parts whose token counts a worker keeps.
+CACHE_PIECES = 1_500_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -199,10 +203,12 @@ class _Counts:
     def __init__(self, model: Tokenizer):
         self.model = model
         self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.pieces: dict[str, int] = {}
 
-    def of(self, distinct: np.ndarray, word) -> np.ndarray:
-        """The tokens of sorted distinct hashes; word(i) is the i-th word."""
-        if len(self.keys) > CACHE_WORDS:
+    def of(self, distinct: np.ndarray, words) -> np.ndarray:
+        """The tokens of sorted distinct hashes; words(places) gives the words
+        at some places, as one text with a line for each."""
+        if len(self.keys) > CACHE_HASHES:
             self.keys, self.values = self.keys[:0], self.values[:0]
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
@@ -210,10 +216,34 @@ class _Counts:
         out[known] = self.values[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            out[new] = [len(self.model.encode(word(i))) for i in new.tolist()]
-            keys, values = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.values, out[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.values = keys[order], values[order]
+            out[new] = self.counted(words(new))
+            where = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.values = np.insert(self.keys, where, distinct[new]), np.insert(self.values, where, out[new])
+        return out
+
+    def counted(self, text: str) -> list[int]:
+        """Tokens of each line of a text: a line is a word."""
+        model = self.model
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        if model.stops and model.stops.search(text):
+            return [len(model.encode(w)) for w in text.split("\n")]
+        pieces, merge, split, out = self.pieces, model.merge, model.words.findall, []
+        for word in model.normalise(text).split("\n"):
+            n = pieces.get(word)
+            if n is None:
+                if word.isascii() and word.isalpha():
+                    n = len(merge(word))
+                else:
+                    n = 0
+                    for piece in split(word):
+                        k = pieces.get(piece)
+                        if k is None:
+                            k = pieces[piece] = len(merge(piece))
+                        n += k
+                if len(word) <= 64:
+                    pieces[word] = n
+            out.append(n)
         return out
 
 
@@ -232,7 +262,8 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", name:
             total = np.zeros(batch.num_rows, np.int64)
             for data, h, starts, ends, text in segment_words(*buffers(batch.column(0))):
                 distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-                found = counts.of(distinct, lambda i: data[starts[first[i]] : ends[first[i]]].tobytes().decode())
+                raw, low, high = data.tobytes(), starts[first], ends[first]
+                found = counts.of(distinct, lambda new: b"\n".join([raw[a:b] for a, b in zip(low[new].tolist(), high[new].tolist())]).decode())
                 total += np.bincount(text, found[back], minlength=len(total)).astype(np.int64)
             yield pa.record_batch([*batch.columns[1:], pa.array(total)], [*names, name])
 

@@ -630,6 +630,8 @@ def test_token_counts_equal_the_encoding(spark, odd, empty, monkeypatch):
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["a" * 1_500_000, "long word " * 150_000]
     for keep in (400_000, 300):
         monkeypatch.setattr(bpe, "CACHE_WORDS", keep)
+        monkeypatch.setattr(bpe, "CACHE_HASHES", keep)
+        monkeypatch.setattr(bpe, "CACHE_PIECES", keep)
         got = bpe.with_token_counts(docs(spark, texts).withColumn("n_tokens", F.lit("own")), path)
         assert got.columns == [*odd.columns, "n_tokens"]
         rows = {r.doc_id: r.n_tokens for r in got.select("doc_id", "n_tokens").collect()}
