@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 from urllib.parse import unquote, urlsplit
 from zlib import crc32
 
@@ -63,6 +65,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the worker process. Functions travel
+    by value, so the globals of their module are new for each task."""
+    return sys.modules.setdefault("docloom_worker_state", ModuleType("docloom_worker_state")).__dict__
+
+
 class Files:
     """Files of a shared folder, opened from any executor.
 

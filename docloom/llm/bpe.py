@@ -14,8 +14,8 @@ and post-processing are not applied.
 
 Scale: a pure map over rows, no shuffle. The driver reads the file and
 broadcasts its text (a few MB, whatever the corpus). Words repeat, so each
-worker keeps the encodings of words in a table of bounded size, emptied when
-it is full.
+worker keeps the encodings of words in tables of bounded size, for all its
+tasks, and empties them when they are full.
 
 Defined cases: a null text counts as empty and has no ids. A very long text
 is split into words one after another; a single long word costs n log n. Of
@@ -29,10 +29,10 @@ the two results, which they replace.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, fresh, prepare, segment_words
+from ._common import buffers, fresh, prepare, segment_words, worker_state
 
 #: Words whose encodings a worker keeps at a time.
 CACHE_WORDS = 400_000
 #: Words whose token counts a worker keeps, by hash (16 bytes each).
-CACHE_HASHES = 8_000_000
+CACHE_HASHES = 4_000_000
 #: Normalised words and their parts whose token counts a worker keeps.
 CACHE_PIECES = 1_500_000
 
@@ -89,13 +89,15 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, tuple[int, int]] = {}  # by both ids, 32 bits each
         for rank, (a, b) in enumerate(merges):
             if a in self.vocab and b in self.vocab and a + b in self.vocab:
-                self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+                self.ranks.setdefault(self.vocab[a] << 32 | self.vocab[b], (rank, self.vocab[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.letters = byte_alphabet()
+        letters = byte_alphabet()  # -1: no symbol
+        self.inner = [self.vocab.get(letters[b], -1) for b in range(256)]
+        self.last = [self.vocab.get(letters[b] + self.end, -1) for b in range(256)]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
         self.stops = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -110,35 +112,47 @@ class Tokenizer:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def merge(self, word: str) -> list[int]:
-        letters, vocab, ranks = self.letters, self.vocab, self.ranks
-        symbols = [letters[b] for b in word.encode("utf-8")]
-        if symbols:
-            symbols[-1] += self.end
-        ids = [vocab[s] for s in symbols if s in vocab]
+        """The ids of a word's symbols after all merges. A symbol that was
+        merged into its left neighbour has the id -1."""
+        data, ranks = word.encode("utf-8"), self.ranks
+        if not data:
+            return []
+        inner = self.inner
+        ids = [inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if -1 in ids:
+            ids = [i for i in ids if i >= 0]
         n = len(ids)
         if n < 2:
             return ids
+        queue, a = [], ids[0]
+        for i in range(1, n):
+            b = ids[i]
+            hit = ranks.get(a << 32 | b)
+            if hit is not None:
+                queue.append((hit[0], i - 1, hit[1], a, b))
+            a = b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        queue = [(*hit, i, ids[i], ids[i + 1]) for i in range(n - 1) if (hit := ranks.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, new, a, b) for rank, new, i, a, b in queue]
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
+            _, i, new, a, b = heappop(queue)
             j = after[i]
-            if not alive[i] or ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] != a or j >= n or ids[j] != b:
                 continue  # stale
             ids[i] = new
-            alive[j] = False
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if hit := ranks.get((new, ids[k])):
-                    heapq.heappush(queue, (hit[0], i, hit[1], new, ids[k]))
+                hit = ranks.get(new << 32 | ids[k])
+                if hit is not None:
+                    heappush(queue, (hit[0], i, hit[1], new, ids[k]))
             p = before[i]
-            if p >= 0 and (hit := ranks.get((ids[p], new))):
-                heapq.heappush(queue, (hit[0], p, hit[1], ids[p], new))
-        return [ids[i] for i in range(n) if alive[i]]
+            if p >= 0:
+                hit = ranks.get(ids[p] << 32 | new)
+                if hit is not None:
+                    heappush(queue, (hit[0], p, hit[1], ids[p], new))
+        return [i for i in ids if i >= 0]
 
     def _entry(self, word: str) -> tuple[list[int], str, str]:
         """The word's ids, as decimals, and their strings put together."""
@@ -181,20 +195,21 @@ class Tokenizer:
         return " ".join(s for i in ids if (s := self.strings.get(i)) is not None)
 
 
-_loaded: dict[str, Tokenizer] = {}
-
-
 def read(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
 def tokenizer(text: str) -> Tokenizer:
-    """The tokenizer of a file's text, made once in each process."""
-    if text not in _loaded:
-        _loaded.clear()
-        _loaded[text] = Tokenizer(text)
-    return _loaded[text]
+    """The tokenizer of a file's text; a process keeps the last one."""
+    return _latest("tokenizer", text, lambda: Tokenizer(text))
+
+
+def _latest(kind: str, text: str, make):
+    state = worker_state()
+    if kind not in state or state[kind][0] != text:
+        state[kind] = (text, make())
+    return state[kind][1]
 
 
 class _Counts:
@@ -257,7 +272,7 @@ def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", name:
     file = docs.sparkSession.sparkContext.broadcast(read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(tokenizer(file.value))
+        counts = _latest("token counts", file.value, lambda: _Counts(tokenizer(file.value)))
         for batch in batches:
             total = np.zeros(batch.num_rows, np.int64)
             for data, h, starts, ends, text in segment_words(*buffers(batch.column(0))):
