@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from . import bpe, exact_dedup, line_dedup, lm_scoring, merkle, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, sharding, token_prefixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,14 @@ FROM n
 """
 
 
+def _crc(name: str):
+    """crc32 of a column as text; null counts as empty."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
 def _remainder(of: int):
-    """crc32 of the id as text, modulo `of`; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
+    """crc32 of the id as text, modulo `of`."""
+    return _crc("doc_id") % of
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +116,84 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), path or tokenizer_path())
 
 
-def tokenizer_path() -> str:
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(_table(spark, sf_dir, "documents").select("doc_id", "text"), _crc("doc_id"))
+    rows = periodic_runs.collapse_runs(docs)
+    top = periodic_runs.strongest(F.col("runs"))
+    rows = rows.select("doc_id", "runs", "collapsed", top.alias("top"))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(_remainder(3) == 0, merkle.leaf(*LEAF_FIELDS[:-1], lowered))
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"), LEAF_FIELDS, "lang", "doc_id", {"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"), F.col("slots"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels: int, top_levels: int) -> str:
+    """Level by level for that many levels of eight: enough for 8 ** levels
+    rows of a language and 8 ** top_levels languages."""
+    frame = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(frame(c) for c in LEAF_FIELDS[:-1])
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+    parts = [
+        f"""d AS (SELECT doc_id, lang, sha256({head} || {frame("text")}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {frame(lowered)}) END AS other FROM documents)""",
+        "l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)",
+        "a0 AS (SELECT g, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS c FROM l)",
+    ]
+
+    def tree(name: str, count: int) -> None:
+        for i in range(count):
+            run = f"PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN"
+            parts.append(f"""{name}p{i} AS (SELECT g, pos, c, CASE WHEN c = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lft,
+              CASE WHEN c = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS rgt FROM {name}{i})""")
+            parts.append(f"{name}{i + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, (max(c) + 7) // 8 AS c FROM {name}{i} GROUP BY g, pos // 8)")
+
+    tree("a", levels)
+    parts.append(f"b0 AS (SELECT 1 AS g, g - 1 AS pos, h, count(*) OVER () AS c FROM a{levels})")
+    tree("b", top_levels)
+    last = "f0"
+    parts.append(f"f0 AS (SELECT l.*, s.h AS subroot, r.h AS root, '' AS proof, coalesce(other, leaf) AS f FROM l JOIN a{levels} s USING (g) CROSS JOIN b{top_levels} r)")
+    for i, (name, level, on) in enumerate([("a", k, f"p.g = f.g AND p.pos = f.pos // {8**k}") for k in range(levels)] + [("b", k, f"p.pos = (f.g - 1) // {8**k}") for k in range(top_levels)], 1):
+        parts.append(f"f{i} AS (SELECT f.* REPLACE (proof || lft || rgt AS proof, CASE WHEN c = 1 THEN f ELSE sha256(lft || f || rgt) END AS f) FROM {last} f JOIN {name}p{level} p ON {on})")
+        last = f"f{i}"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM {last}"
+
+
+OP12_SQL = _merkle_sql(6, 2)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    rows = token_prefixes.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), path or tokenizer_path("byte_bpe_50k.json"), budgets=[TOKEN_LIMIT])
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col(f"fits_{TOKEN_LIMIT}").alias("chars_within_limit"))
+
+
+#: Tokens of a text that op13 allows.
+TOKEN_LIMIT = 1024
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op5_quality_classifier, op6_exact_dedup, op7_lm_scoring, op8_quality_rules, op9_packing, op10_bpe)}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_sharding, op4_warc, op5_quality_classifier, op6_exact_dedup, op7_lm_scoring, op8_quality_rules, op9_packing, op10_bpe, op11_periodic_runs, op12_merkle_manifest, op13_token_counts)}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op12_merkle_manifest": OP12_SQL}
