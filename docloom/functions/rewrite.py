@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..operators.folds import framed_parts, sorted_parts
 from .html import VOID
 
 #: Elements that go with their content, and attributes that stay (fixed).
@@ -129,6 +130,21 @@ def topic_page(guide: Column, kind: Column, title: Column, url: Column, content:
     )
 
 
+def _index_frame(topics, guide: str, order: str, title: str, path: str):
+    """The head of each guide's index page, an item of it, and its end."""
+    item = F.concat(F.lit('<li><a href="'), escaped(F.col(path)), F.lit('">'), escaped(F.col(title)), F.lit("</a></li>"))
+    head = topics.groupBy(guide).agg(F.count("*").alias("topics"))
+    head = head.withColumn("head", F.concat(F.lit("<!doctype html><title>"), escaped(F.col(guide).cast("string")), F.lit('</title><ol class="archive-index">')))
+    return head, item, "</ol>"
+
+
+def index_parts(topics, guide: str, order: str, title: str, path: str):
+    """One generated index for each guide: its topics in reading order, as rows
+    (guide, part, text) that make up the page in the order of part."""
+    head, item, tail = _index_frame(topics, guide, order, title, path)
+    return framed_parts(sorted_parts(topics, [guide], [order, path, title], item), [guide], head, tail)
+
+
 def index_page(topics, guide: str, order: str, title: str, path: str):
     """One generated index for each guide: its topics in reading order."""
     item = F.concat(F.lit('<li><a href="'), escaped(F.col(path)), F.lit('">'), escaped(F.col(title)), F.lit("</a></li>"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import numbered, within_budget
+
 #: Notice kinds in the order of a summary, with singular and plural (fixed).
 NOTICE_LABELS = [
     ("external-link-retained", "external link retained", "external links retained"),
@@ -60,20 +62,20 @@ def page_frequency(lines: DataFrame, value: str = "text", page: str = "page") ->
 def evidence(bookmarks: DataFrame, page_cap: int, guide_cap: int) -> DataFrame:
     """Sorted ids of each page (guide, ord, id), all or nothing: a page over
     its cap is left out, and so is one that would take the guide over its cap;
-    later smaller pages may still fit. The fold runs over one row per page."""
-    pages = bookmarks.groupBy("guide", "ord").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    sizes = pages.select("guide", "ord", F.size("ids").alias("n"))
-    folded = sizes.groupBy("guide").agg(F.sort_array(F.collect_list(F.struct("ord", "n"))).alias("pages"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(state: Column, page: Column) -> Column:
-        fits = (page["n"] <= page_cap) & (state["used"] + page["n"] <= guide_cap)
-        return F.when(fits, F.struct((state["used"] + page["n"]).alias("used"), F.concat(state["kept"], F.array(page["ord"].cast("long"))).alias("kept"))).otherwise(state)
-
-    kept = folded.select("guide", F.explode(F.aggregate("pages", start, step)["kept"]).alias("ord")).withColumn("kept", F.lit(True))
-    out = pages.join(kept, ["guide", "ord"], "left")
-    complete = F.coalesce("kept", F.lit(False))
-    return out.select("guide", "ord", F.when(complete, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("ids"), complete.alias("complete"))
+    later smaller pages may still fit. The fold sees one number per page; the
+    ids of a page are gathered only where they fit."""
+    distinct = bookmarks.select("guide", "ord", "id").distinct()
+    sizes = distinct.groupBy("guide", "ord").agg(F.count("id").cast("int").alias("n"))
+    kept = within_budget(sizes, "guide", "ord", "n", page_cap, guide_cap).withColumn("complete", F.lit(True))
+    pages = sizes.join(kept, ["guide", "ord"], "left").select("guide", "ord", F.coalesce("complete", F.lit(False)).alias("complete"))
+    held = distinct.join(kept.drop("complete"), ["guide", "ord"], "left_semi").groupBy("guide", "ord").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return pages.join(held, ["guide", "ord"], "left").select("guide", "ord", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), "complete")
+
+
+def affected_topics(uses: DataFrame, style: str, topic: str) -> DataFrame:
+    """The distinct topics of each style in order, one row each: (style, nth,
+    topic). A style that all topics use is spread over ranges."""
+    return numbered(uses.select(style, topic).distinct(), [style], [topic])
 
 
 def footer_audit(lines: DataFrame, pages: DataFrame, limit: float) -> DataFrame:

@@ -241,6 +241,16 @@ def k3b(spark, d):
     return W.index_page(p, "p_brand", "p_partkey", "p_name", "path")
 
 
+@query("k3_guide_index_parts", """
+WITH t AS (SELECT o_orderpriority AS guide, '<li><a href="pages/' || o_orderkey || '.html">Order &lt;' || o_orderkey || '&gt;</a></li>' AS item, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k FROM orders)
+SELECT guide, k // 1000 AS part, string_agg(item, '' ORDER BY k) AS text FROM t GROUP BY ALL
+UNION ALL SELECT DISTINCT guide, -1, '<!doctype html><title>' || guide || '</title><ol class="archive-index">' FROM t
+UNION ALL SELECT DISTINCT guide, 4611686018427387904, '</ol>' FROM t""")
+def k3_parts(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("guide"), "o_orderkey", F.concat(F.lit("Order <"), "o_orderkey", F.lit(">")).alias("title"), F.concat(F.lit("pages/"), "o_orderkey", F.lit(".html")).alias("path"))
+    return W.index_parts(o, "guide", "o_orderkey", "title", "path")
+
+
 @query("h14_linked_images", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'image' WHEN 2 THEN 'online' ELSE 'removed' END AS action FROM part""")
 def h14(spark, d):
     p, n = table(spark, d, "part"), F.col("p_size") % 4

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import search as Q
+from ..operators.gram_index import GramIndex
 from ..sources import catalogue as C
 from ..sources import sinks as K
+from ..sources.shared import shared_root
 from .registry import query, rows, table, values
 
 FILES = """VALUES (0, 'g1', '{"10.10": {"p1": "a", "p2": "b"}, "10.13": {"p1": "c"}}'), (1, 'g2', '{"10.10": {"p1": "a", "p1": "b"}}'), (2, 'g3', '{"10.10": {"p1": " "}}'), (3, 'g4', '{"1": {}} x') AS t(guide_ord, guide_id, body)"""
@@ -89,6 +93,20 @@ def c2(spark, d):
     return C.tree_digest(p, "root")
 
 
+LINES = "SELECT l_returnflag AS guide, l_orderkey || '/' || l_linenumber AS path, sha256(l_orderkey || '/' || l_linenumber) AS sha256, l_quantity::BIGINT AS size FROM lineitem"
+
+
+def line_files(spark, d):
+    """One file for each line, in a few large trees."""
+    path = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("guide"), path.alias("path"), F.sha2(path, 256).alias("sha256"), F.col("l_quantity").cast("long").alias("size"))
+
+
+@query("c2_large_trees", f"SELECT guide, sha256(string_agg(path || chr(9) || sha256, chr(10) ORDER BY path)) AS digest FROM ({LINES}) GROUP BY 1")
+def c2_large(spark, d):
+    return C.tree_digest(line_files(spark, d), "guide")
+
+
 # -- sinks -----------------------------------------------------------------
 
 
@@ -114,6 +132,16 @@ def k4(spark, d):
     return K.manifest_json(p, "guide")
 
 
+@query("k4_manifest_parts", f"""
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY guide ORDER BY path, size) - 1 AS k FROM ({LINES})),
+p AS (SELECT guide, k // 1000 AS part, string_agg('{{"path":"' || path || '","sha256":"' || sha256 || '","size":' || size || '}}', ',' ORDER BY k) AS text FROM f GROUP BY ALL)
+SELECT guide, -1::BIGINT AS part, '{{"count":' || count(*) || ',"bytes":' || sum(size) || ',"files":[' AS text FROM f GROUP BY guide
+UNION ALL SELECT guide, part, CASE WHEN part > 0 THEN ',' ELSE '' END || text FROM p
+UNION ALL SELECT DISTINCT guide, 4611686018427387904, ']}}' FROM f""")
+def k4_parts(spark, d):
+    return K.manifest_parts(line_files(spark, d), "guide")
+
+
 # -- search ----------------------------------------------------------------
 
 INDEX = "SELECT doc_id AS ord, source AS guide, lang AS title, source || '/' || doc_id || '.html' AS url, text FROM documents"
@@ -142,6 +170,38 @@ def q3(spark, d):
     return Q.release_search(index(spark, d), "that", ascii_only=True).select("ord", "snippet")
 
 
+_INDEXES: dict[tuple[str, str, str], GramIndex] = {}
+
+
+def gram_index(spark, d, kind):
+    """The index of a table's texts, built once for an application and table."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _INDEXES:
+        hay = Q.release_text() if kind == "release" else Q.guide_text()
+        _INDEXES[key] = GramIndex.build(index(spark, d), hay, f"{shared_root(spark)}/grams-{kind}-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+@query("q1_indexed_search", f"""
+WITH i AS ({INDEX}), m AS (SELECT *, lower(nfc_normalize(guide || ' ' || title || ' ' || text)) AS hay FROM i),
+h AS (SELECT * FROM m WHERE contains(hay, 'rights') AND contains(hay, 'th') AND contains(hay, 'src'))
+SELECT ord, guide, title, url, (SELECT count(*) FROM h) AS n_matches FROM h ORDER BY ord LIMIT 50""")
+def q1_indexed(spark, d):
+    return Q.release_search_indexed(gram_index(spark, d, "release"), "Rights TH src").select("ord", "guide", "title", "url", "n_matches")
+
+
+@query("q2_indexed_search", f"SELECT ord, url FROM ({INDEX}) WHERE contains(lower(title || ' ' || text), 'all rights') ORDER BY ord LIMIT 100")
+def q2_indexed(spark, d):
+    return Q.guide_search_indexed(gram_index(spark, d, "guide"), "  All Rights ").select("ord", "url")
+
+
+@query("q3_indexed_snippets", f"""
+WITH i AS ({INDEX}), h AS (SELECT * FROM i WHERE contains(lower(nfc_normalize(guide || ' ' || title || ' ' || text)), 'qu'))
+SELECT ord, (SELECT count(*) FROM h) AS n_matches, substring(text, greatest(strpos(lower(nfc_normalize(text)), 'qu') - 1 - 70, 0) + 1, 240) AS snippet FROM h ORDER BY ord LIMIT 50""")
+def q3_indexed(spark, d):
+    return Q.release_search_indexed(gram_index(spark, d, "release"), "qu").select("ord", "n_matches", "snippet")
+
+
 HREFS = "VALUES (1,'a/b.html',true), (2,'../x',false), (3,'a/../../x',false), (4,'a/../x',true), (5,'javascript:x',false), (6,'/x',false), (7,'C:x',false), (8,'./a#../..',true) AS t(id, url, want)"
 
 

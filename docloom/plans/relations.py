@@ -273,6 +273,25 @@ def a25(spark, d):
     return table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_orderkey")).alias("topics"))
 
 
+@query("a24_page_evidence", """
+WITH RECURSIVE d AS (SELECT DISTINCT l_suppkey AS guide, year(l_shipdate) * 12 + month(l_shipdate) AS ord, CAST(l_partkey AS VARCHAR) AS id FROM lineitem),
+p AS (SELECT guide, ord, count(*) AS n, list_sort(list(id)) AS ids, row_number() OVER (PARTITION BY guide ORDER BY ord) AS k FROM d GROUP BY guide, ord),
+f AS (
+  SELECT DISTINCT guide, 0::BIGINT AS k, 0::BIGINT AS used, false AS complete FROM p
+  UNION ALL
+  SELECT p.guide, p.k, CASE WHEN n <= 9 AND used + n <= 200 THEN used + n ELSE used END, n <= 9 AND used + n <= 200
+  FROM f JOIN p ON p.guide = f.guide AND p.k = f.k + 1)
+SELECT guide, ord, CASE WHEN complete THEN ids ELSE [] END AS ids, complete FROM p JOIN f USING (guide, k)""")
+def a24_pages(spark, d):
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    return A.evidence(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("guide"), month.alias("ord"), F.col("l_partkey").cast("string").alias("id")), 9, 200)
+
+
+@query("a25_affected_rows", "SELECT l_returnflag, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) - 1 AS nth FROM (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem)")
+def a25_rows(spark, d):
+    return A.affected_topics(table(spark, d, "lineitem"), "l_returnflag", "l_partkey")
+
+
 FOOT = "VALUES (1, 700.0, '1'), (1, 700.0, 'Intro'), (2, 700.0, '2'), (3, 100.0, '3'), (4, 705.0, 'iv'), (4, 705.0, 'Body'), (4, 706.0, 'Extra') AS t(page, y0, text)"
 FOOT_PAGES = "VALUES (1), (2), (3), (4) AS t(page)"
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.folds import sorted_digest
+
 MAX_RELEASES, MAX_ENTRIES, MAX_DEPTH = 1_000, 100_000, 100
 
 
@@ -227,10 +229,11 @@ def pdf_problem(bodies: pd.Series) -> pd.Series:
 
 
 def tree_digest(files: DataFrame, by: str, path: str = "path", sha256: str = "sha256") -> DataFrame:
-    """A digest of each tree: the hash of its files' sorted paths and hashes
-    (bodies are hashed where they lie, not gathered)."""
-    parts = F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), F.col(sha256).alias("h"))))
-    return files.groupBy(by).agg(F.sha2(F.array_join(F.transform(parts, lambda x: F.concat(x["p"], F.lit("\t"), x["h"])), "\n"), 256).alias("digest"))
+    """A digest of each tree: the hash of its files' sorted paths and hashes.
+    Bodies are hashed where they lie; a tree's lines are sorted by ranges and
+    hashed part by part, so a tree of any size is in no cell."""
+    line = F.concat(F.col(path), F.lit("\t"), F.col(sha256))
+    return sorted_digest(files, [by], [path, sha256], line, "\n")
 
 
 def structured_lines(documents: DataFrame) -> DataFrame:

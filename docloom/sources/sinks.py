@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.folds import framed_parts, sorted_parts
 
 #: Control and format characters and line and paragraph separators from DEL on.
 CONTROLS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x7F, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cc", "Cf", "Zl", "Zp")) + "]")
@@ -30,6 +31,15 @@ def manifest_json(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.to_json(F.struct(F.count("*").alias("count"), F.sum("size").alias("bytes"), parts.alias("files"))).alias("manifest"))
 
 
+def manifest_parts(files: DataFrame, by: str) -> DataFrame:
+    """manifest_json as rows (guide, part, text): in the order of part, the
+    texts of a guide are its document. No guide is in one cell."""
+    head = files.groupBy(by).agg(F.to_json(F.struct(F.count("*").alias("count"), F.sum("size").alias("bytes"))).alias("h"))
+    head = head.select(by, F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"files":[')).alias("head"))
+    parts = sorted_parts(files, [by], ["path", "sha256", "size"], F.to_json(F.struct("path", "sha256", "size")), ",")
+    return framed_parts(parts, [by], head, "]}", ",")
+
+
 @F.pandas_udf(StringType())
 def _escaped(texts: pd.Series) -> pd.Series:
     def one(m: re.Match) -> str:
