@@ -45,30 +45,38 @@ def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return new
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "nth", partitions: int | None = None) -> DataFrame:
-    """rows with their number in their group, from 0, in the given order. No
-    window, and no group in one task."""
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "nth", partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """rows with their number in their group (no columns: all rows), from 0, in
+    the given order; with a weight (a column of longs), the sum of the weights
+    before them. No window, and no group in one task."""
     spark = rows.sparkSession
     count = partitions or max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, before, index = TaskContext.get().partitionId(), None, 0, 0
+        part, begin, last, total, index = TaskContext.get().partitionId(), None, None, 0, 0
+        key = lambda batch, i: tuple(batch.column(g)[i].as_py() for g in group)
         for batch in batches:
-            if batch.num_rows == 0:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            first = np.flatnonzero(_changes(batch, group) | (np.arange(batch.num_rows) == 0))
-            sizes = np.diff(first, append=batch.num_rows)
-            nth = np.arange(batch.num_rows) - np.repeat(first, sizes)
-            if tuple(batch.column(g)[0].as_py() for g in group) == last:
-                nth[: sizes[0]] += before
-            last, before = tuple(batch.column(g)[-1].as_py() for g in group), int(nth[-1]) + 1
-            at = np.arange(index, index + batch.num_rows)
-            index += batch.num_rows
-            yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at), pa.array(nth)], [*batch.schema.names, "part_", "at_", "nth_"])
+            begin = key(batch, 0) if begin is None else begin
+            new = _changes(batch, group)
+            new[0] = key(batch, 0) != last
+            weights = batch.column(weight).to_numpy() if weight else np.ones(n, np.int64)
+            before = np.cumsum(weights) - weights + total
+            # where a row's group begins in this batch, what came before it; else 0
+            starts = np.flatnonzero(new)
+            sums = np.concatenate(([0], before[starts]))[np.cumsum(new)]
+            nth = before - sums
+            first = np.full(n, key(batch, 0) == begin) & (np.cumsum(new) <= (1 if new[0] else 0))
+            last, total = key(batch, n - 1), int(nth[-1] + weights[-1])
+            at = pa.array(np.arange(index, index + n))
+            index += n
+            yield pa.record_batch([*batch.columns, pa.array(np.full(n, part, np.int32)), at, pa.array(nth), pa.array(first)], [*batch.schema.names, "part_", "at_", "nth_", "first_"])
 
     dealt = rows.repartitionByRange(count, *group, *order).sortWithinPartitions(*group, *order)
-    local = stored(dealt.mapInArrow(run, f"{_kinds(rows)}, part_ int, at_ long, nth_ long"), "numbered")
-    per = local.groupBy("part_", *group).agg(F.count("*").alias("n_"), F.min("at_").alias("low_"))
+    local = stored(dealt.mapInArrow(run, f"{_kinds(rows)}, part_ int, at_ long, nth_ long, first_ boolean"), "numbered")
+    per = local.groupBy("part_", *group).agg((F.sum(weight) if weight else F.count("*")).alias("n_"), F.min("at_").alias("low_"))
     held = F.struct("n_", *group)
     ends = per.groupBy("part_").agg(F.min_by(held, "low_").alias("first_"), F.max_by(held, "low_").alias("last_"))
     offsets, last, before = [], None, 0
@@ -78,8 +86,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "n
         offsets.append((r.part_, offset))
         last, before = end, r.last_.n_ + (offset if first == end else 0)
     known = F.broadcast(spark.createDataFrame(offsets, "part_ int, offset_ long"))
-    # a row of the partition's first group has as many rows before it as that group has
-    nth = F.col("nth_") + F.when(F.col("at_") == F.col("nth_"), F.col("offset_")).otherwise(0)
+    nth = F.col("nth_") + F.when(F.col("first_"), F.col("offset_")).otherwise(0)
     return local.join(known, "part_").withColumn(name, nth).select(*rows.columns, name)
 
 

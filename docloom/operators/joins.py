@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.releases import release_key
+from .asof import asof_join
+from .folds import numbered
 
 
 def unique_targets(pairs: DataFrame, key: str, target: str) -> DataFrame:
@@ -43,6 +45,17 @@ def neighbour_releases(mappings: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"before": F.lag("release").over(w), "after": F.lead("release").over(w)}).drop("key_")
 
 
+def nearest_releases(wanted: DataFrame, mappings: DataFrame, by: list[str]) -> DataFrame:
+    """wanted (by, release) with the nearest other mapped release before and
+    after it and their targets (null: none). A key that most mappings share is
+    cut by ranges; of mappings of one release the greatest target counts."""
+    known = mappings.withColumn("key_", release_key(F.col("release")))
+    out, time = wanted, lambda: release_key(F.col("release"))
+    for side, forward in (("before", False), ("after", True)):
+        out = asof_join(out, known, by, time(), F.col("key_"), {side: "release", f"{side}_target": "target"}, forward=forward, strict=True)
+    return out
+
+
 def peer_targets(mappings: DataFrame, platform: str, release: str) -> DataFrame:
     """For guides mapped or not in a release: the target that the platform's
     peers agree on. Peers shared the platform's target in the nearest release
@@ -142,15 +155,26 @@ def with_tables(base: DataFrame, *tables: tuple[DataFrame, Column | str, str]) -
     return base
 
 
+def prefixed(values: DataFrame, texts: DataFrame, value: str) -> DataFrame:
+    """(value, n): how many distinct longer texts begin with each distinct
+    value. Values and texts are numbered in byte order; the texts that begin
+    with a value stand between the value and the value with a byte that no text
+    has behind it, so the difference of two running counts tells their number
+    and no value meets a text."""
+    key = F.encode(F.col(value), "utf-8")
+    row = lambda df, k, kind, n: df.select(k.alias("key_"), F.lit(kind).alias("kind_"), F.col(value), F.lit(n).cast("long").alias("n_"))
+    known, said = (df.select(value).where(F.col(value).isNotNull()).distinct() for df in (values, texts))
+    ends = F.concat(key, F.lit(bytearray(b"\xff")))
+    rows = row(said, key, 0, 1).unionByName(row(known, key, 1, 0)).unionByName(row(known, ends, 1, 0))  # a text before the value that equals it
+    counted = numbered(rows, [], ["key_", "kind_"], "before_", weight="n_").where("kind_ = 1")
+    return counted.groupBy(value).agg((F.max("before_") - F.min("before_")).alias("n"))
+
+
 def explained(values: DataFrame, texts: DataFrame, commands: DataFrame, value: str, least: int = 32) -> DataFrame:
     """values with whether the source explains their repetition: the text
     occurs twice or more, or it has `least` characters or more and begins two
-    or more longer command rows. Both meet by their first `least` characters,
-    which all such pairs share."""
-    keys = values.select(value).distinct()
+    or more longer command rows."""
     often = texts.groupBy(value).agg(F.count("*").alias("n_")).where("n_ >= 2").select(value)
-    long = keys.where(F.char_length(value) >= least).select(F.col(value), F.left(value, F.lit(least)).alias("head_"))
-    longer = commands.select(F.col(value).alias("row_")).distinct().where(F.char_length("row_") > least).withColumn("head_", F.left("row_", F.lit(least)))
-    begun = long.join(longer, "head_").where(F.startswith("row_", value) & (F.char_length("row_") > F.char_length(value))).groupBy(value).agg(F.count("*").alias("n_")).where("n_ >= 2").select(value)
+    begun = prefixed(values.where(F.char_length(value) >= least), commands, value).where("n >= 2").select(value)
     found = often.unionByName(begun).distinct().withColumn("explained", F.lit(True))
     return values.join(found, value, "left").fillna(False, ["explained"])

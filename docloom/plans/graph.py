@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import guides as O
+from ..operators import outlines as L
 from ..operators import trees as G
+from ..operators.folds import numbered
 from .registry import query, rows, table
 
 #: Region, nation, customer as one tree.
@@ -68,6 +72,78 @@ def t12(spark, d):
     return G.outline_problems(rows(spark, NODES))
 
 
+OUTLINE = """l AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem),
+n AS (
+  SELECT 'n' || n_nationkey AS node, n_name AS title, 1 AS depth, n_nationkey AS a, -1 AS b, -1 AS c FROM nation
+  UNION ALL SELECT 's' || s_suppkey, s_name, 2, s_nationkey, s_suppkey, -1 FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION ALL SELECT 'l' || l_suppkey || '/' || l_orderkey, 'Order ' || l_orderkey, 3, s_nationkey, l_suppkey, l_orderkey FROM l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+def outline(spark, d):
+    """Nations, their suppliers and the orders of those as a linked outline."""
+    nations = table(spark, d, "nation")
+    suppliers = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct().join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
+    name = lambda kind, *keys: F.concat(F.lit(kind), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))
+    top = nations.select(name("n", "n_nationkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("title"))
+    middle = suppliers.select(name("s", "s_suppkey"), name("n", "s_nationkey"), F.col("s_suppkey").cast("long"), "s_name")
+    low = orders.select(name("l", "l_suppkey", "l_orderkey"), name("s", "l_suppkey"), F.col("l_orderkey").cast("long"), F.concat(F.lit("Order "), "l_orderkey"))
+    entries = top.union(middle).union(low)
+    near = Window.partitionBy("parent").orderBy("ord")
+    children = entries.where("parent is not null").groupBy("parent").agg(F.min_by("node", "ord").alias("first"), F.max_by("node", "ord").alias("last"), F.count("*").alias("n"))
+    below = children.where("parent like 's%'").select(F.col("parent").alias("node"), F.col("n").alias("count"))
+    of_nations = middle.toDF("node", "parent", "ord", "title").join(below, "node", "left").groupBy("parent").agg(F.sum(F.coalesce("count", F.lit(0)) + 1).alias("count"))
+    counts = below.unionByName(of_nations.select(F.col("parent").alias("node"), "count"))
+    linked = entries.withColumns({"prev": F.lag("node").over(near), "next": F.lead("node").over(near)})
+    return linked.join(children.drop("n").withColumnRenamed("parent", "node"), "node", "left").join(counts, "node", "left").withColumn("tree", F.lit("guide"))
+
+
+@query("t12_linked_outline", f"""WITH {OUTLINE}
+SELECT node, title, row_number() OVER (ORDER BY a, b, c) - 1 AS position, depth, CASE depth WHEN 1 THEN count(*) OVER (PARTITION BY a) WHEN 2 THEN count(*) OVER (PARTITION BY a, b) ELSE 1 END - 1 AS descendants FROM n""")
+def t12_positions(spark, d):
+    return L.positions(outline(spark, d)).drop("tree")
+
+
+@query("t12_outline_faults", f"""WITH {OUTLINE}
+SELECT node, 'title' AS problem FROM n WHERE depth = 3 AND c % 50 = 7
+UNION ALL SELECT node, 'prev' FROM n WHERE depth = 3 AND c % 50 = 11
+UNION ALL SELECT node, 'leaf' FROM n WHERE depth = 3 AND c % 50 = 13
+UNION ALL SELECT node, 'count' FROM n WHERE depth = 2 AND b % 5 = 0 AND b IN (SELECT l_suppkey FROM l)""")
+def t12_faults(spark, d):
+    low, order = F.col("node").startswith("l"), F.substring_index("node", "/", -1).try_cast("long") % 50
+    own = F.col("node").startswith("s") & (F.substring("node", 2, 20).try_cast("long") % 5 == 0) & F.col("first").isNotNull()
+    return L.problems(outline(spark, d).withColumns({
+        "title": F.when(low & (order == 7), " ").otherwise(F.col("title")),
+        "prev": F.when(low & (order == 11), F.col("node")).otherwise(F.col("prev")),
+        "last": F.when(low & (order == 13), F.col("node")).otherwise(F.col("last")),
+        "count": F.when(own, F.col("count") + 1).otherwise(F.col("count")),
+    })).drop("tree")
+
+
+@query("j27_outline_differences", f"""WITH {OUTLINE},
+e AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS position, depth, title FROM n),
+s AS (SELECT position, depth, CASE WHEN depth = 3 AND position % 40 = 3 THEN upper(title) ELSE title END AS title FROM e WHERE depth < 3 OR position % 1000 <> 77),
+r AS (SELECT row_number() OVER (ORDER BY position) - 1 AS position, depth, title FROM s)
+SELECT position, e.depth AS expected_depth, e.title AS expected_title, r.depth AS actual_depth, r.title AS actual_title
+FROM e FULL JOIN r USING (position) WHERE e.depth IS DISTINCT FROM r.depth OR e.title IS DISTINCT FROM r.title""")
+def j27(spark, d):
+    flat = L.positions(outline(spark, d))
+    changed = flat.withColumn("title", F.when((F.col("depth") == 3) & (F.col("position") % 40 == 3), F.upper("title")).otherwise(F.col("title")))
+    shown = numbered(changed.where((F.col("depth") < 3) | (F.col("position") % 1000 != 77)), ["tree"], ["position"], "at")
+    return L.differences(flat, shown.drop("position").withColumnRenamed("at", "position")).drop("tree")
+
+
+@query("j13_branch_children", """
+WITH l AS (SELECT DISTINCT l_suppkey AS branch, l_orderkey AS k FROM lineitem),
+a AS (SELECT branch, k, row_number() OVER (PARTITION BY branch ORDER BY k) - 1 AS ord FROM l),
+b AS (SELECT branch, k, row_number() OVER (PARTITION BY branch ORDER BY k) - 1 AS ord FROM l WHERE branch % 3 > 0 OR k % 500 <> 1)
+SELECT branch, ord, a.k AS left_key, b.k AS right_key FROM a FULL JOIN b USING (branch, ord) WHERE a.k IS DISTINCT FROM b.k""")
+def j13_branches(spark, d):
+    held = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("branch"), F.col("l_orderkey").alias("k")).distinct()
+    ranked = lambda rows: numbered(rows, ["branch"], ["k"], "ord")
+    return O.positional(ranked(held), ranked(held.where("branch % 3 > 0 or k % 500 <> 1")), ["branch"], "ord", "k")
+
+
 @query("t13_drop_unpublished", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE strlen(html) < 1500)")
 def t13(spark, d):
     p = table(spark, d, "pages")

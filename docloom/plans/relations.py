@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ordered as O
 from ..operators import sets as E
+from ..operators.asof import asof_join
 from .registry import query, rows, table, values
 
 # -- joins -----------------------------------------------------------------
@@ -48,6 +49,24 @@ def j5(spark, d):
     return J.peer_targets(rows(spark, MAPPED), "p1", "10.13")
 
 
+PEERS = """m AS (SELECT o_custkey AS guide_id, CAST(year(o_orderdate) AS VARCHAR) AS release, left(o_orderpriority, 1) AS platform, min(o_orderstatus) AS target FROM orders GROUP BY ALL)"""
+
+
+@query("j5_peers_of_orders", f"""WITH {PEERS},
+own AS (SELECT * FROM m WHERE platform = '1' AND release <> '1995'),
+near AS (SELECT guide_id, max(release) AS release FROM own WHERE release < '1995' GROUP BY 1 UNION ALL SELECT guide_id, min(release) FROM own WHERE release > '1995' GROUP BY 1),
+s AS (SELECT * FROM own JOIN near USING (guide_id, release)),
+p AS (SELECT s.guide_id, s.release, m.platform FROM s LEFT JOIN m ON m.guide_id = s.guide_id AND m.release = s.release AND m.platform <> '1' AND m.target = s.target),
+n AS (SELECT guide_id, release, count(platform) AS n FROM p GROUP BY ALL),
+ok AS (SELECT guide_id, list_sort(list(release)) AS releases FROM n GROUP BY 1 HAVING min(n) > 0),
+here AS (SELECT q.guide_id, q.platform, m.target FROM (SELECT DISTINCT guide_id, platform FROM p) q JOIN m ON m.guide_id = q.guide_id AND m.platform = q.platform AND m.release = '1995'),
+one AS (SELECT guide_id, min(target) AS target, list_sort(list(platform)) AS peers FROM here GROUP BY 1 HAVING count(DISTINCT target) = 1)
+SELECT one.guide_id, one.target, peers, releases FROM one JOIN ok USING (guide_id) LEFT JOIN m ON m.guide_id = one.guide_id AND m.release = '1995' AND m.platform = '1' WHERE m.target IS NULL OR m.target <> one.target""")
+def j5_orders(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("guide_id"), F.year("o_orderdate").cast("string").alias("release"), F.left("o_orderpriority", F.lit(1)).alias("platform")).agg(F.min("o_orderstatus").alias("target"))
+    return J.peer_targets(o, "1", "1995")
+
+
 @query("j6_unique_alias", "SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def j6(spark, d):
     return J.unique_targets(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
@@ -312,6 +331,37 @@ def a27(spark, d):
 # -- order -----------------------------------------------------------------
 
 
+@query("w1_nearest_releases", """
+WITH m AS (SELECT o_orderpriority AS guide, year(o_orderdate) AS y, month(o_orderdate) AS mo, o_orderstatus AS target FROM orders WHERE o_totalprice > 400000),
+k AS (SELECT guide, y * 100 + mo AS k, y || '.' || mo AS release, max(target) AS target FROM m GROUP BY ALL),
+w AS (SELECT DISTINCT o_orderpriority AS guide, year(o_orderdate) * 100 + month(o_orderdate) AS k, year(o_orderdate) || '.' || month(o_orderdate) AS release FROM orders)
+SELECT w.guide, w.release, b.release AS before, b.target AS before_target, a.release AS after, a.target AS after_target
+FROM w ASOF LEFT JOIN k b ON b.guide = w.guide AND b.k < w.k ASOF LEFT JOIN k a ON a.guide = w.guide AND a.k > w.k""")
+def w1_nearest(spark, d):
+    label = F.concat(F.year("o_orderdate"), F.lit("."), F.month("o_orderdate"))
+    rows_ = table(spark, d, "orders").select(F.col("o_orderpriority").alias("guide"), label.alias("release"), F.col("o_orderstatus").alias("target"), "o_totalprice")
+    return J.nearest_releases(rows_.select("guide", "release").distinct(), rows_.where("o_totalprice > 400000"), ["guide"])
+
+
+@query("w1_click_before_error", """
+WITH c AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT e.event_id, e.user_id, c.event_id AS click_id, c.ts AS click_ts FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN c ON c.user_id = e.user_id AND c.ts <= e.ts""")
+def w1_clicks(spark, d):
+    e = table(spark, d, "events")
+    found = asof_join(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), e.where("event_type = 'click'"), ["user_id"], F.col("ts"), F.col("ts"), {"click_id": "event_id", "click_ts": "ts"})
+    return found.drop("ts")
+
+
+@query("w1_order_before_shipment", """
+WITH l AS (SELECT DISTINCT l_orderkey, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'all' END AS k FROM lineitem),
+o AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'R' ELSE 'all' END AS k, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+SELECT l.l_orderkey, l.k, o.o_orderkey, o.o_orderdate FROM l ASOF LEFT JOIN o ON o.k = l.k AND o.o_orderdate < l.l_shipdate""")
+def w1_shipments(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", F.when(F.col("l_returnflag") == "R", "R").otherwise("all").alias("k")).distinct()
+    orders = table(spark, d, "orders").withColumn("k", F.when(F.col("o_orderstatus") == "P", "R").otherwise("all"))
+    return asof_join(lines, orders, ["k"], F.col("l_shipdate"), F.col("o_orderdate"), {"o_orderkey": "o_orderkey", "o_orderdate": "o_orderdate"}, strict=True).drop("l_shipdate")
+
+
 @query("w1_neighbour_releases", "SELECT * FROM (VALUES ('a','10.4',NULL,'10.9'), ('a','10.9','10.4','10.10'), ('a','10.10','10.9',NULL)) AS t(guide, release, before, after)")
 def w1(spark, d):
     return J.neighbour_releases(rows(spark, "VALUES ('a','10.10'), ('a','10.4'), ('a','10.9') AS t(guide, release)"), ["guide"])

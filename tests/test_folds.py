@@ -92,3 +92,15 @@ def test_evidence_skips_pages_and_goes_on(spark):
 def test_affected_topics_are_distinct_and_in_order(spark):
     uses = spark.createDataFrame([("s1", "b"), ("s1", "a"), ("s1", "b"), ("s2", None), (None, "z")], "style string, topic string")
     assert sorted(map(str, map(tuple, aggregates.affected_topics(uses, "style", "topic").collect()))) == sorted(map(str, [("s1", "a", 0), ("s1", "b", 1), ("s2", None, 0), (None, "z", 0)]))
+
+
+def test_running_sums_over_all_rows(spark):
+    rng = random.Random(8)
+    data = [(rng.randrange(30), i, rng.randrange(4)) for i in range(2000)]
+    got = folds.numbered(spark.createDataFrame(data, "k int, i int, w long"), [], ["k", "i"], "sum", partitions=11, weight="w").collect()
+    before, want = 0, {}
+    for k, i, w in sorted(data):
+        want[i], before = before, before + w
+    assert {r.i: r.sum for r in got} == want
+    by = folds.numbered(spark.createDataFrame(data, "k int, i int, w long"), ["k"], ["i"], "sum", partitions=11, weight="w").collect()
+    assert all(r.sum == sum(w for k, i, w in data if k == r.k and i < r.i) for r in by)
