@@ -8,7 +8,10 @@ The reader cuts every file into byte ranges. A task scans its range for the
 gzip magic, decodes the head of the candidate member, and takes it if a WARC
 version line is found there; from then on members follow one another. A
 record belongs to the range in which its member starts, wherever it ends, so
-each record is read exactly once.
+each record is read exactly once. A member that begins well and cannot be read
+to its end, or whose payload has another digest than its head says, is damaged:
+reading fails, or gives a row with the problem. Damage that hides a member's
+head is told by the manifest, which knows each file's records.
 
 Scale: deduplication aggregates narrow rows (digest, id); pages shuffle once,
 by digest, and adaptive execution splits a digest that many pages share, as
@@ -24,7 +27,9 @@ UTF-8 payloads cannot hold uncompressed (0x8B never follows 0x1F there).
 Defined cases: a null payload is empty; a null url an empty target; control
 characters of a url are percent-encoded in the header. A null page id sorts
 below all others and comes back as null. Rows that share the largest page id
-of a group are all responses. An empty table gives an empty archive.
+of a group are all responses; repeated page ids have a record each. Other
+columns of the pages are not archived, whatever their names. An empty table
+gives an empty archive.
 """
 
 from __future__ import annotations
@@ -137,34 +142,46 @@ class _Window:
         return self.held[start - self.at : start - self.at + length]
 
 
+class Damaged(ValueError):
+    """A member that cannot be read to its end."""
+
+
 def _member(window: _Window, start: int) -> tuple[bytes, int] | None:
     """The record in the member at start, and the member's end; None if there
     is no member with a WARC version line."""
     unpack = zlib.decompressobj(31)
-    out, at = [], start
     try:
         head = unpack.decompress(window.get(start, 512), 16)
-        if not head.startswith(b"WARC/"):
-            return None
-        out.append(head)
-        at += min(512, window.size - start)
+    except zlib.error:
+        return None
+    if not head.startswith(b"WARC/"):
+        return None
+    out, at = [head], start + min(512, window.size - start)
+    try:
         out.append(unpack.decompress(unpack.unconsumed_tail))
         while not unpack.eof:
             data = window.get(at, min(BLOCK, window.size - at))
             if not data:
-                return None  # cut off
+                raise Damaged("cut off")
             at += len(data)
             out.append(unpack.decompress(data))
-    except zlib.error:
-        return None
+    except zlib.error as e:
+        raise Damaged(str(e)) from None
     return b"".join(out), at - len(unpack.unused_data)
 
 
-def members(source, size: int, start: int, end: int) -> Iterator[bytes]:
-    """The records whose members start in [start, end)."""
+def members(source, size: int, start: int, end: int, problems: list[tuple[int, str]] | None = None) -> Iterator[bytes]:
+    """The records whose members start in [start, end). Damaged members are
+    added to problems (place, text) and passed over; without, they raise."""
     window, at = _Window(source, size), start
     while at < end:
-        found = _member(window, at) if window.get(at, 3) == MAGIC else None
+        try:
+            found = _member(window, at) if window.get(at, 3) == MAGIC else None
+        except Damaged as e:
+            if problems is None:
+                raise Damaged(f"member at {at}: {e}") from None
+            problems.append((at, str(e)))
+            found = None
         if found:
             data, at = found
             yield data
@@ -195,53 +212,75 @@ def _page(urn: str | None) -> int | None:
     return int(value) if re.fullmatch(r"-?\d+", value) else None
 
 
-def _reader(folder: str, with_payload: bool):
+def _reader(folder: str, with_payload: bool, report: bool):
     files = Files(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, size, start, end in zip(*(c.to_pylist() for c in batch.columns)):
-                rows, held = [], 0
+                rows, held, problems = [], 0, []
                 with files.open(name) as source:
-                    for data in members(source, size, start, end):
+                    for data in members(source, size, start, end, problems):
                         r = parse(data)
                         http, _, payload = r["block"].partition(b"\r\n\r\n")
                         kind, digest = r.get("warc-type"), r.get("warc-payload-digest", "").removeprefix("sha1:")
                         length = re.search(rb"(?i)content-length: *(\d+)", http)
                         if kind == "response":
-                            digest, n = hashlib.sha1(payload).hexdigest(), len(payload)
+                            told, digest, n = digest, hashlib.sha1(payload).hexdigest(), len(payload)
+                            if told != digest:
+                                problems.append((0, f"payload of {r.get('warc-record-id')} has another digest"))
+                                continue
                         else:
                             n = int(length[1]) if length else 0
-                        rows.append((_page(r.get("warc-record-id")), r.get("warc-target-uri"), n, digest, kind, _page(r.get("warc-refers-to")), payload if with_payload and kind == "response" else None))
+                        rows.append((_page(r.get("warc-record-id")), r.get("warc-target-uri"), n, digest, kind, _page(r.get("warc-refers-to")), payload if with_payload and kind == "response" else None, name, None))
                         held += len(data) if with_payload else 200
                         if held > 4 << 20:
                             yield _rows(rows)
                             rows, held = [], 0
+                if problems and not report:
+                    raise Damaged(f"{name}: " + "; ".join(f"{text} at {at}" for at, text in problems))
+                rows += [(*[None] * 7, name, f"{text} at {at}") for at, text in problems]
                 if rows:
                     yield _rows(rows)
 
     return run
 
 
-_KINDS = [("page_id", pa.int64()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+_KINDS = [("page_id", pa.int64()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("problem", pa.string())]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_KINDS)], [n for n, _ in _KINDS])
 
 
-def read_archive(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+def read_archive(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True, report: bool = False) -> DataFrame:
     """The records of the manifest's files (columns file and bytes): page_id,
-    target_uri, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    target_uri, payload_bytes, payload_digest, record_type, refers_to, payload,
+    file, problem. Damaged members fail the run; with `report`, each is a row of
+    its file and problem only."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     splits = manifest.where("bytes > 0").select("file", "bytes", starts).withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
     splits = splits.repartition(max(8, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file", "start")
-    return splits.mapInArrow(_reader(folder, payloads), "page_id long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return splits.mapInArrow(_reader(folder, payloads, report), "page_id long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, file string, problem string")
+
+
+def incomplete(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """The manifest's files (file, records, found) of which another number of
+    records was read than was written."""
+    read = records.where("problem is null").groupBy("file").agg(F.count("*").alias("found"))
+    files = manifest.select("file", "records").join(read, "file", "left").fillna(0, ["found"])
+    return files.where("found <> records")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write the pages to a new shared folder and read the archives back."""
+    """Write the pages to a new shared folder and read the archives back; every
+    file must give as many records as went into it."""
     folder = shared_folder(spark, "warc")
     if Files(folder).local:
         os.makedirs(Files(folder).base, exist_ok=True)
-    return read_archive(write_archive(pages, folder), folder, payloads=False)
+    manifest = write_archive(pages, folder)
+    records = stored(read_archive(manifest, folder, payloads=False), "warc-records")
+    bad = incomplete(manifest, records).limit(5).collect()
+    if bad:
+        raise Damaged(", ".join(f"{r.file}: {r.found} of {r.records} records" for r in bad))
+    return records

@@ -290,6 +290,70 @@ def test_members_survive_garbage_and_false_magic():
         assert found == [f"<urn:x-page:{i}>" for i in range(20)]
 
 
+def _archive(spark, tmp_path, n=6):
+    """One file of n records, and where each begins."""
+    rng = random.Random(4)
+    d = spark.createDataFrame([(i, f"u{i}", "".join(rng.choice("abcdef gh") for _ in range(3000))) for i in range(n)], "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        manifest = warc.write_archive(d, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (file,) = manifest.collect()
+    return manifest, tmp_path / file.file
+
+
+def _at(data):
+    return [m.start() for m in re.finditer(re.escape(warc.MAGIC), data)]
+
+
+def test_damaged_members_are_told(spark, tmp_path):
+    manifest, file = _archive(spark, tmp_path)
+    good = file.read_bytes()
+    starts = _at(good)
+    assert len(starts) == 6 and warc.incomplete(manifest, warc.read_archive(manifest, str(tmp_path))).count() == 0
+
+    def read(data, size=None, split=8 << 20):
+        file.write_bytes(data)
+        listed = manifest.withColumn("bytes", F.lit(len(data)).cast("long"))
+        with pytest.raises(Exception, match="(?i)member|incomplete|invalid|cut off|incorrect"):
+            warc.read_archive(listed, str(tmp_path), split_bytes=split).collect()
+        return warc.read_archive(listed, str(tmp_path), split_bytes=split, report=True).collect(), listed
+
+    flipped = bytearray(good)
+    flipped[starts[3] + 1200] ^= 0xFF
+    for split in (500, 8 << 20):
+        rows, _ = read(bytes(flipped), split=split)
+        assert len({r.page_id for r in rows if r.problem is None}) == sum(r.problem is None for r in rows) == 5 and [r.file for r in rows if r.problem] == [file.name]
+    rows, _ = read(good[:-40])
+    assert sum(r.problem is None for r in rows) == 5 and "cut off" in [r.problem for r in rows if r.problem][0]
+    rows, _ = read(bytes(flipped)[: starts[5] + 700])
+    assert sum(r.problem is None for r in rows) == 4 and sum(r.problem is not None for r in rows) == 2
+    hidden = bytearray(good)  # no magic, no member: the manifest knows
+    hidden[starts[2]] ^= 0xFF
+    file.write_bytes(hidden)
+    rows = warc.read_archive(manifest, str(tmp_path))
+    assert rows.count() == 5 and [(r.records, r.found) for r in warc.incomplete(manifest, rows).collect()] == [(6, 5)]
+
+
+def test_a_changed_payload_is_told(spark, tmp_path):
+    data = warc.record(1, "u", b"x" * 50, "0" * 40, 50)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([("a.warc.gz", len(data), 1)], "file string, bytes long, records long")
+    (row,) = warc.read_archive(manifest, str(tmp_path), report=True).collect()
+    assert "another digest" in row.problem and row.page_id is None
+
+
+def test_warc_of_repeated_ids_and_clashing_columns(spark):
+    big = "<p>" + "a" * 2000
+    rows = [(1, "u", big), (1, "u", big), (2, "v", big), (2, "w", big), (None, None, "x"), (None, None, "x")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("sha", "top", "page", "body", "file", "problem", "records", "payload"):
+        d = d.withColumn(name, F.lit("own"))
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.round_trip(spark, d).collect())
+    assert got == [("1", "revisit", 2)] * 2 + [("2", "response", None)] * 2 + [("None", "response", None)] * 2
+
+
 # -- 5 ---------------------------------------------------------------------
 
 
