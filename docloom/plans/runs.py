@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import guides as G
 from ..operators import incremental as I
 from ..operators import joins as J
 from ..operators import trees as T
+from ..sources.shared import shared_root
+from ..streaming.library import Library, run_stream
 from .graph import WALK, nodes
 from .registry import query, table
 
@@ -18,6 +22,32 @@ def r7(spark, d):
     return I.upsert(li.where("l_linenumber <= 3"), li.where("l_linenumber > 3"), "l_orderkey", "at").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+def _replayed(spark, d):
+    """The events in four batches, as a stream into a library."""
+    base = f"{shared_root(spark)}/library-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    for part in range(4):  # one write for each, so that the stream takes them in turn
+        week = F.least(F.expr("(day(ts) - 1) div 8"), F.lit(3))
+        e.where(week == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    library = Library(spark, f"{base}/out", "user_id", "event_id", range_rows=40)
+    run_stream(stream, library, f"{base}/checkpoint")
+    return library
+
+
+@query("r7_streamed_library", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def r7_library(spark, d):
+    return _replayed(spark, d).read().drop("ts")
+
+
+@query("r7_e3_change_sets", """
+WITH b AS (SELECT user_id, least((day(ts) - 1) // 8, 3) AS m FROM events), k AS (SELECT DISTINCT user_id, m FROM b),
+n AS (SELECT m, dense_rank() OVER (ORDER BY m) - 1 AS batch FROM (SELECT DISTINCT m FROM k))
+SELECT n.batch, user_id, CASE WHEN m = min(m) OVER (PARTITION BY user_id) THEN 'added' ELSE 'changed' END AS change FROM k JOIN n USING (m)""")
+def r7_changes(spark, d):
+    return _replayed(spark, d).changes()
+
+
 @query("r3_paced_starts", """
 WITH RECURSIVE r AS (SELECT user_id AS origin, event_id, event_id // 60 AS due, row_number() OVER (PARTITION BY user_id ORDER BY event_id // 60, event_id) AS n FROM events),
 t AS (SELECT origin, event_id, n, due::DOUBLE AS start FROM r WHERE n = 1 UNION ALL SELECT r.origin, r.event_id, r.n, greatest(r.due, t.start + 0.5) FROM t JOIN r ON r.origin = t.origin AND r.n = t.n + 1)
