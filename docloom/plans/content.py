@@ -4,6 +4,8 @@ from the columns what the rules must find."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -17,6 +19,8 @@ from ..operators import joins as J
 from ..sources import archives as Z
 from ..sources import catalogue as S
 from ..sources import sinks as K
+from ..sources import members as M
+from ..sources.shared import shared_root, stored
 from .registry import query, rows, table, values
 
 URL = "'https://h.example/g/p' || p_partkey || '.htm'"
@@ -305,6 +309,48 @@ def k7(spark, d):
     return Z.verified_export(guide_files(spark, d), "guide").select("guide", "verified")
 
 
+HOSTED = "SELECT array_to_string(string_split(url, '/')[1:3], '/') AS guide, CASE WHEN strlen(html) < 1500 THEN '../' || page_id ELSE 'pages/' || page_id || '.html' END AS name, html, strlen(html) < 1500 AS bad FROM pages"
+
+
+def hosted(spark, d, refuse=True):
+    """The pages of each host as files; the small ones have names that climb."""
+    small = F.lit(refuse) & (F.octet_length("html") < 1500)
+    name = F.when(small, F.concat(F.lit("../"), "page_id")).otherwise(F.concat(F.lit("pages/"), "page_id", F.lit(".html")))
+    return table(spark, d, "pages").select(F.substring_index("url", "/", 3).alias("guide"), name.alias("name"), F.col("html").alias("body"))
+
+
+def archive_folder(spark, kind):
+    return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+MEMBERS = f"SELECT guide, name, strlen(html) AS size, CASE WHEN NOT bad THEN sha256(html) END AS sha256, CASE WHEN bad THEN 'name' END AS problem FROM ({HOSTED})"
+
+
+@query("s23_zip_files", MEMBERS)
+def s23_zip(spark, d):
+    made = stored(M.write_archives(hosted(spark, d), "guide", archive_folder(spark, "zip")), "archives")
+    return M.read_members(M.zip_members(made, "guide"), "guide").select("guide", "name", "size", "sha256", "problem")
+
+
+@query("s23_tar_files", MEMBERS)
+def s23_tar(spark, d):
+    made = stored(M.write_archives(hosted(spark, d), "guide", archive_folder(spark, "tar"), "tar.gz"), "archives")
+    return M.tar_members(made, "guide").select("guide", "name", "size", "sha256", "problem")
+
+
+@query("s19_folder_tree", f"SELECT 'part-' || strlen(html) % 10 || '/pages/' || page_id || '.html' AS path, strlen(html) AS size, NULL::VARCHAR AS problem FROM pages")
+def s19_tree(spark, d):
+    folder = archive_folder(spark, "tree")
+    place = F.concat(F.lit("part-"), F.octet_length("html") % 10, F.lit("/pages/"), "page_id", F.lit(".html"))
+    stored(M.write_files(table(spark, d, "pages").select(place.alias("name"), F.col("html").alias("body")), folder), "written")
+    return M.list_folder(spark, folder)
+
+
+@query("k7_archive_files", f"SELECT array_to_string(string_split(url, '/')[1:3], '/') AS guide, count(*) AS members, true AS verified FROM pages GROUP BY 1")
+def k7_files(spark, d):
+    return M.verified_archives(hosted(spark, d, refuse=False), "guide", archive_folder(spark, "export")).drop("path")
+
+
 @query("k8_escaped_json", """SELECT p_partkey, '{"name":"' || p_name || '\\u007f\\u202e\\ud834\\udd73 é"}' AS json FROM part""")
 def k8(spark, d):
     name = F.concat("p_name", F.lit("\x7f\u202e\U0001d173 é"))
