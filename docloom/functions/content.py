@@ -34,8 +34,6 @@ COMMAND_CLASSES = {"screen", "codeblock"}
 EXCLUDED_CLASSES = {"archive-nav", "archive-provenance", "archive-footer"}
 LAZY_CLASSES = {"loading", "is-loading", "lazy", "lazy-load", "not-ready", "toc-loading", "wh_toc_loading"}
 CONTENTS_LABELS = {"contents", "table of contents", "detailed table of contents"}
-ACTIVE = {"script", "object", "embed", "applet", "iframe", "frame", "frameset", "form", "input", "button", "select", "textarea", "base", "meta", "link"}
-URL_KEYS = {"href", "src", "srcset", "background", "usemap", "action", "formaction", "data", "poster", "cite", "longdesc", "ping", "manifest"}
 FAMILY = "TableStyle-"
 
 
@@ -161,24 +159,26 @@ def evidence(html: str | None) -> list[tuple]:
     """(kind, value) of a page: its command rows, table headers and texts.
     Text inside `pre` and `code` counts by rows of the outermost of them."""
     out: list[tuple] = []
-    is_command = lambda n: bool(COMMAND_CLASSES & set(n.classes()))
-    doc = tree(html)
-    literal = lambda n: n.tag in ("pre", "code")
-    for n in doc.walk():
-        up = list(n.above())
-        if is_command(n) and not any(map(is_command, up)):
-            out += [("command", row) for row in evidence_rows(n.text())]
-        if n.tag in ("th", "td") and any(p.tag == "thead" for p in up) and (value := flat(unicodedata.normalize("NFKC", n.text()))):
+    texts: list[tuple] = []
+
+    def enter(n: Node, state: tuple[bool, bool, bool]) -> tuple[bool, bool, bool]:
+        in_command, in_head, in_literal = state
+        command, literal = bool(COMMAND_CLASSES & set(n.classes())), n.tag in ("pre", "code")
+        if command and not in_command:
+            out.extend(("command", row) for row in evidence_rows(n.text()))
+        if n.tag in ("th", "td") and in_head and (value := flat(unicodedata.normalize("NFKC", n.text()))):
             out.append(("header", value))
-        if literal(n) and not any(map(literal, up)):
+        if literal and not in_literal:
             found = evidence_rows(n.text())
-            out += [("text", row) for row in found]
-            if not any(map(is_command, [n, *up])):
-                out += [("command", row) for row in found]
-    for owner, text in doc.texts():
-        if not any(map(literal, [owner, *owner.above()])):
-            out += [("text", row) for row in evidence_rows(text)]
-    return out
+            out.extend(("text", row) for row in found)
+            if not command and not in_command:
+                out.extend(("command", row) for row in found)
+        if not literal and not in_literal:
+            texts.extend(("text", row) for k in n.kids if isinstance(k, str) for row in evidence_rows(k))
+        return in_command or command, in_head or n.tag == "thead", in_literal or literal
+
+    tree(html).visit((False, False, False), enter)
+    return out + texts
 
 
 # -- images ----------------------------------------------------------------
@@ -330,49 +330,6 @@ def one_font_source(entry: str | None) -> bool:
     return not re.search(r"(?i)(?:-webkit-)?image-set\(", plain) and len(re.findall(r"(?i)(?<![\w-])url\(", plain)) == 1
 
 
-def _local(value: str) -> bool:
-    lower = value.strip().lower()
-    return lower.startswith("data:image/") or not re.match(r"[a-z][a-z\d+.-]*:|//|/|\\", lower)
-
-
-def policy_problems(name: str, html: str | None) -> list[tuple]:
-    """(ord, problem): what could run script, load or submit to an address
-    outside the archive, or redirect a generated page."""
-    out = []
-    for n in tree(html).walk():
-        at, up = n.at, list(n.above())
-        head = any(p.tag == "head" for p in up)
-        first = name == "index.html"
-        allowed = {
-            "script": head and first and bool(at.get("src")) and not n.kids,
-            "meta": head and at.get("http-equiv", "content-security-policy").lower() == "content-security-policy",
-            "base": head and "href" not in at,
-            "link": head and "stylesheet" in at.get("rel", "").lower().split(),
-            "iframe": bool(up) and "archive-toc" in up[0].classes(),
-            "input": first and "data-guide-search" in at,
-        }
-        if n.tag in ACTIVE and not allowed.get(n.tag, False):
-            out.append(f"active <{n.tag}> element remains")
-        for key, value in reversed(at.items()):
-            safe = {
-                "href": n.tag in ("a", "area") and not re.match(r"(?i)\s*(?:javascript|vbscript|data|file):", value) or n.tag == "link" and head and _local(value),
-                "src": n.tag in ("img", "source", "iframe", "script") and _local(value),
-                "srcset": n.tag in ("img", "source") and all(map(_local, set_members(value))),
-                "background": _local(value),
-                "usemap": value.strip().startswith("#"),
-            }
-            if key.startswith("on"):
-                out.append(f"event handler {key} on <{n.tag}>")
-            elif key == "style":
-                if css_problem(value):
-                    out.append(f"style on <{n.tag}>: {css_problem(value)}")
-            elif (key in URL_KEYS or key.startswith("xlink:")) and not safe.get(key, False):
-                out.append(f"unsanitised {key} on <{n.tag}>")
-        if n.tag == "style" and css_problem(n.text()):
-            out.append(f"stylesheet: {css_problem(n.text())}")
-    return list(enumerate(out))
-
-
 # -- identity --------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ A tree lives only while its page is looked at, inside a batch."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -27,6 +28,15 @@ class Node:
             yield node
             todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
+    def visit(self, state, enter: Callable) -> None:
+        """Call enter(node, state) for this element and those below it, in
+        document order; what it returns is the state of the node's children."""
+        todo = [(self, state)]
+        while todo:
+            node, given = todo.pop()
+            below = enter(node, given)
+            todo += [(k, below) for k in reversed(node.kids) if isinstance(k, Node)]
+
     def above(self) -> Iterator[Node]:
         node = self.up
         while node is not None:
@@ -57,23 +67,29 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("#document")
+        self.open: Counter[str] = Counter()  # elements that an end tag could close
+
+    def leave(self) -> None:
+        self.open[self.now.tag] -= 1
+        self.now = self.now.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         while tag in CLOSES.get(self.now.tag, ()):
-            self.now = self.now.up
+            self.leave()
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.now)
         self.now.kids.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.tag == tag for n in (self.now, *self.now.above())):
+        if self.open[tag]:
             while self.now.tag != tag:
-                self.now = self.now.up
-            self.now = self.now.up
+                self.leave()
+            self.leave()
 
     def handle_data(self, data: str) -> None:
         self.now.kids.append(data)

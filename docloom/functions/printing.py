@@ -37,8 +37,14 @@ def marked(content: Node) -> None:
     paragraph that ends with a colon before a table, or before one more
     paragraph and a code box or list (print-chain); blank paragraphs and those
     of images alone are named as such."""
-    for n in list(content.walk()):
-        inside_code = any(map(is_code, n.above()))
+    found: list[tuple[Node, bool]] = []
+
+    def enter(n: Node, inside: bool) -> bool:
+        found.append((n, inside))
+        return inside or is_code(n)
+
+    content.visit(any(map(is_code, content.above())), enter)
+    for n, inside_code in found:
         if inside_code:
             continue
         if is_code(n):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import content as C
+from ..functions import policy as Y
 from ..functions import printing as P
 from ..functions import rewrite as W
 from ..functions import urls as U
@@ -179,10 +180,20 @@ def f19(spark, d):
 POLICY = "CASE p_size % 4 WHEN 0 THEN '<head><meta charset=\"utf-8\"><link rel=\"stylesheet\" href=\"a.css\"></head><p>' || p_name || '</p><a href=\"https://x.example/\">l</a><img src=\"a.png\" srcset=\"b.png 2x\">' WHEN 1 THEN '<script src=\"x.js\"></script>' WHEN 2 THEN '<p onclick=\"x()\">q</p><img src=\"https://h.example/a.png\">' ELSE '<a href=\"javascript:x\">q</a><form action=\"/s\"></form>' END"
 
 
-@query("h22_output_policy", """SELECT p_partkey, unnest(CASE p_size % 4 WHEN 1 THEN [0] WHEN 2 THEN [0, 1] WHEN 3 THEN [0, 1, 2] ELSE [] END) AS ord,
-unnest(CASE p_size % 4 WHEN 1 THEN ['active <script> element remains'] WHEN 2 THEN ['event handler onclick on <p>', 'unsanitised src on <img>'] WHEN 3 THEN ['unsanitised href on <a>', 'active <form> element remains', 'unsanitised action on <form>'] ELSE [] END) AS problem FROM part""")
+@query("h22_output_policy", """SELECT p_partkey, unnest(CASE p_size % 4 WHEN 1 THEN [0] WHEN 2 THEN [0, 1] WHEN 3 THEN [0, 1, 2] ELSE [] END) AS ord, 'page.html: ' ||
+unnest(CASE p_size % 4 WHEN 1 THEN ['active <script> element remains in archived output'] WHEN 2 THEN ['event handler attribute onclick on <p>', 'unsanitized src attribute on <img>: https://h.example/a.png'] WHEN 3 THEN ['unsanitized href attribute on <a>: javascript:x', 'active <form> element remains in archived output', 'unsanitized action attribute on <form>: /s'] ELSE [] END) AS problem FROM part""")
 def h22(spark, d):
-    return C.per_page(made(spark, d, POLICY, name="'page.html'"), C.policy_problems, "ord int, problem string", ["p_partkey"], ["name", "html"])
+    return C.per_page(made(spark, d, POLICY, name="'page.html'"), Y.policy_problems, "ord int, problem string", ["p_partkey"], ["name", "html"])
+
+
+VECTOR = """'<svg viewbox="0 0 1 1"><g onclick="x()">' || CASE p_size % 4 WHEN 0 THEN '<use href="#a"/><a href="https://x.example/"></a>' WHEN 1 THEN '<foreignObject><p>' || p_name || '</p></foreignObject>' WHEN 2 THEN '<image xlink:href="https://h.example/' || p_partkey || '.png"></image>' ELSE '<animate attributename="xlink:href"></animate><rect fill="url(https://h.example/f)"></rect>' END || '</g></svg>'"""
+
+
+@query("h22_vector_policy", """SELECT p_partkey, unnest(range(len(l)))::INT AS ord, 'page.html: ' || unnest(l) AS problem FROM (SELECT p_partkey, ['unsupported SVG attribute onclick on <g>'] ||
+CASE p_size % 4 WHEN 0 THEN [] WHEN 1 THEN ['unsupported SVG element <foreignObject>', 'unsupported SVG element <p>'] WHEN 2 THEN ['SVG <image> reference is not local https://h.example/' || p_partkey || '.png']
+ELSE ['unsupported SVG element <animate>', 'SVG fill attribute: https://h.example/f'] END AS l FROM part)""")
+def h22_vectors(spark, d):
+    return C.per_page(made(spark, d, VECTOR, name="'page.html'"), Y.policy_problems, "ord int, problem string", ["p_partkey"], ["name", "html"])
 
 
 # -- identity --------------------------------------------------------------
