@@ -11,6 +11,7 @@ from ..operators import incremental as I
 from ..operators import joins as J
 from ..operators import trees as T
 from ..sources.shared import shared_root
+from ..sources.snapshots import Snapshots
 from ..streaming.library import Library, run_stream
 from .graph import WALK, nodes
 from .registry import query, table
@@ -35,6 +36,14 @@ def _replayed(spark, d):
     return library
 
 
+@query("k6_published_state", "SELECT o_orderpriority, count(*) AS orders, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def k6(spark, d):
+    orders, shots = table(spark, d, "orders"), Snapshots(spark, f"{shared_root(spark)}/published-{uuid.uuid4().hex}")
+    shots.publish(orders.where("o_orderstatus = 'F'"))
+    shots.publish(orders, validate=lambda df: None if df.where("o_orderkey is null").isEmpty() else "orders without key")
+    return shots.read(contents=True).groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("r7_streamed_library", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def r7_library(spark, d):
     return _replayed(spark, d).read().drop("ts")

@@ -61,7 +61,8 @@ def _files(spark: SparkSession, target: str):
 
 
 def write_text(spark: SparkSession, target: str, text: str) -> None:
-    """Replace a small file in one step: write a new file, then rename it."""
+    """Write a new file, then rename it. A target that is there goes first, so
+    there is none for a moment; with a new name the rename is one step."""
     path, fs = _files(spark, target)
     new = f"{target}.{uuid.uuid4().hex}"
     out = fs.create(path(new), False)
@@ -74,8 +75,9 @@ def write_text(spark: SparkSession, target: str, text: str) -> None:
 
 
 def publish(df: DataFrame, target: str, validate=None) -> str:
-    """Write to a staging folder, validate, then rename: readers see the old
-    state or the new one. A journal beside the target names the folders until
+    """Write to a staging folder, validate, then rename. Between the two renames
+    there is no target; where readers must always find one, use `snapshots`. A
+    journal beside the target names the folders until
     all is done, so that `recover` can finish or undo a run that was cut off."""
     spark = df.sparkSession
     path, fs = _files(spark, target)
