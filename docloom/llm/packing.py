@@ -5,9 +5,12 @@ bucket boundaries that minimise the padding of all documents (each is padded
 to its bucket's boundary). Inside a bucket documents are dealt into batches of
 as many rows as the token budget allows at the padded length, one at least.
 
-Only DataFrame functions touch the rows. Scale: the histogram is exact as long
-as there are at most DISTINCT lengths. Beyond, so that it stays bounded,
-lengths above EXACT share cells 1/64 of their size wide, whose bound is the
+Only DataFrame functions touch the rows. Scale: the histogram is exact. It is
+bounded by the corpus in a way that a driver can hold: texts of L distinct
+lengths have L * L / 2 tokens at least, so 10 ** 13 tokens have 4.5 million
+distinct lengths at most, 16 bytes each; the table is filled level by level in
+arrays. Who wants a smaller histogram sets DISTINCT: beyond that many lengths,
+those above EXACT share cells 1/64 of their size wide, whose bound is the
 greatest length in the cell. Numbering the documents of a bucket, which may
 hold most rows, is dealt out over sub-ranges of a hash, whose counts give the
 offsets.
@@ -29,8 +32,10 @@ from ._common import WHITE_TEXT, constant, fresh, stored
 
 BUCKETS, BUDGET = 16, 16_384
 EXACT = 16_384
-#: Distinct lengths that the driver takes one by one.
-DISTINCT = 100_000
+#: Distinct lengths beyond which long ones share cells; None: never.
+DISTINCT: int | None = None
+#: Costs that are compared together while the table is filled.
+COSTS = 1 << 21
 #: Rows of a sub-range that one window numbers, on average.
 ROWS_PER_RANGE = 20_000
 
@@ -55,33 +60,51 @@ def _cell(length: Column) -> Column:
     return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
 
 
+def _best_splits(best: np.ndarray, upto: np.ndarray, size: np.ndarray, mid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each mid the least cost of one more bucket that ends there, over the
+    splits from first to last, and the first split that has it."""
+    cost, cut = np.empty(len(mid), best.dtype), np.empty(len(mid), np.int64)
+    sizes = last - first + 1
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(mid):  # so many splits at a time, or those of one mid
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + COSTS, "right")))
+        n, m = sizes[at:to], mid[at:to]
+        begin = np.cumsum(n) - n
+        i = np.arange(n.sum()) - np.repeat(begin - first[at:to], n)
+        each = best[i] + (np.repeat(upto[m], n) - upto[i]) * np.repeat(size[m - 1], n)
+        least = np.minimum.reduceat(each, begin)
+        hits = np.flatnonzero(each == np.repeat(least, n))
+        cost[at:to], cut[at:to] = least, i[hits[np.searchsorted(hits, begin)]]
+        at = to
+    return cost, cut
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The upper bounds (some of `lengths`, sorted) of at most `buckets`
     buckets with the least total padding. The cost of a range satisfies the
     quadrangle inequality, so each row of the table is filled by halving the
-    range of best splits: O(buckets * n log n)."""
+    range of best splits, all middles of a level together: O(buckets * n log n)."""
     n = len(lengths)
     if n <= buckets:
         return lengths.tolist()
-    upto = np.concatenate(([0], np.cumsum(counts))).astype(float)
-    size = lengths.astype(float)
+    # whole numbers as far as they go: no padded total is larger than this
+    kind = np.int64 if float(counts.sum(dtype=float)) * float(lengths[-1]) < 2.0**62 else np.float64
+    upto = np.concatenate(([0], np.cumsum(counts.astype(kind))))
+    size = lengths.astype(kind)
     # padded tokens of lengths[i:j] in one bucket, less a sum that is the same for all
-    best = np.concatenate(([0.0], upto[1:] * size))
+    best = np.concatenate((np.zeros(1, kind), upto[1:] * size))
     cuts = []
     for _ in range(1, buckets):
-        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        now[0] = 0.0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, first, last = todo.pop()
-            if lo > hi:
-                continue
+        now, cut = np.zeros(n + 1, kind), np.zeros(n + 1, np.int32)
+        lo, hi, first, last = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(lo):
             mid = (lo + hi) // 2
-            i = np.arange(first, min(last, mid - 1) + 1)
-            cost = best[i] + (upto[mid] - upto[i]) * size[mid - 1]
-            k = int(cost.argmin())
-            now[mid], cut[mid] = cost[k], i[k]
-            todo += [(lo, mid - 1, first, int(i[k])), (mid + 1, hi, int(i[k]), last)]
+            now[mid], found = _best_splits(best, upto, size, mid, first, np.minimum(last, mid - 1))
+            cut[mid] = found
+            lo, hi, first, last = np.concatenate((lo, mid + 1)), np.concatenate((mid - 1, hi)), np.concatenate((first, found)), np.concatenate((found, last))
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         best = now
         cuts.append(cut)
     out, at = [], n
@@ -99,11 +122,13 @@ def choose(docs: DataFrame, length_col: str = "n_tokens", buckets: int = BUCKETS
     """(upper bound, documents) of each bucket, from the global histogram."""
     length = _length(length_col)
     exact = stored(docs.groupBy(length.alias("length")).count(), "packing-lengths")
-    if exact.count() > DISTINCT:
+    if DISTINCT is not None and exact.count() > DISTINCT:
         exact = exact.groupBy(_cell(F.col("length"))).agg(F.max("length").alias("length"), F.sum("count").alias("count"))
-    rows = sorted(exact.select("length", "count").collect())
-    lengths, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    bounds = boundaries(lengths, counts, buckets) if len(rows) else []
+    table = exact.select("length", "count").toArrow()
+    lengths, counts = (table.column(c).to_numpy().astype(np.int64) for c in ("length", "count"))
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order], counts[order]
+    bounds = boundaries(lengths, counts, buckets) if len(lengths) else []
     owner = np.searchsorted(bounds, lengths)
     return [(b, int(counts[owner == i].sum())) for i, b in enumerate(bounds)]
 

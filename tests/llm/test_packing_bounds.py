@@ -1,5 +1,8 @@
 """Bucket bounds of documents longer than the exact cells."""
 
+import time
+
+import numpy as np
 import pytest
 
 from docloom.llm import packing
@@ -30,3 +33,40 @@ def test_padding_is_least(spark, buckets):
     cost = lambda bounds: sum(min(b for b in bounds if b >= x) - x for x in lengths)
     best = min(cost([*c, 90_900]) for c in itertools.combinations(lengths[:-1], buckets - 1))
     assert sum(r.padding for r in packing.pack(made(spark, lengths), buckets=buckets).collect()) == best
+
+
+def test_many_lengths_are_exact_by_default(spark, monkeypatch):
+    assert packing.DISTINCT is None
+    lengths = [16_000 + 3 * i for i in range(3000)]
+    bounds = [b for b, _ in packing.choose(made(spark, lengths), buckets=3000)]
+    assert bounds == lengths
+    monkeypatch.setattr(packing, "COSTS", 7)  # many blocks of costs, the same table
+    some = np.unique(np.random.default_rng(3).integers(1, 400, 120))
+    counts = np.random.default_rng(4).integers(1, 50, len(some))
+    in_blocks = packing.boundaries(some, counts, 6)
+    monkeypatch.setattr(packing, "COSTS", 1 << 21)
+    assert in_blocks == packing.boundaries(some, counts, 6)
+
+
+def test_above_the_old_bound_padding_is_least():
+    # 300,000 lengths in three clusters: the bounds can only be their ends
+    lengths = np.concatenate([np.arange(a, a + 100_000) for a in (1, 10_000_000, 900_000_000)])
+    counts = np.ones(len(lengths), np.int64)
+    start = time.process_time()
+    bounds = packing.boundaries(lengths, counts, 3)
+    assert bounds == [100_000, 10_099_999, 900_099_999] and time.process_time() - start < 30
+
+
+@pytest.mark.parametrize("scale", [1, 10**17])
+def test_small_tables_equal_every_choice(scale):
+    """Also where totals leave the whole numbers."""
+    import itertools
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        lengths = np.unique(rng.integers(0, 60, 9))
+        counts = rng.integers(1, 9, len(lengths)) * scale
+        for k in (1, 2, 3, 4):
+            cost = lambda bounds: sum(int(c) * (min(b for b in bounds if b >= x) - int(x)) for x, c in zip(lengths.tolist(), counts))
+            best = min(cost([*c, int(lengths[-1])]) for c in itertools.combinations(lengths[:-1].tolist(), min(k, len(lengths)) - 1))
+            assert cost(packing.boundaries(lengths, counts, k)) == best
