@@ -3,9 +3,10 @@ map side."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .folds import numbered, within_budget
 
 #: Notice kinds in the order of a summary, with singular and plural (fixed).
@@ -95,9 +96,22 @@ def report(**violations: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("violations") == 0)
 
 
-def evidence_counts(rows: DataFrame, limit: int = 5_000_000) -> DataFrame:
+def evidence_counts(rows: DataFrame, limit: int = 5_000_000, error: float = 0.02) -> DataFrame:
     """How often each (kind, value) of a source occurs; the run fails if there
-    are more than `limit` distinct ones."""
-    counts = rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
-    over = counts.groupBy().agg(F.count("*").alias("all_")).select(F.when(F.col("all_") > limit, F.raise_error(F.lit(f"more than {limit} values"))).otherwise(F.col("all_")).alias("all_"))
-    return counts.where(over.scalar() >= 0)
+    are more than `limit` distinct ones. The rows are made once, and a sketch
+    counts the distinct ones as they are written: far above the limit the run
+    fails before anything is shuffled, far below it nothing is counted again,
+    and near it (five standard errors) the groups are counted exactly."""
+    seen = Observation()
+    pair = F.struct("kind", "value")
+    held = stored(rows.select("kind", "value").observe(seen, F.approx_count_distinct(pair, error).alias("n")), "evidence")
+    guess, near = seen.get["n"], 5 * error * limit
+    if guess > limit + near:
+        raise ValueError(f"more than {limit} values")
+    counts = held.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    if guess < limit - near:
+        return counts
+    counts = stored(counts, "evidence-counts")
+    if counts.count() > limit:
+        raise ValueError(f"more than {limit} values")
+    return counts
