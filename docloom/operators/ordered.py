@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import numbered as number_sorted
 from .trees import kept
 
 
@@ -73,15 +74,17 @@ def children(outline: DataFrame, by: list[str]) -> DataFrame:
 
 def boundary_repeats(lines: DataFrame, longest: int = 3) -> DataFrame:
     """Pages whose last k lines are the first k of the next page, k as large
-    as possible up to `longest`: page, k, text."""
-    pages = lines.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
-    last = pages.select("page", F.reverse(F.slice(F.reverse("texts"), 1, longest)).alias("last"))
-    then = pages.select((F.col("page") - 1).alias("page"), F.slice("texts", 1, longest).alias("then"))
-    pairs = last.join(then, "page")
-    k = F.lit(0)
-    for n in range(1, longest + 1):
-        k = F.when((F.size("last") >= n) & (F.size("then") >= n) & (F.slice("last", F.greatest(F.size("last") - (n - 1), F.lit(1)), n) == F.slice("then", 1, n)), n).otherwise(k)
-    return pairs.withColumn("k", k).where("k > 0").select("page", "k", F.array_join(F.expr("slice(then, 1, k)"), "\n").alias("text"))
+    as possible up to `longest`: page, k, text. Only the lines at the borders
+    meet, each with at most `longest` others."""
+    ranked = number_sorted(lines.select("page", "ord", "text"), ["page"], ["ord", "text"], "nth")
+    sizes = ranked.groupBy("page").agg((F.max("nth") + 1).alias("n"))
+    last = ranked.join(sizes, "page").select("page", (F.col("n") - 1 - F.col("nth")).alias("i"), F.col("text").alias("end")).where(F.col("i") < longest)
+    then = ranked.where(F.col("nth") < longest).select((F.col("page") - 1).alias("page"), F.col("nth").alias("j"), "text")
+    # a repeat of k lines is k equal pairs of the i-th from the end and the j-th, i + j = k - 1
+    met = last.join(then, "page").where((F.col("end") == F.col("text")) & (F.col("i") + F.col("j") < longest))
+    found = met.groupBy("page", (F.col("i") + F.col("j") + 1).cast("int").alias("k")).agg(F.count("*").alias("pairs"), F.sort_array(F.collect_list(F.struct("j", "text"))).alias("held"))
+    best = found.where("pairs = k").groupBy("page").agg(F.max_by(F.struct("k", "held"), "k").alias("best"))
+    return best.select("page", "best.k", F.array_join(F.transform("best.held", lambda x: x["text"]), "\n").alias("text"))
 
 
 def in_reading_order(lines: DataFrame) -> list[Column]:

@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import ordered as O
 from ..operators import sets as E
 from ..operators.asof import asof_join
+from ..operators.folds import numbered as number_sorted
 from .registry import query, rows, table, values
 
 # -- joins -----------------------------------------------------------------
@@ -123,6 +124,20 @@ def j16(spark, d):
     return J.accept(*(rows(spark, x) for x in (GUIDES, BEFORE, MISS, MISSED)))
 
 
+@query("j16_accept_suppliers", """
+WITH g AS (SELECT s_suppkey AS guide, CASE WHEN s_acctbal > 5000 THEN 'complete' WHEN s_acctbal > 0 THEN 'degraded' ELSE 'incomplete' END AS status FROM supplier),
+b AS (SELECT s_suppkey AS guide, CASE WHEN s_acctbal < 8000 THEN 'degraded' ELSE 'complete' END AS before FROM supplier WHERE s_nationkey > 5),
+w AS (SELECT DISTINCT l_suppkey AS guide FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_tax < 0.08))
+SELECT guide, status, before, CASE WHEN status = 'complete' THEN true WHEN status <> 'degraded' THEN false WHEN before IS NULL THEN true WHEN before = 'complete' THEN false ELSE w.guide IS NULL END AS accepted
+FROM g LEFT JOIN b USING (guide) LEFT JOIN w USING (guide)""")
+def j16_suppliers(spark, d):
+    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    guides = s.select(F.col("s_suppkey").alias("guide"), F.expr("CASE WHEN s_acctbal > 5000 THEN 'complete' WHEN s_acctbal > 0 THEN 'degraded' ELSE 'incomplete' END").alias("status"))
+    before = s.where("s_nationkey > 5").select(F.col("s_suppkey").alias("guide"), F.when(F.col("s_acctbal") < 8000, "degraded").otherwise("complete").alias("status"))
+    missing = lambda rows_: rows_.select(F.col("l_suppkey").alias("guide"), F.col("l_partkey").alias("resource"))
+    return J.accept(guides, before, missing(li.where("l_quantity >= 49")), missing(li.where("l_tax < 0.08")))
+
+
 @query("j17_listing", """
 SELECT c.c_custkey, c.c_name, n.n_name, count(o.o_orderkey) AS orders, CASE WHEN count(o.o_orderkey) = 0 THEN 'not mapped' ELSE 'mapped' END AS state
 FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2, 3""")
@@ -218,6 +233,19 @@ def a4(spark, d):
     return A.notice_summary(rows(spark, NOTICES), "guide")
 
 
+KINDS = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'external-link-retained' WHEN '2' THEN 'css-cleanup' WHEN '3' THEN 'source-policy' WHEN '4' THEN 'unknown' ELSE '' END"
+
+
+@query("a4_notices_of_orders", f"""
+WITH d AS (SELECT DISTINCT o_custkey AS guide, {KINDS} AS kind, o_orderstatus AS message FROM orders),
+c AS (SELECT guide, count(*) AS n, count(*) FILTER (kind = 'external-link-retained') AS e, count(*) FILTER (kind = 'css-cleanup') AS s, count(*) FILTER (kind = 'source-policy') AS p FROM d WHERE kind <> '' GROUP BY 1)
+SELECT guide, n || CASE n WHEN 1 THEN ' publisher notice (' ELSE ' publisher notices (' END || array_to_string(list_filter([
+  CASE WHEN e > 0 THEN e || CASE e WHEN 1 THEN ' external link retained' ELSE ' external links retained' END END, CASE WHEN s > 0 THEN s || ' CSS cleanup' END,
+  CASE WHEN p > 0 THEN p || ' source policy' END, CASE WHEN n - e - s - p > 0 THEN (n - e - s - p) || ' other' END], lambda x: x IS NOT NULL), '; ') || ')' AS summary FROM c""")
+def a4_orders(spark, d):
+    return A.notice_summary(table(spark, d, "orders").select(F.col("o_custkey").alias("guide"), F.expr(KINDS).alias("kind"), F.col("o_orderstatus").alias("message")), "guide")
+
+
 @query("a5_count_map", "SELECT source, string_agg(lang || ' (' || n || ')', ', ' ORDER BY lang) AS summary FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
 def a5(spark, d):
     return A.count_map_text(table(spark, d, "documents"), "lang", ["source"])
@@ -392,6 +420,16 @@ def w5(spark, d):
     return O.boundary_repeats(rows(spark, BOUND))
 
 
+@query("w5_order_boundaries", """
+WITH p AS (SELECT l_orderkey AS page, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_returnflag || l_linestatus) AS t FROM lineitem GROUP BY 1),
+b AS (SELECT a.page, a.t, b.t AS u FROM p a JOIN p b ON b.page = a.page + 1),
+k AS (SELECT page, u, CASE WHEN len(t) >= 3 AND len(u) >= 3 AND t[-3:] = u[1:3] THEN 3 WHEN len(t) >= 2 AND len(u) >= 2 AND t[-2:] = u[1:2] THEN 2 WHEN t[-1] = u[1] THEN 1 ELSE 0 END AS k FROM b)
+SELECT page, k, array_to_string(u[1:k], chr(10)) AS text FROM k WHERE k > 0""")
+def w5_orders(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    return O.boundary_repeats(lines)
+
+
 OUTLINE = "VALUES ('t',1,0), ('t',2,1), ('t',3,2), ('t',4,2), ('t',5,1), ('t',6,0), ('t',7,1) AS t(doc, ord, depth)"
 
 
@@ -400,6 +438,16 @@ def w7(spark, d):
     return O.children(rows(spark, OUTLINE), ["doc"]).select("doc", "ord", "depth", "n_children")
 
 
+@query("w7_region_children", """
+WITH e AS (SELECT n_regionkey AS doc, n_nationkey AS a, -1 AS b, 0 AS depth FROM nation UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, 1 FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY a, b) - 1 AS ord, depth, CASE depth WHEN 0 THEN count(*) OVER (PARTITION BY a) - 1 ELSE 0 END AS n_children FROM e""")
+def w7_regions(spark, d):
+    nations = table(spark, d, "nation")
+    top = nations.select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0).alias("depth"))
+    low = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").alias("a"), F.col("c_custkey").cast("long").alias("b"), F.lit(1).alias("depth"))
+    return O.children(number_sorted(top.unionByName(low), ["doc"], ["a", "b"], "ord"), ["doc"]).select("doc", "ord", "depth", "n_children")
+
+
 @query("w8_duplicate_ids", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def w8(spark, d):
     return O.first_in_group(table(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], "l_linenumber").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -476,3 +524,16 @@ MEMBERS = "VALUES ('a.html', 10), ('A.html', 10), ('b/../c', 5), ('d', 1), ('d',
 @query("e6_member_rules", "SELECT * FROM (VALUES ('b/../c','unsafe'), ('d','repeated'), ('A.html','confusable'), ('','too large')) AS t(name, problem)")
 def e6(spark, d):
     return E.member_problems(rows(spark, MEMBERS), "name", "size", 20)
+
+
+PART_NAMES = "CASE WHEN p_size = 1 THEN '../' || p_partkey WHEN p_size < 10 THEN 'type/' || p_type WHEN p_size < 20 THEN 'TYPE/' || upper(p_type) ELSE 'part/' || p_partkey END"
+
+
+@query("e6_part_members", f"""
+WITH m AS (SELECT {PART_NAMES} AS name, p_size AS size FROM part)
+SELECT name, 'unsafe' AS problem FROM m WHERE name LIKE '../%'
+UNION ALL SELECT name, 'repeated' FROM m GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT min(name), 'confusable' FROM (SELECT DISTINCT name FROM m) GROUP BY lower(name) HAVING count(*) > 1
+UNION ALL SELECT '', 'too large' FROM m HAVING sum(size) > 1000""")
+def e6_parts(spark, d):
+    return E.member_problems(table(spark, d, "part").select(F.expr(PART_NAMES).alias("name"), F.col("p_size").alias("size")), "name", "size", 1000)
