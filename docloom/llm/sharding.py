@@ -168,8 +168,9 @@ def shard_records(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     names = [c for c in docs.columns if c not in (shard_col, slot_col)]
     key, doc, copy = (fresh([*names, shard_col, slot_col], x) for x in ("key", "doc", "copy"))
     wide = docs.select(*names, _md5(text_col).alias(key), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias(doc))
-    # rows that share id and text are numbered among themselves
-    repeated = Window.partitionBy(key, doc).orderBy(F.lit(0))
+    # rows that share id and text are numbered among themselves, by all their
+    # columns: a task that is tried again must number them alike
+    repeated = Window.partitionBy(key, doc).orderBy(F.sha2(F.to_json(F.struct(*names)), 256))
     wide = wide.withColumn(copy, F.row_number().over(repeated))
     narrow = stored(docs.select(_md5(text_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), _size(text_col).alias("size")), "shard-keys")
     placed = stored(place(narrow, plan_ranges(narrow, shards), shards, "key", "doc", "size", "shard", "number"), "shard-placed")

@@ -261,6 +261,15 @@ def test_sharding_of_odd_rows(odd, empty):
     assert sharding.assign_shards(empty, 8).count() == 0
 
 
+def test_repeated_records_with_other_columns_are_each_sharded_once(spark):
+    rows = [(1, "same text", i) for i in range(40)] + [(None, None, i) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    for part in (1, 7):
+        got = sharding.shard_records(d.repartition(part), shards=3).collect()
+        assert sorted(r.other for r in got if r.doc_id == 1) == list(range(40)) and sorted(r.other for r in got if r.doc_id is None) == list(range(5))
+        assert len({(r.shard, r.slot) for r in got}) == 45
+
+
 # -- 4 ---------------------------------------------------------------------
 
 
