@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with `place`: ascending in the order of its files' names and
+    of the rows in each, however Spark deals the files out to its tasks."""
+    read = table(spark, sf_dir, name)
+    files = F.array(*(F.lit(f.rpartition("/")[2]) for f in sorted(read.inputFiles())))
+    file = F.array_position(files, F.col("_metadata.file_name")) - 1
+    return read.select("*", (F.shiftleft(file, 40) + F.col("_metadata.row_index")).alias("place"))
+
+
 def rows(spark: SparkSession, values: str) -> DataFrame:
     """`VALUES ... AS t(columns)`, as Spark reads it and DuckDB does."""
     return spark.sql(f"SELECT * FROM ({values.partition(' AS t(')[0]}) AS t({values.partition(' AS t(')[2]}")
