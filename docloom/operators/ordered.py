@@ -39,9 +39,9 @@ def carried_forward(rows: DataFrame, by: list[str], order: str, value: str, out:
     return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
-def first_in_group(rows: DataFrame, by: list[str], order: str, n: int = 1) -> DataFrame:
-    """The first n rows of each group."""
-    w = Window.partitionBy(*by).orderBy(order)
+def first_in_group(rows: DataFrame, by: list[str], order: str | list[str], n: int = 1) -> DataFrame:
+    """The first n rows of each group; further columns of `order` settle ties."""
+    w = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
     return rows.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
 
 

@@ -10,7 +10,7 @@ from ..operators import ordered as O
 from ..operators import sets as E
 from ..operators.asof import asof_join
 from ..operators.folds import numbered as number_sorted
-from .registry import query, rows, table, values
+from .registry import placed, query, rows, table, values
 
 # -- joins -----------------------------------------------------------------
 
@@ -450,7 +450,8 @@ def w7_regions(spark, d):
 
 @query("w8_duplicate_ids", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def w8(spark, d):
-    return O.first_in_group(table(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], "l_linenumber").select("l_orderkey", "l_partkey", "l_linenumber")
+    """Of lines with one number the row that stands first in the table counts."""
+    return O.first_in_group(placed(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], ["l_linenumber", "place"]).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
 @query("w10_strictly_ascending", "SELECT event_id, value, before FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE value <= before")
