@@ -22,14 +22,14 @@ from ..sources import catalogue as S
 from ..sources import sinks as K
 from ..sources import members as M
 from ..sources.shared import shared_root, stored
-from .registry import query, rows, table, values
+from .registry import dealt, query, rows, table, values
 
 URL = "'https://h.example/g/p' || p_partkey || '.htm'"
 
 
 def made(spark, d, html, **more):
     """part with a page of its columns."""
-    return table(spark, d, "part").withColumns({"html": F.expr(html), "url": F.expr(URL), **{k: F.expr(v) for k, v in more.items()}})
+    return dealt(spark, d, "part", "p_partkey").withColumns({"html": F.expr(html), "url": F.expr(URL), **{k: F.expr(v) for k, v in more.items()}})
 
 
 CONTENT = "CASE p_size % 4 WHEN 0 THEN '<body><nav>menu</nav><main><p>' || p_name || '</p></main></body>' WHEN 1 THEN '<div id=\"mc-main-content\">' || p_name || '</div><main>no</main>' WHEN 2 THEN '<body>x<article>' || p_name || '</article></body>' ELSE '<body><p>' || p_name || '</p></body>' END"
@@ -285,7 +285,7 @@ def h25(spark, d):
 
 
 def printed(spark, d):
-    p = table(spark, d, "part").withColumns({"page": F.expr(PRINTED), "anchor": F.expr("'topic-' || p_partkey"), "destinations": F.create_map(F.lit("n0.html"), F.lit("topic-0")), "ord": F.col("p_partkey")})
+    p = dealt(spark, d, "part", "p_partkey").withColumns({"page": F.expr(PRINTED), "anchor": F.expr("'topic-' || p_partkey"), "destinations": F.create_map(F.lit("n0.html"), F.lit("topic-0")), "ord": F.col("p_partkey")})
     return C.per_page(p, P.section, "html string, bookmarks array<string>, inside int, outside int", ["p_partkey", "ord"], ["page", "anchor", "destinations"])
 
 
@@ -317,7 +317,9 @@ def s23(spark, d):
 
 @query("k7_verified_export", "SELECT DISTINCT page_id % 7 AS guide, true AS verified FROM pages")
 def k7(spark, d):
-    return Z.verified_export(guide_files(spark, d), "guide").select("guide", "verified")
+    """Seven guides, however many pages: archives of files, of any size."""
+    limits = M.Limits(members=1 << 31, total_bytes=1 << 62)
+    return M.verified_archives(guide_files(spark, d), "guide", archive_folder(spark, "verified"), limits=limits).select("guide", "verified")
 
 
 HOSTED = "SELECT array_to_string(string_split(url, '/')[1:3], '/') AS guide, CASE WHEN strlen(html) < 1500 THEN '../' || page_id ELSE 'pages/' || page_id || '.html' END AS name, html, strlen(html) < 1500 AS bad FROM pages"

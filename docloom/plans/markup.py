@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from .registry import query, rows, table, values
+from .registry import dealt, query, rows, table, values
 
 
 @query("h1_extract")
@@ -26,7 +26,7 @@ HEADED = "'<meta charset=\"u\"><meta name=\"Author\" content=\"' || p_brand || '
 
 
 def headed(spark, d):
-    return H.extract(table(spark, d, "part").select("p_partkey", F.expr(HEADED).alias("html"), F.lit("").alias("url")), "p_partkey")
+    return H.extract(dealt(spark, d, "part", "p_partkey").select("p_partkey", F.expr(HEADED).alias("html"), F.lit("").alias("url")), "p_partkey")
 
 
 @query("h4_metadata", "SELECT p_partkey, 'author' AS name, p_brand AS value FROM part")

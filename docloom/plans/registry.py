@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The table's narrow rows dealt out by key to all tasks, for work that is
+    dear by the row: a small file would be read, and worked on, by one task."""
+    read = table(spark, sf_dir, name)
+    return read.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table with `place`: ascending in the order of its files' names and
     of the rows in each, however Spark deals the files out to its tasks."""
