@@ -29,8 +29,9 @@ from ..sources.shared import stored
 
 #: Rows of a part of a sorted text.
 PART_ROWS = 1000
-#: Result rows that a fold sends together.
-BATCH = 4096
+#: Result rows, and about as many bytes of texts in them, that a fold sends
+#: together; rows that it takes from a batch at a time.
+BATCH, BATCH_BYTES, ROWS = 4096, 4 << 20, 1000
 
 
 def _kinds(df: DataFrame) -> str:
@@ -90,6 +91,29 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "n
     return local.join(known, "part_").withColumn(name, nth).select(*rows.columns, name)
 
 
+def _folded(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str], state: Callable) -> Iterator[list[tuple]]:
+    """The result rows of fold_sorted, some at a time."""
+    key, now, out, held = None, None, [], 0
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        keys, values = (zip(*(batch.column(c).to_pylist() for c in names)) for names in (by, columns))
+        for k, row in zip(keys, values):
+            if now is None or k != key:
+                if now is not None and (r := now.done()) is not None:
+                    out.append((*key, *r))
+                    held += sum(len(v) for v in r if isinstance(v, (str, bytes)))
+                key, now = k, state()
+            if (r := now.add(*row)) is not None:
+                out.append((*k, *r))
+                held += sum(len(v) for v in r if isinstance(v, (str, bytes)))
+            if len(out) >= BATCH or held >= BATCH_BYTES:
+                yield out
+                out, held = [], 0
+    if now is not None and (r := now.done()) is not None:
+        out.append((*key, *r))
+    if out:
+        yield out
+
+
 def fold_sorted(rows: DataFrame, by: list[str], order: list[str], state: Callable, columns: list[str], results: str) -> DataFrame:
     """One pass over the rows of each group in order. `state()` makes an object
     whose add(*values of columns) takes a row and may return a result row, and
@@ -102,23 +126,7 @@ def fold_sorted(rows: DataFrame, by: list[str], order: list[str], state: Callabl
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, now, out = None, None, []
-        for batch in batches:
-            keys, values = (zip(*(batch.column(c).to_pylist() for c in names)) for names in (by, columns))
-            for k, row in zip(keys, values):
-                if now is None or k != key:
-                    if now is not None and (r := now.done()) is not None:
-                        out.append((*key, *r))
-                    key, now = k, state()
-                if (r := now.add(*row)) is not None:
-                    out.append((*k, *r))
-            if len(out) >= BATCH:
-                yield made(out)
-                out = []
-        if now is not None and (r := now.done()) is not None:
-            out.append((*key, *r))
-        if out:
-            yield made(out)
+        return map(made, _folded(batches, by, columns, state))
 
     used = [*dict.fromkeys([*by, *order, *columns])]
     return rows.select(*used).repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, kinds)
