@@ -430,14 +430,14 @@ def write_files(files: DataFrame, folder: str, name: str = "name", body: str = "
     return rows.mapInArrow(run, "name string, size long, problem string")
 
 
-def verified_archives(files: DataFrame, key: str, folder: str, name: str = "name", body: str = "body") -> DataFrame:
+def verified_archives(files: DataFrame, key: str, folder: str, name: str = "name", body: str = "body", limits: Limits = Limits()) -> DataFrame:
     """A ZIP file below a folder for each key, read back member by member: key,
     path, members and whether it holds exactly the files (names, sizes, hashes)
     and no member with a problem."""
     made = stored(write_archives(files, key, folder, "zip", name, body), "archives")
     data = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
     wanted = files.select(F.col(key), F.col(name).alias("name"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("sha256"))
-    found = read_members(zip_members(made, key), key).select(key, "name", "size", "sha256", "problem")
+    found = read_members(zip_members(made, key, limits=limits), key).select(key, "name", "size", "sha256", "problem")
     side = lambda df, n: df.groupBy(key, "name", "size", "sha256").agg(F.count("*").alias(n))
     met = side(wanted, "w").join(side(found.where("problem is null"), "f"), [key, "name", "size", "sha256"], "full")
     wrong = met.where("not (w <=> f)").select(key).unionByName(found.where("problem is not null").select(key)).distinct().withColumn("bad", F.lit(True))
