@@ -7,12 +7,13 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..operators.folds import framed_parts, sorted_parts
-from .html import VOID
+from .html import VOID, pieces
 
 #: Elements that go with their content, and attributes that stay (fixed).
 REMOVED = frozenset("script style iframe object embed form input button select textarea noscript template nav".split())
@@ -73,9 +74,14 @@ def cleaned(html: str | None) -> tuple[str, list[str]]:
     return "".join(parser.out), parser.problems
 
 
-@F.pandas_udf(StructType([StructField("html", StringType()), StructField("problems", ArrayType(StringType()))]))
-def sanitise(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([cleaned(p) for p in pages], columns=["html", "problems"])
+_CLEANED = pa.struct([("html", pa.string()), ("problems", pa.list_(pa.string()))])
+
+
+@F.arrow_udf(StructType([StructField("html", StringType()), StructField("problems", ArrayType(StringType()))]))
+def sanitise(pages: pa.Array) -> pa.Array:
+    """Pages are cleaned in pieces; of all others a task holds Arrow's bytes."""
+    made = (pa.array([cleaned(p) for p in pages.slice(at, n).to_pylist()], _CLEANED) for at, n in pieces(pages))
+    return pa.concat_arrays([pa.array([], _CLEANED), *made])
 
 
 def anchor_action(target: Column, href: Column, online: Column, image: Column | None = None) -> Column:
