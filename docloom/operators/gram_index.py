@@ -48,8 +48,11 @@ FILE_BITS = 8
 FOLDER_BITS = 20
 #: Grams of a query that are intersected.
 MOST = 8
-#: Rows that build partial containers together.
-BATCH = 4096
+#: Rows that build partial containers together, and the grams (once for each
+#: row) after which they are full.
+BATCH, BATCH_GRAMS = 4096, 1 << 20
+#: Rows of containers, of at most 8 KB each, that are looked at or sent together.
+HELD = 256
 
 _POSTING = "gram long, segment long, n int, held binary"
 
@@ -101,23 +104,35 @@ def from_container(held: bytes) -> np.ndarray:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, text) to one container for each gram and segment of a batch."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            some = batch.slice(at, BATCH)
-            each = [text_grams(t) if t else np.empty(0, np.int64) for t in some.column(1).to_pylist()]
-            row = np.repeat(some.column(0).to_numpy(), [len(g) for g in each])
-            gram = np.concatenate(each)
-            if not len(gram):
-                continue
-            order = np.lexsort((row, gram))
-            gram, row = gram[order], row[order]
-            segment, low = row >> SEGMENT_BITS, row & ((1 << SEGMENT_BITS) - 1)
-            new = np.ones(len(gram), bool)
-            new[1:] = (np.diff(gram) != 0) | (np.diff(segment) != 0)
-            first = np.flatnonzero(new)
-            held = [np.unique(low[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(gram)])]
-            yield pa.record_batch([pa.array(gram[first]), pa.array(segment[first]), pa.array([len(h) for h in held], pa.int32()), pa.array([to_container(h) for h in held], pa.binary())], ["gram", "segment", "n", "held"])
+    """(ord, text) to one container for each gram and segment of some rows."""
+
+    def full() -> Iterator[tuple[list, list]]:
+        rows, each, size = [], [], 0
+        for batch in batches:
+            for ord_, text in zip(batch.column(0), batch.column(1)):  # a text at a time leaves Arrow
+                grams = text_grams(t) if (t := text.as_py()) else np.empty(0, np.int64)
+                rows.append(ord_.as_py())
+                each.append(grams)
+                size += len(grams)
+                if len(rows) >= BATCH or size >= BATCH_GRAMS:
+                    yield rows, each
+                    rows, each, size = [], [], 0
+        if rows:
+            yield rows, each
+
+    for rows, each in full():
+        row = np.repeat(np.array(rows, np.int64), [len(g) for g in each])
+        gram = np.concatenate(each)
+        if not len(gram):
+            continue
+        order = np.lexsort((row, gram))
+        gram, row = gram[order], row[order]
+        segment, low = row >> SEGMENT_BITS, row & ((1 << SEGMENT_BITS) - 1)
+        new = np.ones(len(gram), bool)
+        new[1:] = (np.diff(gram) != 0) | (np.diff(segment) != 0)
+        first = np.flatnonzero(new)
+        held = [np.unique(low[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(gram)])]
+        yield pa.record_batch([pa.array(gram[first]), pa.array(segment[first]), pa.array([len(h) for h in held], pa.int32()), pa.array([to_container(h) for h in held], pa.binary())], ["gram", "segment", "n", "held"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +148,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, s, b, n, h = zip(*out)
         return pa.record_batch([pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(b, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())], ["gram", "segment", "bucket", "n", "held"])
 
-    for rows in batches:
+    for rows in (b.slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
         for k, held in zip(zip(*(rows.column(c).to_pylist() for c in ("gram", "segment", "bucket"))), rows.column("held").to_pylist()):
             if k != key:
                 close()
                 key, parts = k, []
             parts.append(held)
-        if len(out) >= BATCH:
+        if len(out) >= HELD:
             yield batch()
             out.clear()
     close()

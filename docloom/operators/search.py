@@ -5,24 +5,33 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.html import pieces
 from ..sources.shared import stored
 from .gram_index import GramIndex
 
 
-@F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).lower())
+@F.arrow_udf(StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    """Texts are normalised in pieces: of all others a task holds Arrow's bytes."""
+
+    def made(v: str | None) -> str | None:
+        return None if v is None else unicodedata.normalize("NFKC", v).lower()
+
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([made(v) for v in values.slice(at, n).to_pylist()], pa.string()) for at, n in pieces(values))])
 
 
 def normalised(c: Column, ascii_only: bool = False) -> Column:
     """Compatibility form in lower case; plain lower case (JVM side) serves
     where the caller knows that texts are ASCII."""
-    return F.lower(c) if ascii_only else _nfkc(c)
+    if ascii_only:
+        return F.lower(c)
+    plain = F.octet_length(c) == F.length(c)  # ASCII texts never leave the JVM
+    return F.when(plain, F.lower(c)).otherwise(_nfkc(F.when(~plain, c)))
 
 
 def safe_link(url: Column) -> Column:
