@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -69,7 +71,7 @@ class Library:
 
     # -- reading -----------------------------------------------------------
 
-    def read(self, ranges: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+    def read(self, ranges: set[int] | list[int] | None = None, manifest: dict | None = None) -> DataFrame:
         """The library's rows, or those of some ranges."""
         state = manifest or self.manifest()
         schema = StructType.fromJson(state["schema"])
@@ -85,10 +87,15 @@ class Library:
 
     def _range(self, bounds: list) -> Column:
         """The range of a key: ranges begin at their bounds, the first one below
-        all of them."""
+        all of them. The bounds, however many, are searched by halves."""
         if not bounds:
             return F.lit(0)
-        return F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col(self.key)))
+
+        @F.arrow_udf("int")
+        def place(keys: pa.Array) -> pa.Array:
+            return pa.array([0 if k is None else bisect_right(bounds, k) for k in keys.to_pylist()], pa.int32())
+
+        return place(F.col(self.key))
 
     def _newest(self, rows: DataFrame) -> DataFrame:
         others = [c for c in rows.columns if c != self.key]
@@ -102,7 +109,7 @@ class Library:
         old = self.manifest() if every else {"bounds": [], "paths": [None], "schema": json.loads(batch.schema.json())}
         known = F.when(F.col(self.key).isNull(), F.raise_error(F.lit("a record without key"))).otherwise(F.col(self.key))
         new = stored(self._newest(batch.withColumn(self.key, known)), "library-batch")
-        touched = sorted(r[0] for r in new.select(self._range(old["bounds"]).alias("r")).distinct().collect())
+        touched = {r[0] for r in new.select(self._range(old["bounds"]).alias("r")).distinct().collect()}
         state = self.read(touched, old).select(*new.columns)
         self._compare(new, state).write.mode("overwrite").parquet(f"{self.target}/changes/batch={number}")
         bounds, paths = list(old["bounds"]), list(old["paths"])
@@ -131,7 +138,7 @@ class Library:
         change = F.when(F.col("before_").isNull(), CHANGES[0]).when(stale, CHANGES[2]).otherwise(CHANGES[1])
         return after.select(self.key, change.alias("change"))
 
-    def _divided(self, merged: DataFrame, bounds: list, touched: list[int]) -> list:
+    def _divided(self, merged: DataFrame, bounds: list, touched: set[int]) -> list:
         """The bounds, with more of them inside ranges that have grown."""
         slot = merged.select(self.key, self._range(bounds).alias("slot"))
         large = [r.slot for r in slot.groupBy("slot").count().where(F.col("count") > self.range_rows).collect()]
