@@ -83,19 +83,21 @@ def outline(spark, d):
     """Nations, their suppliers and the orders of those as a linked outline."""
     nations = table(spark, d, "nation")
     suppliers = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    orders = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct().join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
+    # the only large exchange: pairs of keys, which windows and counts then share
+    orders = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").repartition("l_suppkey").distinct().join(suppliers.select("s_suppkey"), F.col("s_suppkey") == F.col("l_suppkey"))
     name = lambda kind, *keys: F.concat(F.lit(kind), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))
-    top = nations.select(name("n", "n_nationkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("title"))
-    middle = suppliers.select(name("s", "s_suppkey"), name("n", "s_nationkey"), F.col("s_suppkey").cast("long"), "s_name")
-    low = orders.select(name("l", "l_suppkey", "l_orderkey"), name("s", "l_suppkey"), F.col("l_orderkey").cast("long"), F.concat(F.lit("Order "), "l_orderkey"))
-    entries = top.union(middle).union(low)
-    near = Window.partitionBy("parent").orderBy("ord")
-    children = entries.where("parent is not null").groupBy("parent").agg(F.min_by("node", "ord").alias("first"), F.max_by("node", "ord").alias("last"), F.count("*").alias("n"))
-    below = children.where("parent like 's%'").select(F.col("parent").alias("node"), F.col("n").alias("count"))
-    of_nations = middle.toDF("node", "parent", "ord", "title").join(below, "node", "left").groupBy("parent").agg(F.sum(F.coalesce("count", F.lit(0)) + 1).alias("count"))
-    counts = below.unionByName(of_nations.select(F.col("parent").alias("node"), "count"))
-    linked = entries.withColumns({"prev": F.lag("node").over(near), "next": F.lead("node").over(near)})
-    return linked.join(children.drop("n").withColumnRenamed("parent", "node"), "node", "left").join(counts, "node", "left").withColumn("tree", F.lit("guide"))
+    beside = lambda kind, *group: [F.when(F.col(n).isNotNull(), name(kind, *group, n)).alias(side) for side, n in (("prev", "before"), ("next", "behind"))]
+    near = lambda rows, order, *group: rows.withColumns({"before": F.lag(order).over(Window.partitionBy(*group).orderBy(order)), "behind": F.lead(order).over(Window.partitionBy(*group).orderBy(order))})
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ["node", "parent", "prev", "next", "first", "last", "count", "title"]
+    low = near(orders, "l_orderkey", "l_suppkey").select(name("l", "l_suppkey", "l_orderkey").alias("node"), name("s", "l_suppkey").alias("parent"), *beside("l", "l_suppkey"), none("string").alias("first"), none("string").alias("last"), none("long").alias("count"), F.concat(F.lit("Order "), "l_orderkey").alias("title"))
+    held = orders.groupBy("l_suppkey").agg(F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"), F.count("*").alias("count"))
+    owners = suppliers.join(held, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    middle = near(owners, "s_suppkey", "s_nationkey").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("parent"), *beside("s"), F.when(F.col("low").isNotNull(), name("l", "s_suppkey", "low")).alias("first"), F.when(F.col("high").isNotNull(), name("l", "s_suppkey", "high")).alias("last"), "count", F.col("s_name").alias("title"))
+    of_nations = owners.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("low"), F.max("s_suppkey").alias("high"), F.sum(F.coalesce("count", F.lit(0)) + 1).alias("count"))
+    roots = nations.select("n_nationkey", "n_name").join(of_nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    top = near(roots, "n_nationkey").select(name("n", "n_nationkey").alias("node"), none("string").alias("parent"), *beside("n"), F.when(F.col("low").isNotNull(), name("s", "low")).alias("first"), F.when(F.col("high").isNotNull(), name("s", "high")).alias("last"), "count", F.col("n_name").alias("title"))
+    return top.select(columns).union(middle.select(columns)).union(low.select(columns)).withColumn("tree", F.lit("guide"))
 
 
 @query("t12_linked_outline", f"""WITH {OUTLINE}

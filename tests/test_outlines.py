@@ -136,3 +136,13 @@ def test_a_million_siblings_with_a_break_and_a_cycle(spark):
     got = {r.problem: r.n for r in outlines.problems(bad).groupBy("problem").agg(F.count("*").alias("n")).collect()}
     # all after the break run into the circle; those before it end at the break
     assert got == {"missing": 1, "unreached": 1, "cycle": n - 400_001, "shared": 1, "prev": 1}
+
+
+def test_only_steps_that_other_chunks_lead_to_are_ranked(spark, monkeypatch):
+    asked, rank = [], outlines.ranked
+    monkeypatch.setattr(outlines, "ranked", lambda steps: asked.append(steps.count()) or rank(steps))
+    rows = spark.range(0, 20000, 1, 1).select(F.format_string("e%05d", "id").alias("node"), F.when(F.col("id") > 0, F.format_string("e%05d", F.col("id") - 1)).alias("prev"), F.when(F.col("id") < 19999, F.format_string("e%05d", F.col("id") + 1)).alias("next"))
+    none = {c: F.lit(None).cast("string") for c in ("parent", "first", "last")}
+    list_ = rows.withColumns({"tree": F.lit("t"), "count": F.lit(None).cast("long"), "title": F.lit("x"), **none})
+    got = outlines.positions(list_).agg(F.count_if(F.col("position") == F.substring("node", 2, 5).cast("long")).alias("right")).first()
+    assert got.right == 20000 and asked[0] < 20
