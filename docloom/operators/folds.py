@@ -4,8 +4,9 @@
 many partitions, and joins the partitions by their boundary states: one row for
 each partition says how many rows of its last group came before. `fold_sorted`
 streams the sorted rows of each group through a running state. `sorted_parts`
-cuts a group's text into parts of a fixed number of rows by those numbers; what
-must see a whole group in order (a digest) then reads parts, not rows.
+cuts a group's text into parts of a fixed number of rows by those numbers.
+`sorted_digest` hashes a group of any size segment by segment: a task takes up
+the state that the task of the segment before has left.
 
 Memory is one state and one Arrow batch. Equal rows may change places among
 themselves. Null groups are groups like any other and come first. An empty
@@ -14,6 +15,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -25,10 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..sources.shared import stored
+from ..sources.shared import shared_root, stored
 
 #: Rows of a part of a sorted text.
 PART_ROWS = 1000
+#: Bytes of a group's text that one task hashes, and of a piece of them; pieces
+#: that are dealt out together.
+SEGMENT, PIECE, PIECES = 128 << 20, 64 << 10, 256
+#: Bytes of OpenSSL's SHA256_CTX, which is plain memory.
+CONTEXT = 112
 #: Result rows, and about as many bytes of texts in them, that a fold sends
 #: together; rows that it takes from a batch at a time.
 BATCH, BATCH_BYTES, ROWS = 4096, 4 << 20, 1000
@@ -143,20 +152,60 @@ class _Joined:
         return (self.between.join(self.texts),)
 
 
-class _Digest:
-    """SHA-256 of texts with something between them."""
+class _Sha256:
+    """SHA-256 by the OpenSSL that hashlib is linked with, as its state can be
+    stored and taken up again by another process."""
 
-    def __init__(self, between: str):
-        self.hash, self.between, self.some = sha256(), between.encode(), False
+    def __init__(self, state: bytes | None = None):
+        self.library, self.context = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(2 * CONTEXT)
+        if state is None:
+            self.library.SHA256_Init(self.context)
+        else:
+            ctypes.memmove(self.context, state, CONTEXT)
 
-    def add(self, text: str) -> None:
-        if self.some:
-            self.hash.update(self.between)
-        self.some = True
-        self.hash.update(text.encode())
+    def update(self, data: bytes) -> None:
+        self.library.SHA256_Update(self.context, data, ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self.context.raw[:CONTEXT]
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.library.SHA256_Final(out, ctypes.create_string_buffer(self.context.raw))
+        return out.raw.hex()
+
+
+def _resumable() -> bool:
+    """Whether states can be handed on: some builds hide OpenSSL's functions."""
+    try:
+        first = _Sha256()
+        first.update(b"a" * 100)
+        second = _Sha256(first.state())
+        second.update(b"b" * 100)
+        return second.hexdigest() == sha256(b"a" * 100 + b"b" * 100).hexdigest()
+    except (OSError, AttributeError):
+        return False
+
+
+class _Digest:
+    """SHA-256 of texts with something between them: its state after them, and
+    the digest if nothing follows. A state that comes first is taken up; without
+    texts there is no row. Where states can't be handed on, there is none."""
+
+    def __init__(self, between: str, resumable: bool):
+        self.hash, self.between, self.resumable, self.before, self.some = None, between.encode(), resumable, False, False
+
+    def add(self, text: str | None, state: bytes | None) -> None:
+        if self.hash is None:
+            self.hash, self.before = _Sha256(state) if self.resumable else sha256(), state is not None
+        if text is not None:
+            if self.before or self.some:
+                self.hash.update(self.between)
+            self.some = True
+            self.hash.update(text.encode())
 
     def done(self):
-        return (self.hash.hexdigest(),)
+        return (self.hash.state() if self.resumable else None, self.hash.hexdigest()) if self.some else None
 
 
 def sorted_parts(rows: DataFrame, group: list[str], order: list[str], text: Column, between: str = "", size: int = PART_ROWS, partitions: int | None = None) -> DataFrame:
@@ -168,11 +217,37 @@ def sorted_parts(rows: DataFrame, group: list[str], order: list[str], text: Colu
     return fold_sorted(ranked, [*group, "part"], ["nth_in_group"], lambda: _Joined(between), ["text_"], "text string")
 
 
-def sorted_digest(rows: DataFrame, group: list[str], order: list[str], text: Column, between: str = "", size: int = PART_ROWS, partitions: int | None = None) -> DataFrame:
-    """The SHA-256 of each group's texts in order with `between` between them.
-    Parts are joined in parallel; one task hashes a group's parts in order."""
-    parts = sorted_parts(rows, group, order, text, between, size, partitions)
-    return fold_sorted(parts, group, ["part"], lambda: _Digest(between), ["text"], "digest string")
+def sorted_digest(rows: DataFrame, group: list[str], order: list[str], text: Column, between: str = "", partitions: int | None = None) -> DataFrame:
+    """The SHA-256 of each group's texts in order with `between` between them;
+    null texts are left out. A group is cut into segments of about SEGMENT
+    bytes, whose texts are joined to pieces in parallel. The digest of a whole
+    group is sequential: segments are hashed one after another, those of
+    different groups together, by tasks that read one segment of a group and
+    the state before it. Where states can't be handed on (see _resumable), a
+    group is one segment, and one task reads all of its pieces."""
+    spark, resumable = rows.sparkSession, _resumable()
+    narrow = rows.select(*dict.fromkeys([*group, *order]), text.alias("text_")).where("text_ is not null")
+    placed = numbered(narrow.withColumn("bytes_", F.octet_length("text_").cast("long") + 1), group, order, "before_", partitions, "bytes_")
+    segment = F.expr(f"before_ div {SEGMENT}") if resumable else F.lit(0).cast("long")
+    placed = placed.select(*group, "before_", "text_", segment.alias("segment_"), F.expr(f"before_ div {PIECE * PIECES}").alias("chunk_"), F.expr(f"before_ div {PIECE}").alias("piece_"))
+    dealt = placed.repartition(*group, "segment_", "chunk_")
+    held = F.sort_array(F.collect_list(F.struct("before_", "text_")))
+    pieces = dealt.groupBy(*group, "segment_", "chunk_", "piece_").agg(F.array_join(F.transform(held, lambda x: x["text_"]), between).alias("text_"))
+    folder, states = (f"{shared_root(spark)}/digest-{kind}-{uuid.uuid4().hex}" for kind in ("pieces", "states"))
+    pieces = pieces.drop("chunk_")
+    pieces.write.partitionBy("segment_").parquet(folder)
+    pieces = spark.read.schema(pieces.schema).parquet(folder)
+    last = pieces.agg(F.max("segment_")).first()[0] or 0
+    made = None
+    for k in range(last + 1):
+        now = pieces.where(F.col("segment_") == k).select(*group, "piece_", "text_", F.lit(None).cast("binary").alias("state_"))
+        if made is not None:
+            now = now.unionByName(made.select(*group, F.lit(-1).cast("long").alias("piece_"), F.lit(None).cast("string").alias("text_"), "state_"))
+        hashed = fold_sorted(now, group, ["piece_"], lambda: _Digest(between, resumable), ["text_", "state_"], "state_ binary, digest string")
+        hashed.write.parquet(f"{states}/segment_={k}")
+        made = spark.read.schema(hashed.schema).parquet(f"{states}/segment_={k}")
+    ends = spark.read.schema(hashed.withColumn("segment_", F.lit(0).cast("long")).schema).parquet(states)
+    return ends.groupBy(*group).agg(F.max_by("digest", "segment_").alias("digest"))
 
 
 def framed_parts(parts: DataFrame, group: list[str], head: DataFrame, tail: Column | str, between: str = "") -> DataFrame:
