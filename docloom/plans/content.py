@@ -315,11 +315,14 @@ def s23(spark, d):
     return Z.members(Z.export(guide_files(spark, d), "guide"), "guide")
 
 
+#: Limits of archives whose SQL has none: a host may have any number of pages.
+WHOLE = M.Limits(members=1 << 31, total_bytes=1 << 62)
+
+
 @query("k7_verified_export", "SELECT DISTINCT page_id % 7 AS guide, true AS verified FROM pages")
 def k7(spark, d):
     """Seven guides, however many pages: archives of files, of any size."""
-    limits = M.Limits(members=1 << 31, total_bytes=1 << 62)
-    return M.verified_archives(guide_files(spark, d), "guide", archive_folder(spark, "verified"), limits=limits).select("guide", "verified")
+    return M.verified_archives(guide_files(spark, d), "guide", archive_folder(spark, "verified"), limits=WHOLE).select("guide", "verified")
 
 
 HOSTED = "SELECT array_to_string(string_split(url, '/')[1:3], '/') AS guide, CASE WHEN strlen(html) < 1500 THEN '../' || page_id ELSE 'pages/' || page_id || '.html' END AS name, html, strlen(html) < 1500 AS bad FROM pages"
@@ -342,13 +345,13 @@ MEMBERS = f"SELECT guide, name, strlen(html) AS size, CASE WHEN NOT bad THEN sha
 @query("s23_zip_files", MEMBERS)
 def s23_zip(spark, d):
     made = stored(M.write_archives(hosted(spark, d), "guide", archive_folder(spark, "zip")), "archives")
-    return M.read_members(M.zip_members(made, "guide"), "guide").select("guide", "name", "size", "sha256", "problem")
+    return M.read_members(M.zip_members(made, "guide", limits=WHOLE), "guide").select("guide", "name", "size", "sha256", "problem")
 
 
 @query("s23_tar_files", MEMBERS)
 def s23_tar(spark, d):
     made = stored(M.write_archives(hosted(spark, d), "guide", archive_folder(spark, "tar"), "tar.gz"), "archives")
-    return M.tar_members(made, "guide").select("guide", "name", "size", "sha256", "problem")
+    return M.tar_members(made, "guide", limits=WHOLE).select("guide", "name", "size", "sha256", "problem")
 
 
 @query("s19_folder_tree", f"SELECT 'part-' || strlen(html) % 10 || '/pages/' || page_id || '.html' AS path, strlen(html) AS size, NULL::VARCHAR AS problem FROM pages")
@@ -361,7 +364,7 @@ def s19_tree(spark, d):
 
 @query("k7_archive_files", f"SELECT array_to_string(string_split(url, '/')[1:3], '/') AS guide, count(*) AS members, true AS verified FROM pages GROUP BY 1")
 def k7_files(spark, d):
-    return M.verified_archives(hosted(spark, d, refuse=False), "guide", archive_folder(spark, "export")).drop("path")
+    return M.verified_archives(hosted(spark, d, refuse=False), "guide", archive_folder(spark, "export"), limits=WHOLE).drop("path")
 
 
 @query("k8_escaped_json", """SELECT p_partkey, '{"name":"' || p_name || '\\u007f\\u202e\\ud834\\udd73 é"}' AS json FROM part""")

@@ -30,13 +30,13 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType
 
 from .shared import stored
 
@@ -145,15 +145,17 @@ def name_problem(name: str, directory: bool, limits: Limits = Limits()) -> str |
 
 
 def _judged(members: DataFrame, key: str, limits: Limits) -> DataFrame:
-    """members (key, ord, name, directory, size, problem) with the problems
-    that only a whole archive shows. A name's ancestors and their folded forms
-    meet in aggregates, so no archive is in one cell."""
-    plain = F.regexp_replace("name", "/$", "")
+    """members (key, ord, name, folded, directory, size, problem) with the
+    problems that only a whole archive shows. They are stored first, as they
+    are read several times. A name's ancestors and their folded forms meet in
+    aggregates, so no archive is in one cell."""
+    members = stored(members, "members")
+    parts = lambda c: F.split(F.regexp_replace(c, "/$", ""), "/")
+    upto = lambda c: F.array_join(F.slice(c, F.lit(1), F.col("n")), "/")
     good = members.where("problem is null")
-    paths = good.select(key, "ord", F.split(plain, "/").alias("parts"), "directory")
-    ups = paths.select(key, "ord", "directory", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"))
-    ups = ups.select(key, "ord", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("at"), (F.col("n") == F.size("parts")).alias("own"), "directory")
-    ups = ups.withColumn("folded", folded("at"))
+    paths = good.select(key, "ord", parts("name").alias("parts"), parts("folded").alias("folds"), "directory")
+    ups = paths.select(key, "ord", "directory", "parts", "folds", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"))
+    ups = ups.select(key, "ord", upto("parts").alias("at"), upto("folds").alias("folded"), (F.col("n") == F.size("parts")).alias("own"), "directory")
     spelt = ups.groupBy(key, "folded").agg(
         (F.min("at") != F.max("at")).alias("fold"),
         (F.count_if("own") > 1).alias("twice"),
@@ -164,22 +166,19 @@ def _judged(members: DataFrame, key: str, limits: Limits) -> DataFrame:
     whole = good.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     over = F.when(F.col("n") > limits.members, "too many members").when(F.col("total") > limits.total_bytes, "total size")
     large = whole.select(key, over.alias("archive_p")).where("archive_p is not null")
-    out = members.join(hit, [key, "ord"], "left").join(large, key, "left")
+    out = members.drop("folded").join(hit, [key, "ord"], "left").join(large, key, "left")
     return out.withColumn("problem", F.coalesce("problem", "p", "archive_p")).drop("p", "archive_p")
 
 
-@F.udf(StringType(), useArrow=True)
-def _folded(path: str) -> str:
-    return None if path is None else unicodedata.normalize("NFC", path).casefold()
-
-
-def folded(c: str) -> Column:
-    return F.when(F.col(c).rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(_folded(c))
+def _folded(name: str, problem: str | None) -> str | None:
+    """The form in which names collide. No composition or case folding makes or
+    takes a slash, so a prefix of it is the form of the name's prefix."""
+    return None if problem else unicodedata.normalize("NFC", name).casefold()
 
 
 # -- ZIP -------------------------------------------------------------------
 
-_ZIP = "ord int, name string, directory boolean, size long, problem string, at long, packed long, method int, crc long"
+_ZIP = "ord int, name string, folded string, directory boolean, size long, problem string, at long, packed long, method int, crc long"
 
 
 def _zip_problem(info: zipfile.ZipInfo, limits: Limits) -> str | None:
@@ -199,6 +198,14 @@ def _zip_problem(info: zipfile.ZipInfo, limits: Limits) -> str | None:
     return name_problem(info.filename, info.is_dir(), limits) or ("size" if info.file_size > limits.file_bytes else None)
 
 
+def _zip_rows(infos: list[zipfile.ZipInfo] | None, limits: Limits) -> Iterator[tuple]:
+    if infos is None:
+        yield 0, None, None, False, None, "no archive", None, None, None, None
+    for n, m in enumerate(infos or ()):
+        problem = _zip_problem(m, limits)
+        yield n, m.filename, _folded(m.filename, problem), m.is_dir(), m.file_size, problem, m.header_offset, m.compress_size, m.compress_type, m.CRC
+
+
 def zip_members(archives: DataFrame, key: str, path: str = "path", limits: Limits = Limits()) -> DataFrame:
     """The members of each archive file, from its central directory: the key,
     path, ord, name, directory, size, problem and where the member lies. A file
@@ -209,14 +216,14 @@ def zip_members(archives: DataFrame, key: str, path: str = "path", limits: Limit
             for i, file in enumerate(batch.column(1).to_pylist()):
                 try:
                     with zipfile.ZipFile(_local(file)) as z:
-                        rows = [(n, m.filename, m.is_dir(), m.file_size, _zip_problem(m, limits), m.header_offset, m.compress_size, m.compress_type, m.CRC) for n, m in enumerate(z.infolist())]
+                        infos = z.infolist()
                 except (zipfile.BadZipFile, OSError):
-                    rows = [(0, None, False, None, "no archive", None, None, None, None)]
-                for a in range(0, len(rows), 4096):
-                    some = rows[a : a + 4096]
+                    infos = None
+                for some in batched(_zip_rows(infos, limits), 4096):
                     same = [pa.array([c[i].as_py()] * len(some), c.type) for c in batch.columns]
-                    yield pa.record_batch([*same, *(pa.array(c, t) for c, t in zip(zip(*some), _ZIP_TYPES))], [*batch.schema.names, *_ZIP_NAMES])
+                    yield pa.record_batch([*same, *(pa.array(c, t) for c, t in zip(zip(*some), types))], [*batch.schema.names, *names])
 
+    names, types = [*_ZIP_NAMES[:2], "folded", *_ZIP_NAMES[2:]], [*_ZIP_TYPES[:2], pa.string(), *_ZIP_TYPES[2:]]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in archives.select(key, path).schema)
     return _judged(archives.select(key, path).mapInArrow(run, f"{kinds}, {_ZIP}"), key, limits)
 
@@ -338,13 +345,14 @@ def tar_members(archives: DataFrame, key: str, path: str = "path", limits: Limit
         types = [pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for i, file in enumerate(batch.column(1).to_pylist()):
-                rows = [*members(file)]  # bounded by the limit of members
-                if rows:
-                    yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * len(rows), batch.column(0).type), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [key, "ord", "name", "directory", "size", "sha256", "problem"])
+                for rows in batched(members(file), 4096):
+                    same = pa.array([batch.column(0)[i].as_py()] * len(rows), batch.column(0).type)
+                    folds = pa.array([_folded(r[1], r[5]) for r in rows], pa.string())
+                    yield pa.record_batch([same, folds, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [key, "folded", "ord", "name", "directory", "size", "sha256", "problem"])
 
     kind = archives.schema[key].dataType.simpleString()
     count = max(8, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = archives.select(key, path).repartition(count, path).mapInArrow(run, f"`{key}` {kind}, ord int, name string, directory boolean, size long, sha256 string, problem string")
+    found = archives.select(key, path).repartition(count, path).mapInArrow(run, f"`{key}` {kind}, folded string, ord int, name string, directory boolean, size long, sha256 string, problem string")
     out = _judged(found, key, limits)
     return out.withColumn("sha256", F.when(F.col("problem").isNull(), F.col("sha256")))
 
