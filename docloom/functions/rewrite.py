@@ -148,7 +148,8 @@ def index_parts(topics, guide: str, order: str, title: str, path: str):
     """One generated index for each guide: its topics in reading order, as rows
     (guide, part, text) that make up the page in the order of part."""
     head, item, tail = _index_frame(topics, guide, order, title, path)
-    return framed_parts(sorted_parts(topics, [guide], [order, path, title], item), [guide], head, tail)
+    narrow = topics.select(*dict.fromkeys([guide, order, path, title]))
+    return framed_parts(sorted_parts(narrow, [guide], [order, path, title], item), [guide], head, tail)
 
 
 def index_page(topics, guide: str, order: str, title: str, path: str):

@@ -4,7 +4,8 @@
 many partitions, and joins the partitions by their boundary states: one row for
 each partition says how many rows of its last group came before. `fold_sorted`
 streams the sorted rows of each group through a running state. `sorted_parts`
-cuts a group's text into parts of a fixed number of rows by those numbers.
+cuts a group's text into parts of a fixed number of rows by those numbers, where
+the sorted rows lie; only what lies on the border of two tasks moves again.
 `sorted_digest` hashes a group of any size segment by segment: a task takes up
 the state that the task of the segment before has left.
 
@@ -23,6 +24,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,9 @@ CONTEXT = 112
 #: Result rows, and about as many bytes of texts in them, that a fold sends
 #: together; rows that it takes from a batch at a time.
 BATCH, BATCH_BYTES, ROWS = 4096, 4 << 20, 1000
+#: How sorted rows are written: running numbers and what a value shares with the
+#: one before take next to no room.
+SORTED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
 
 def _kinds(df: DataFrame) -> str:
@@ -55,10 +60,16 @@ def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return new
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "nth", partitions: int | None = None, weight: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, group: list[str], order: list[str | Column], name: str = "nth", partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """rows with their number in their group (no columns: all rows), from 0, in
     the given order; with a weight (a column of longs), the sum of the weights
     before them. No window, and no group in one task."""
+    return _numbered(rows, group, order, name, partitions, weight).select(*rows.columns, name)
+
+
+def _numbered(rows: DataFrame, group: list[str], order: list[str | Column], name: str, partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """As numbered, with the sorted partition (part_) in which a row lies and
+    its place there (at_)."""
     spark = rows.sparkSession
     count = partitions or max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -85,7 +96,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "n
             yield pa.record_batch([*batch.columns, pa.array(np.full(n, part, np.int32)), at, pa.array(nth), pa.array(first)], [*batch.schema.names, "part_", "at_", "nth_", "first_"])
 
     dealt = rows.repartitionByRange(count, *group, *order).sortWithinPartitions(*group, *order)
-    local = stored(dealt.mapInArrow(run, f"{_kinds(rows)}, part_ int, at_ long, nth_ long, first_ boolean"), "numbered")
+    local = stored(dealt.mapInArrow(run, f"{_kinds(rows)}, part_ int, at_ long, nth_ long, first_ boolean"), "numbered", **SORTED)
     per = local.groupBy("part_", *group).agg((F.sum(weight) if weight else F.count("*")).alias("n_"), F.min("at_").alias("low_"))
     held = F.struct("n_", *group)
     ends = per.groupBy("part_").agg(F.min_by(held, "low_").alias("first_"), F.max_by(held, "low_").alias("last_"))
@@ -97,7 +108,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "n
         last, before = end, r.last_.n_ + (offset if first == end else 0)
     known = F.broadcast(spark.createDataFrame(offsets, "part_ int, offset_ long"))
     nth = F.col("nth_") + F.when(F.col("first_"), F.col("offset_")).otherwise(0)
-    return local.join(known, "part_").withColumn(name, nth).select(*rows.columns, name)
+    return local.join(known, "part_").withColumn(name, nth).select(*rows.columns, "part_", "at_", name)
 
 
 def _folded(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str], state: Callable) -> Iterator[list[tuple]]:
@@ -145,8 +156,9 @@ class _Joined:
     def __init__(self, between: str):
         self.texts, self.between = [], between
 
-    def add(self, text: str) -> None:
-        self.texts.append(text)
+    def add(self, text: str | None) -> None:
+        if text is not None:
+            self.texts.append(text)
 
     def done(self):
         return (self.between.join(self.texts),)
@@ -208,13 +220,74 @@ class _Digest:
         return (self.hash.state() if self.resumable else None, self.hash.hexdigest()) if self.some else None
 
 
-def sorted_parts(rows: DataFrame, group: list[str], order: list[str], text: Column, between: str = "", size: int = PART_ROWS, partitions: int | None = None) -> DataFrame:
+def _pieces(batches: Iterator[pa.RecordBatch], group: list[str], between: str, size: int, whole: bool) -> Iterator[list[tuple]]:
+    """Over sorted rows with `part`: (group, part, number of the first row,
+    joined text) of the stretches of one part that lie together, either those
+    that are their whole part, or the others. A stretch that the end of a file
+    or of a task cuts off is not known to be whole."""
+    key, place, first, n, texts, out, held = None, None, 0, 0, [], [], 0
+
+    def ended(followed: bool) -> None:
+        nonlocal held
+        if whole == (first % size == 0 and (followed or n == size)):
+            text = between.join(texts) if texts else None
+            out.append((*key, first, text))
+            held += len(text or "")
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        part, at, nth, own = (batch.column(c).to_numpy() for c in ("part_", "at_", "nth_in_group", "part"))
+        new = _changes(batch, group)
+        new[1:] |= np.diff(own) != 0
+        apart = np.zeros(len(new), bool)  # another file, or rows between
+        apart[1:] = (np.diff(part) != 0) | (np.diff(at) != 1)
+        starts = np.union1d([0], np.flatnonzero(new | apart))
+        text = batch.column("text_")
+        valid = np.concatenate(([0], np.cumsum(text.is_valid().to_numpy(zero_copy_only=False))))
+        offsets = valid[np.append(starts, len(new))]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text.drop_null()), between)
+        for i, (start, end) in enumerate(zip(starts.tolist(), [*starts.tolist()[1:], len(new)])):
+            now = (*(batch.column(g)[start].as_py() for g in group), int(own[start]))
+            follows = not apart[start] if start else place == (part[0], at[0] - 1)
+            if key is None or not follows or now != key:
+                if key is not None:
+                    ended(bool(follows))
+                key, first, n, texts = now, int(nth[start]), 0, []
+            n += end - start
+            if offsets[i + 1] > offsets[i]:
+                texts.append(joined[i].as_py())
+            if len(out) >= BATCH or held >= BATCH_BYTES:
+                yield out
+                out, held = [], 0
+        place = (part[-1], at[-1])
+    if key is not None:
+        ended(False)
+    if out:
+        yield out
+
+
+def sorted_parts(rows: DataFrame, group: list[str], order: list[str | Column], text: Column, between: str = "", size: int = PART_ROWS, partitions: int | None = None) -> DataFrame:
     """A group's texts in order, `size` of them joined to a part: the group's
-    columns, part (from 0) and text. A group of any size is spread by parts."""
-    narrow = rows.select(*dict.fromkeys([*group, *order]), text.alias("text_"))
-    ranked = numbered(narrow, group, order, "nth_in_group", partitions)
-    ranked = ranked.withColumn("part", F.expr(f"nth_in_group div {size}"))
-    return fold_sorted(ranked, [*group, "part"], ["nth_in_group"], lambda: _Joined(between), ["text_"], "text string")
+    columns, part (from 0) and text; null texts are passed over. A group of any
+    size is spread by parts. All columns of rows are sorted and written once,
+    so they should be those that order and text need: the texts are made of
+    them afterwards, and a part is joined by the task that reads its rows. Only
+    parts that two tasks share, two for each task at most, are shuffled."""
+    ranked = _numbered(rows, group, order, "nth_in_group", partitions)
+    ranked = ranked.select(*group, "part_", "at_", "nth_in_group", F.expr(f"nth_in_group div {size}").alias("part"), text.alias("text_"))
+    kinds = f"{_kinds(rows.select(*group))}{', ' * bool(group)}part long, nth_in_group long, text_ string"
+    schema = to_arrow_schema(StructType(_parse_datatype_string(kinds).fields))
+
+    def pieces(whole: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for out in _pieces(batches, group, between, size, whole):
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        return ranked.mapInArrow(run, kinds)
+
+    shared = fold_sorted(pieces(False), [*group, "part"], ["nth_in_group"], lambda: _Joined(between), ["text_"], "text string")
+    return pieces(True).select(*group, "part", F.coalesce("text_", F.lit("")).alias("text")).unionByName(shared)
 
 
 def sorted_digest(rows: DataFrame, group: list[str], order: list[str], text: Column, between: str = "", partitions: int | None = None) -> DataFrame:

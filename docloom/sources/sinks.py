@@ -36,7 +36,12 @@ def manifest_parts(files: DataFrame, by: str) -> DataFrame:
     texts of a guide are its document. No guide is in one cell."""
     head = files.groupBy(by).agg(F.to_json(F.struct(F.count("*").alias("count"), F.sum("size").alias("bytes"))).alias("h"))
     head = head.select(by, F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"files":[')).alias("head"))
-    parts = sorted_parts(files, [by], ["path", "sha256", "size"], F.to_json(F.struct("path", "sha256", "size")), ",")
+    # digests in lower-case hex are sorted and stored as bytes, half as many
+    binary = F.unhex("sha256")
+    narrow = files.select(by, "path", F.when(F.lower(F.hex(binary)) == F.col("sha256"), binary).alias("digest_"), "sha256", "size")
+    narrow = narrow.withColumn("sha256", F.when(F.col("digest_").isNull(), F.col("sha256")))
+    sha256 = F.coalesce("sha256", F.lower(F.hex("digest_")))
+    parts = sorted_parts(narrow, [by], ["path", sha256, "size"], F.to_json(F.struct("path", sha256.alias("sha256"), "size")), ",")
     return framed_parts(parts, [by], head, "]}", ",")
 
 
