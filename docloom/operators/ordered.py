@@ -40,8 +40,9 @@ def carried_forward(rows: DataFrame, by: list[str], order: str, value: str, out:
 
 
 def first_in_group(rows: DataFrame, by: list[str], order: str | list[str], n: int = 1) -> DataFrame:
-    """The first n rows of each group; further columns of `order` settle ties."""
-    w = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
+    """The first n rows of each group, null orders last, as in SQL's ORDER BY
+    of the queries; further columns of `order` settle ties."""
+    w = Window.partitionBy(*by).orderBy(*(F.col(c).asc_nulls_last() for c in ([order] if isinstance(order, str) else order)))
     return rows.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
 
 

@@ -450,7 +450,8 @@ def w7_regions(spark, d):
 
 @query("w8_duplicate_ids", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def w8(spark, d):
-    """Of lines with one number the row that stands first in the table counts."""
+    """Of lines with one number the row that stands first in the table counts;
+    lines without a number come last."""
     return O.first_in_group(placed(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], ["l_linenumber", "place"]).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
